@@ -90,3 +90,30 @@ def feat_sql(body: str) -> str:
     inner = with_sql("SELECT 1", "flows")
     ctes = inner[len("WITH "):inner.rindex("\nSELECT 1")]
     return f"WITH {ctes},\nprep AS ({PREP}),\nrowf AS ({ROWF}),\nfeat AS ({FEAT})\n{body}"
+
+
+def clean_label_sql(x: str) -> str:
+    return f"replace(replace(trim({x}), '�', '-'), '–', '-')"
+
+
+def group_label_sql(x: str) -> str:
+    from .. import constants as K
+    return "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.LABEL_GROUPS.items()) + " END"
+
+
+LF = f"SELECT flows.*, {group_label_sql(clean_label_sql('raw_label'))} AS label FROM flows"
+
+
+def flows_sql(body: str, extra: str = "") -> str:
+    """Query over ``flows``, ``lf`` (labelled flows) and ``prep``."""
+    inner = with_sql("SELECT 1", "flows")
+    ctes = inner[len("WITH "):inner.rindex("\nSELECT 1")]
+    more = f",\n{extra}" if extra else ""
+    return f"WITH {ctes},\nlf AS ({LF}),\nprep AS ({PREP}){more}\n{body}"
+
+
+def any_sql(body: str, *names: str, extra: str = "") -> str:
+    inner = with_sql("SELECT 1", *names)
+    ctes = inner[len("WITH "):inner.rindex("\nSELECT 1")]
+    more = f",\n{extra}" if extra else ""
+    return f"WITH {ctes}{more}\n{body}"

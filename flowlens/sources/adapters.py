@@ -145,6 +145,31 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
 
+# Adapter column -> flow-meter CSV header, to rebuild a raw-looking table.
+RAW_HEADERS = {
+    "flow_key": "Flow ID", "src_ip": "Src IP", "dst_ip": "Dst IP", "protocol": "Protocol",
+    "flow_ts": "Timestamp", "flow_duration": "Flow Duration", "total_fwd_packets": "Tot Fwd Pkts",
+    "total_backward_packets": "Tot Bwd Pkts", "fwd_packets_length_total": "TotLen Fwd Pkts",
+    "bwd_packets_length_total": "TotLen Bwd Pkts", "fwd_packet_length_mean": "Fwd Pkt Len Mean",
+    "fwd_packet_length_min": "Fwd Pkt Len Min", "fwd_packet_length_std": "Fwd Pkt Len Std",
+    "bwd_packet_length_mean": "Bwd Pkt Len Mean", "bwd_packet_length_min": "Bwd Pkt Len Min",
+    "bwd_packet_length_std": "Bwd Pkt Len Std", "fwd_iat_mean": "Fwd IAT Mean", "fwd_iat_std": "Fwd IAT Std",
+    "bwd_iat_mean": "Bwd IAT Mean", "bwd_iat_std": "Bwd IAT Std", "flow_packets/s": "Flow Pkts/s",
+    "fwd_packets/s": "Fwd Pkts/s", "active_mean": "Active Mean", "active_std": "Active Std",
+    "idle_mean": "Idle Mean", "idle_std": "Idle Std", "avg_fwd_segment_size": "Fwd Seg Size Avg",
+    "avg_bwd_segment_size": "Bwd Seg Size Avg", "fin_flag_count": "FIN Flag Cnt",
+    "syn_flag_count": "SYN Flag Cnt", "rst_flag_count": "RST Flag Cnt", "psh_flag_count": "PSH Flag Cnt",
+    "ack_flag_count": "ACK Flag Cnt", "urg_flag_count": "URG Flag Cnt", "cwe_flag_count": "CWE Flag Count",
+    "ece_flag_count": "ECE Flag Cnt", "raw_label": "Label",
+}
+
+
+def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow table under flow-meter CSV headers."""
+    f = flows(spark, sf_dir)
+    return f.select([F.col(f"`{n}`").alias(RAW_HEADERS.get(n, n)) for n in f.columns])
+
+
 # ---------------------------------------------------------- predictions ----
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
