@@ -205,6 +205,68 @@ FROM (
 """
 
 
+# -------------------------------------------------------------- results ----
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result table of a scoring run (A3): scores + flow metadata, one join.
+
+    Scores come from ``predictions``; metadata from the same lineitem row."""
+    from ..operators.fusion import model_label
+    l = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    j = l.join(o, l.l_orderkey == o.o_orderkey, "inner")
+    actual = (F.when(o.o_orderpriority == "5-LOW", 0).when(o.o_orderpriority == "2-HIGH", 1)
+              .when(o.o_orderpriority == "1-URGENT", 2).when(o.o_orderpriority == "4-NOT SPECIFIED", 3)
+              .otherwise(4))
+    shift = F.when(l.l_partkey % 10 < 8, F.lit(0).cast("long")).otherwise(l.l_partkey % 5)
+    pred = ((actual + shift) % 5).cast("int")
+    s = ((l.l_partkey * 7919 + l.l_suppkey * 31 + l.l_linenumber) % 1009).cast("double") / 1009.0
+    u = l.l_extendedprice * l.l_quantity * 20
+    ln = l.l_linenumber
+    proto = F.when(ln % 3 == 0, "HOPOPT").when(ln % 3 == 1, "TCP").otherwise("UDP")
+    return j.select(
+        flow_key_expr(l).alias("flow_key"),
+        l.l_shipdate.alias("timestamp"),
+        F.concat(F.lit("c"), o.o_custkey.cast("string")).alias("src_ip"),
+        F.concat(F.lit("s"), l.l_suppkey.cast("string")).alias("dst_ip"),
+        proto.alias("protocol"),
+        F.bround(l.l_quantity + ln + K.EPS, 0).cast("long").alias("total_packets"),
+        F.bround(l.l_extendedprice + l.l_extendedprice * l.l_discount + K.EPS, 0).cast("long").alias("total_bytes"),
+        s.alias("attack_score_supervised"),
+        u.alias("attack_score_unsupervised"),
+        (F.lit(K.W_SUPERVISED) * s + F.lit(K.W_UNSUPERVISED) * u).alias("combined_score"),
+        pred.alias("predicted_label_encoded"),
+        F.when(pred != 0, F.concat(F.lit("predicted "), model_label(pred))).alias("explanation"),
+    )
+
+
+def model_label_sql(x: str) -> str:
+    from ..operators.fusion import MODEL_CLASSES
+    return "CASE " + x + " " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(MODEL_CLASSES)) + " END"
+
+
+RESULTS_SQL = f"""
+SELECT flow_key, timestamp, src_ip, dst_ip, protocol, total_packets, total_bytes,
+  attack_score_supervised, attack_score_unsupervised,
+  0.3::DOUBLE * attack_score_supervised + 0.7::DOUBLE * attack_score_unsupervised AS combined_score,
+  predicted_label_encoded,
+  CASE WHEN predicted_label_encoded <> 0 THEN concat('predicted ', {model_label_sql('predicted_label_encoded')})
+  END AS explanation
+FROM (
+  SELECT {FLOW_KEY_SQL} AS flow_key, l_shipdate AS timestamp,
+    concat('c', cast(o_custkey AS VARCHAR)) AS src_ip, concat('s', cast(l_suppkey AS VARCHAR)) AS dst_ip,
+    CASE l_linenumber % 3 WHEN 0 THEN 'HOPOPT' WHEN 1 THEN 'TCP' ELSE 'UDP' END AS protocol,
+    cast(round_even(l_quantity + l_linenumber + 0.001, 0) AS BIGINT) AS total_packets,
+    cast(round_even(l_extendedprice + l_extendedprice * l_discount + 0.001, 0) AS BIGINT) AS total_bytes,
+    cast((l_partkey * 7919 + l_suppkey * 31 + l_linenumber) % 1009 AS DOUBLE) / 1009.0 AS attack_score_supervised,
+    l_extendedprice * l_quantity * 20 AS attack_score_unsupervised,
+    cast(((CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2
+         WHEN '4-NOT SPECIFIED' THEN 3 ELSE 4 END) + (CASE WHEN l_partkey % 10 < 8 THEN 0 ELSE l_partkey % 5 END)) % 5
+      AS INTEGER) AS predicted_label_encoded
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) r
+"""
+
+
 # ------------------------------------------------------------ log tables ----
 
 def _severity_infer(attack_type: F.Column, confidence: F.Column) -> F.Column:
@@ -323,7 +385,7 @@ ERRORS_SQL = "SELECT event_id, ts, user_id % 4 AS sensor, value AS error FROM ev
 
 def with_sql(body: str, *names: str) -> str:
     """Prefix a query with the CTEs of the named adapters."""
-    defs = {"flows": FLOWS_SQL, "predictions": PREDICTIONS_SQL, "attack_log": ATTACK_LOG_SQL,
+    defs = {"flows": FLOWS_SQL, "predictions": PREDICTIONS_SQL, "results": RESULTS_SQL, "attack_log": ATTACK_LOG_SQL,
             "alert_log": ALERT_LOG_SQL, "packets": PACKETS_SQL, "errors": ERRORS_SQL}
     need = list(names)
     if "alert_log" in need and "attack_log" not in need:
