@@ -106,18 +106,31 @@ def train_reconstruction(benign: DataFrame, k: int, features: str = "features")
     return Pipeline(stages=[PCA(k=k, inputCol=features, outputCol="__pc")]).fit(benign)
 
 
-def reconstruct(model: PipelineModel, df: DataFrame, features: str = "features", out: str = "recon") -> DataFrame:
-    """x_hat = P P^T x with the fitted principal axes (the data is used
-    uncentred, as PCA here projects without centring).  The d x k matrix is
-    small (bounded by the feature count) and travels in the plan."""
+def reconstruct(model: PipelineModel, df: DataFrame, features: str = "features_arr", out: str = "recon_error",
+                keep_recon: bool = False) -> DataFrame:
+    """Reconstruction x_hat = x P P^T with the fitted principal axes and the
+    mean squared error per row.  The d x k axis matrix is small (bounded by
+    the feature count) and ships with the task; each Arrow batch is one
+    matrix product."""
+    import numpy as np
     pca = model.stages[-1]
-    P = pca.pc.toArray()                       # d x k
-    rows = P @ P.T                             # d x d
-    mat = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in rows])
-    x = vector_to_array(F.col(features))
-    xhat = F.transform(mat, lambda r: F.aggregate(F.zip_with(r, x, lambda a, b: a * b), F.lit(0.0),
-                                                  lambda acc, v: acc + v))
-    return df.withColumn(out, xhat)
+    P = pca.pc.toArray()
+    proj = P @ P.T
+    cols = df.columns
+    extra = [F.lit(0.0).alias(out)] + ([F.array().cast("array<double>").alias("recon")] if keep_recon else [])
+    schema = df.select("*", *extra).schema
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf[features].to_numpy()).astype("float64")
+            Xh = X @ proj
+            pdf[out] = ((X - Xh) ** 2).mean(axis=1)
+            if keep_recon:
+                pdf["recon"] = list(Xh)
+            yield pdf[cols + [out] + (["recon"] if keep_recon else [])]
+    return df.mapInPandas(run, schema)
 
 
 def reconstruction_error(x, xhat):

@@ -113,6 +113,8 @@ def flows_sql(body: str, extra: str = "") -> str:
 
 
 def any_sql(body: str, *names: str, extra: str = "") -> str:
+    if not names:
+        return f"WITH {extra}\n{body}" if extra else body
     inner = with_sql("SELECT 1", *names)
     ctes = inner[len("WITH "):inner.rindex("\nSELECT 1")]
     more = f",\n{extra}" if extra else ""
