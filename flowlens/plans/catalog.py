@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_features", "q_clean", "q_fusion", "q_logs", "q_eval", "q_select", "q_models", "q_explain", "q_sources"]
+MODULES = ["q_features", "q_clean", "q_fusion", "q_logs", "q_eval", "q_select", "q_models", "q_explain", "q_sources", "q_stream"]
 
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")
