@@ -98,16 +98,17 @@ def decide(results: DataFrame, label_col: str = "xgb_label", cfg: dict | None =
     return out.drop("ae_norm")
 
 
-def join_metadata(decisions: DataFrame, results: DataFrame, key: str = "flow_key",
+def join_metadata(decisions: DataFrame, results: DataFrame, key: str | list[str] = "flow_key",
                   check: bool = True) -> DataFrame:
     """Decision rows left-joined to separately computed result rows by key.
 
     ``check`` verifies the key is unique on the results side (one job that
-    stops at the first duplicate)."""
-    if check and results.groupBy(key).count().filter("count > 1").limit(1).count() > 0:
-        raise ValueError(f"{key} is not unique in the result table")
-    meta = [n for n in results.columns if n not in decisions.columns or n == key]
-    return decisions.join(results.select(*meta), key, "left")
+    stops at the first duplicate) — a one-to-one join or an error."""
+    keys = [key] if isinstance(key, str) else list(key)
+    if check and results.groupBy(*keys).count().filter("count > 1").limit(1).count() > 0:
+        raise ValueError(f"{keys} is not unique in the result table")
+    meta = [n for n in results.columns if n not in decisions.columns or n in keys]
+    return decisions.join(results.select(*meta), keys, "left")
 
 
 def severity_summary(decisions: DataFrame) -> DataFrame:

@@ -12,7 +12,12 @@ from ..sources import adapters
 from .registry import register, rounded
 from .sql_common import any_sql
 
-Y = F.col("actual_code") != 0
+
+
+def attack(col: str = "actual_code"):
+    """Binary label: any class other than 0 (Benign) is an attack."""
+    return F.col(col) != 0
+
 ROC_BUCKETS = 4
 
 
@@ -31,7 +36,7 @@ def psql(body: str, extra: str = "") -> str:
 
 
 def fpr_budget(spark, sf):
-    return ev.threshold_fpr_budget(preds(spark, sf), Y, "ae_score", buckets=ROC_BUCKETS)
+    return ev.threshold_fpr_budget(preds(spark, sf), attack(), "ae_score", buckets=ROC_BUCKETS)
 
 
 # ------------------------------------------------------------ classes ----
@@ -100,13 +105,13 @@ def pr_precision_floor(spark, sf_dir):
 @register("roc_curve", psql("SELECT threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM pts"))
 def roc_curve(spark, sf_dir):
     """(threshold, TPR, FPR) at every distinct reconstruction error."""
-    return rounded(ev.roc_curve(preds(spark, sf_dir), Y, "ae_score", buckets=ROC_BUCKETS), 9, only=["tpr", "fpr"])
+    return rounded(ev.roc_curve(preds(spark, sf_dir), attack(), "ae_score", buckets=ROC_BUCKETS), 9, only=["tpr", "fpr"])
 
 
 @register("roc_auc", psql(
     "SELECT round(sum((neg / N) * ((2 * cum_pos - pos) / (2 * P))), 9) AS roc_auc FROM pts"))
 def roc_auc(spark, sf_dir):
-    return rounded(ev.roc_auc(preds(spark, sf_dir), Y, "ae_score", buckets=ROC_BUCKETS), 9)
+    return rounded(ev.roc_auc(preds(spark, sf_dir), attack(), "ae_score", buckets=ROC_BUCKETS), 9)
 
 
 @register("threshold_fpr_budget", psql("SELECT threshold FROM thr"))
@@ -117,7 +122,7 @@ def threshold_fpr_budget(spark, sf_dir):
 @register("threshold_youden", psql(
     "SELECT threshold, round(tpr - fpr, 9) AS youden_j FROM pts ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1"))
 def threshold_youden(spark, sf_dir):
-    return rounded(ev.threshold_youden(preds(spark, sf_dir), Y, "ae_score", buckets=ROC_BUCKETS), 9,
+    return rounded(ev.threshold_youden(preds(spark, sf_dir), attack(), "ae_score", buckets=ROC_BUCKETS), 9,
                    only=["youden_j"])
 
 
@@ -131,10 +136,10 @@ FROM yb CROSS JOIN (
 def eval_thresholds(spark, sf_dir):
     """FPR % / TPR % at the benign P99, the ROC-optimal and the FPR-budget thresholds."""
     p = preds(spark, sf_dir)
-    p99 = ev.percentile_threshold(p.filter(~Y), "ae_score", 0.99).select(F.col("threshold").alias("p99"))
-    yo = ev.threshold_youden(p, Y, "ae_score", buckets=ROC_BUCKETS).select(F.col("threshold").alias("roc_optimal"))
+    p99 = ev.percentile_threshold(p.filter(~attack()), "ae_score", 0.99).select(F.col("threshold").alias("p99"))
+    yo = ev.threshold_youden(p, attack(), "ae_score", buckets=ROC_BUCKETS).select(F.col("threshold").alias("roc_optimal"))
     fb = fpr_budget(spark, sf_dir).select(F.col("threshold").alias("fpr_budget"))
-    out = ev.eval_thresholds(p, Y, "ae_score", p99.crossJoin(yo).crossJoin(fb))
+    out = ev.eval_thresholds(p, attack(), "ae_score", p99.crossJoin(yo).crossJoin(fb))
     return rounded(out, 6, only=["fpr_pct", "tpr_pct"])
 
 
@@ -143,7 +148,7 @@ SELECT sum(CASE WHEN ae_score >= threshold THEN 1 ELSE 0 END)::BIGINT AS flagged
   sum(CASE WHEN ae_score >= threshold AND y = 0 THEN 1 ELSE 0 END)::BIGINT AS false_positives,
   sum(y)::BIGINT AS expected_anomalies FROM yb CROSS JOIN thr"""))
 def false_positive_count(spark, sf_dir):
-    return ev.false_positive_count(preds(spark, sf_dir), Y, "ae_score", fpr_budget(spark, sf_dir))
+    return ev.false_positive_count(preds(spark, sf_dir), attack(), "ae_score", fpr_budget(spark, sf_dir))
 
 
 @register("fp_scenarios", psql("""
@@ -162,7 +167,7 @@ bands AS (SELECT 'light' AS band, q[1] AS lo, q[2] AS hi FROM q UNION ALL SELECT
 def fp_scenarios(spark, sf_dir):
     """Benign errors in percentile bands vs the FPR-budget threshold, PASS < 5 %."""
     p = preds(spark, sf_dir)
-    return ev.fp_scenarios(p.filter(~Y), "ae_score", fpr_budget(spark, sf_dir))
+    return ev.fp_scenarios(p.filter(~attack()), "ae_score", fpr_budget(spark, sf_dir))
 
 
 NORM_SQL = ("nrm AS (SELECT quantile_cont(ae_score, 0.0) AS p0, quantile_cont(ae_score, 0.99) AS p99 "
@@ -181,8 +186,8 @@ FROM (SELECT avg(CASE WHEN y = 0 THEN ae_score END) AS mb, avg(CASE WHEN y = 1 T
 CROSS JOIN nrm CROSS JOIN thr""", NORM_SQL))
 def normalized_means(spark, sf_dir):
     p = preds(spark, sf_dir)
-    norm = ev.fit_score_norm(p.filter(~Y), "ae_score")
-    return rounded(ev.normalized_means(p, Y, "ae_score", norm, fpr_budget(spark, sf_dir)), 9)
+    norm = ev.fit_score_norm(p.filter(~attack()), "ae_score")
+    return rounded(ev.normalized_means(p, attack(), "ae_score", norm, fpr_budget(spark, sf_dir)), 9)
 
 
 @register("ae_params_table", psql(f"""
@@ -195,12 +200,12 @@ def ae_params_table(spark, sf_dir):
     """One row of score parameters: p0, p99, threshold, normalised threshold,
     ROC-AUC, FPR % and TPR % at the threshold."""
     p = preds(spark, sf_dir)
-    pts = ev.roc_points(p, Y, "ae_score", buckets=ROC_BUCKETS)
+    pts = ev.roc_points(p, attack(), "ae_score", buckets=ROC_BUCKETS)
     thr = pts.filter(F.col("fpr") < 0.02).agg(F.min(F.struct("threshold", "fpr", "tpr")).alias("m")).select(
         F.col("m.threshold").alias("threshold"), (F.col("m.fpr") * 100).alias("fpr_pct"),
         (F.col("m.tpr") * 100).alias("tpr_pct"))
-    auc = ev.roc_auc(p, Y, "ae_score", buckets=ROC_BUCKETS)
-    norm = ev.fit_score_norm(p.filter(~Y), "ae_score")
+    auc = ev.roc_auc(p, attack(), "ae_score", buckets=ROC_BUCKETS)
+    norm = ev.fit_score_norm(p.filter(~attack()), "ae_score")
     out = norm.crossJoin(thr).crossJoin(auc).select(
         "p0", "p99", "threshold",
         F.round(ev.normalize_score(F.col("threshold"), F.col("p0"), F.col("p99")), 9).alias("normalized_threshold"),
@@ -217,7 +222,7 @@ SELECT (SELECT quantile_cont(attack_score_supervised, 0.95) FROM predictions) AS
 def percentile_threshold(spark, sf_dir):
     p = preds(spark, sf_dir)
     a = ev.percentile_threshold(p, "attack_score_supervised", 0.95).select(F.col("threshold").alias("p95_supervised"))
-    b = ev.percentile_threshold(p.filter(~Y), "ae_score", 0.99).select(F.col("threshold").alias("p99_benign_error"))
+    b = ev.percentile_threshold(p.filter(~attack()), "ae_score", 0.99).select(F.col("threshold").alias("p99_benign_error"))
     return a.crossJoin(b)
 
 
@@ -226,7 +231,7 @@ SELECT flow_key, CASE WHEN ae_score >= (SELECT quantile_cont(ae_score, 0.99) FRO
   AS anomaly FROM predictions"""))
 def anomaly_flag(spark, sf_dir):
     p = preds(spark, sf_dir)
-    t = ev.percentile_threshold(p.filter(~Y), "ae_score", 0.99)
+    t = ev.percentile_threshold(p.filter(~attack()), "ae_score", 0.99)
     return ev.anomaly_flag(p.select("flow_key", "ae_score"), "ae_score", t).select("flow_key", "anomaly")
 
 
@@ -234,7 +239,7 @@ def anomaly_flag(spark, sf_dir):
     f"SELECT flow_key, round({_clip_sql('ae_score')}, 9) AS ae_score_norm FROM predictions CROSS JOIN nrm", NORM_SQL))
 def normalize_ae_score(spark, sf_dir):
     p = preds(spark, sf_dir)
-    norm = ev.fit_score_norm(p.filter(~Y), "ae_score")
+    norm = ev.fit_score_norm(p.filter(~attack()), "ae_score")
     x = p.select("flow_key", "ae_score").crossJoin(F.broadcast(norm))
     return x.select("flow_key", F.round(ev.normalize_score(F.col("ae_score"), F.col("p0"), F.col("p99")), 9)
                     .alias("ae_score_norm"))

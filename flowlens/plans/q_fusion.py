@@ -107,11 +107,11 @@ def join_metadata(spark, sf_dir):
     """Decisions computed on the score columns only, then left-joined back to
     the result metadata by flow key (uniqueness checked)."""
     r = scored(spark, sf_dir)
-    d = fu.decide(r.select("flow_key", "attack_score_supervised", "attack_score_unsupervised", "xgb_label"),
+    key = ["flow_key", "src_ip", "timestamp"]      # flow_key alone can collide on small tables
+    d = fu.decide(r.select(*key, "attack_score_supervised", "attack_score_unsupervised", "xgb_label"),
                   decided_at=F.lit(None).cast("timestamp"))
-    j = fu.join_metadata(d.select("flow_key", "attack", "severity"), r.select("flow_key", "src_ip", "dst_ip",
-                                                                                   "timestamp"))
-    return j
+    j = fu.join_metadata(d.select(*key, "attack", "severity"), r.select(*key, "dst_ip"), key)
+    return j.select("flow_key", "attack", "severity", "src_ip", "dst_ip", "timestamp")
 
 
 @register("severity_summary", dec_sql("SELECT severity, count(*) AS n FROM dec GROUP BY severity"))
