@@ -89,8 +89,11 @@ def decide(results: DataFrame, label_col: str = "xgb_label", cfg: dict | None =
     """Results (scores + metadata) -> decision table with the metadata kept
     on the same row (no join needed: decisions are row-wise)."""
     x = ae_score_fallback(results) if "ae_score" not in results.columns else results
-    x = minmax_confidence(x)
-    x = minmax_ae(x)
+    # both batch ranges in one aggregation pass
+    sup = "attack_score_supervised"
+    rng = fit_score_range(x, [sup, "ae_score"] if sup in x.columns else ["ae_score"])
+    x = minmax_confidence(x, rng=rng)
+    x = minmax_ae(x, rng=rng)
     cols = fusion_columns(c("ae_score"), c("ae_norm"), c("xgb_confidence"), c(label_col), cfg)
     out = x.select("*", *[v.alias(n) for n, v in cols.items()])
     out = out.withColumn("attack_type", F.when(F.col("attack"), c(label_col)).otherwise(F.lit("None")))
