@@ -206,37 +206,45 @@ def _binom_sf(k: int, n: int, p: float = 0.5) -> float:
 
 
 def boruta_select(df: DataFrame, features: list[str], label: str = "label", key: str = "flow_key",
-                  rounds: int = 20, trees: int = 100, alpha: float = 0.05, seed: int = K.SEED) -> DataFrame:
+                  rounds: int = 20, trees: int = 100, alpha: float = 0.05, seed: int = K.SEED,
+                  parallel_rounds: int = 4) -> DataFrame:
     """All-relevant selection with shadow features.
 
-    Each round builds shadow columns by permuting every feature across rows
-    (rows re-paired through a seeded hash rank, an equi-join), fits a forest
-    on real + shadow features and records a hit for every real feature
-    beating the best shadow.  A two-sided binomial test over the rounds
-    (Bonferroni over features) confirms or rejects; the test runs on the
-    driver over one count per feature."""
+    Rows get one exact seeded rank (histogram ranks, no single-task window).
+    Round r pairs row k with row (a_r * k + b_r) mod n — a permutation, as
+    gcd(a_r, n) = 1 — and takes that row's values as shadow features (one
+    equi-join per round); a forest on real + shadow features records a hit
+    for every real feature beating the best shadow.  A two-sided binomial
+    test over the rounds (Bonferroni over features) confirms or rejects; it
+    runs on the driver over one count per feature."""
     from pyspark.ml.classification import RandomForestClassifier
     from .models import assemble
-    base = df.select(key, label, *[c(f) for f in features]).withColumn(
-        "__pos", seeded_hash(F.col(key), seed))
+    base = df.select(key, label, *[c(f).alias(f"f{i}") for i, f in enumerate(features)])
     ranked = rank_within(base.withColumn("__all", F.lit(1)), "__all", key, seed).drop("__all", "n")
-    ranked = ranked.cache()
-    hits = [0] * len(features)
+    ranked = ranked.checkpoint()                      # reused by every round
+    n = ranked.count()
     names = [f"f{i}" for i in range(len(features))]
-    for r in range(rounds):
-        s2 = seed + 7 * (r + 1)
-        perm = rank_within(base.withColumn("__all", F.lit(1)), "__all", key, s2).select(
-            F.col("rank"), *[c(f).alias(f"sh{i}") for i, f in enumerate(features)])
-        x = ranked.join(perm, "rank").select(label, *[c(f).alias(n) for f, n in zip(features, names)],
-                                             *[f"sh{i}" for i in range(len(features))])
-        cols = names + [f"sh{i}" for i in range(len(features))]
-        v = assemble(x, cols)
-        m = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=s2).fit(v)
+    shadows = [f"sh{i}" for i in range(len(features))]
+    def one_round(r: int) -> list[int]:
+        a = 7919 + 104729 * r
+        while math.gcd(a, n) != 1:
+            a += 1
+        b = (seed * 31 + r * 2654435761) % max(n, 1)
+        src = ranked.select(((F.col("rank") * a + b) % n).alias("rank"),
+                            *[F.col(x).alias(y) for x, y in zip(names, shadows)])
+        x = ranked.join(src, "rank").select(label, *names, *shadows)
+        m = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees,
+                                   seed=seed + r).fit(assemble(x, names + shadows))
         imp = m.featureImportances.toArray()
         best_shadow = max(imp[len(features):]) if len(imp) > len(features) else 0.0
-        for i in range(len(features)):
-            hits[i] += int(imp[i] > best_shadow)
-    ranked.unpersist()
+        return [int(imp[i] > best_shadow) for i in range(len(features))]
+
+    # rounds are independent: submit their jobs from a few driver threads so
+    # the cluster is not idle between the small stages of one forest
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallel_rounds) as pool:
+        per_round = list(pool.map(one_round, range(rounds)))
+    hits = [sum(col) for col in zip(*per_round)]
     a = alpha / max(len(features), 1)
     rows = []
     for f, h in zip(features, hits):

@@ -93,7 +93,7 @@ def train_isolation_forest(spark, sf_dir):
     s = split(spark, sf_dir)
     benign_train = s.filter((F.col("split") == "train") & (F.col("label") == 0))
     nodes = iforest.fit(benign_train, "features_arr", "vec_id", trees=200, sample_size=256)
-    nodes = nodes.cache()
+    nodes = nodes.checkpoint()          # built once, read by two scoring passes
     scored = iforest.score(s.select("vec_id", "label", "split", "features_arr"), nodes, "features_arr")
     from ..operators.evaluate import percentile_threshold
     thr = percentile_threshold(scored.filter((F.col("split") == "train") & (F.col("label") == 0)), "iso_score", 0.95)

@@ -65,6 +65,7 @@ def select_feature_list(train: DataFrame, candidates: list[str], top: int = K.TO
     cands = [c for c in cands if c not in dropped]
     med = clean.fit_medians(train, cands, exact=False)
     imp = clean.impute_median(train.select("label", *[F.col(f"`{c}`") for c in cands]), med, cands)
+    imp = imp.checkpoint()                    # read by every ranking pass
     ranks = [sl.top_k(sl.anova_scores(imp, cands), top, digits=6).select(F.lit(0).alias("method_order"), "feature",
                                                                         "rank", "selected"),
              sl.top_k(sl.mi_scores(imp, cands), top, digits=9).select(F.lit(1).alias("method_order"), "feature",
@@ -91,7 +92,7 @@ def train(spark: SparkSession, flows: DataFrame, trees: int = 300, depth: int =
     medians = clean.fit_medians(tr, features, exact=False)
     imp = clean.impute_median(tr.select("flow_key", "label", *[F.col(f"`{f}`") for f in features]), medians, features)
     scaler = clean.fit_scaler(imp, features)
-    scaled = clean.standard_scale(imp, scaler, features)
+    scaled = clean.standard_scale(imp, scaler, features).checkpoint()   # feeds codes, forest and PCA
     codes = clean.fit_label_codes(scaled)
     rows, model_codes = clean.filter_rare_reencode(scaled, codes)
     vec = md.assemble(rows, features)

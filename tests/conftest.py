@@ -16,6 +16,6 @@ def spark():
     from flowlens.session import get_session
     ck = tempfile.mkdtemp(prefix="flowlens-test-ckpt-")
     s = get_session("local[*]", app="flowlens-tests", shuffle_partitions=8,
-                    extra={"spark.checkpoint.dir": ck})
+                    extra={"spark.checkpoint.dir": ck, "spark.driver.memory": "8g"})
     yield s
     s.stop()
