@@ -258,14 +258,16 @@ def align_report(spark, df_columns: list[str], features: list[str]) -> DataFrame
 
 
 def fit_medians(df: DataFrame, features: list[str], exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """One row of medians, one pass over the data.
-
-    ``exact`` uses ``median`` (percentile with interpolation, as the
-    reference); for very large tables ``exact=False`` uses the bounded-memory
-    ``percentile_approx``."""
-    agg = [(F.median(c(f)) if exact else F.percentile_approx(c(f), 0.5, accuracy)).cast("double").alias(f)
-           for f in features]
-    return df.agg(*agg)
+    """One row of medians.
+
+    ``exact`` gives the interpolated median of the reference; on large
+    tables it brackets and band-selects instead of holding a column in one
+    buffer (``operators.quantiles``).  ``exact=False`` uses the one-pass,
+    bounded-memory ``percentile_approx``."""
+    if exact:
+        from .quantiles import quantile_row
+        return quantile_row(df, features, 0.5)
+    return df.agg(*[F.percentile_approx(c(f), 0.5, accuracy).cast("double").alias(f) for f in features])
 
 
 def impute_median(df: DataFrame, medians: DataFrame, features: list[str]) -> DataFrame:

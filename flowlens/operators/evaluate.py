@@ -103,18 +103,24 @@ def bucket_of(score: Column, bounds: list[float]) -> Column:
     return b
 
 
-def descending_prefix(g: DataFrame, score: str, sums: list[str], buckets: int = 1) -> DataFrame:
-    """Inclusive running sums of ``sums`` ordered by ``score`` descending.
-
-    ``g`` holds one row per distinct score.  With ``buckets > 1`` the running
-    sum is split over quantile buckets so no single task sees every row."""
+def descending_prefix(g: DataFrame, score: str, sums: list[str], buckets: int = 1,
+                      part: list[str] | None = None) -> DataFrame:
+    """Inclusive running sums of ``sums`` ordered by ``score`` descending
+    (per ``part`` when given).
+
+    ``g`` holds one row per (part, distinct score).  With ``buckets > 1`` the
+    running sum is split over score-quantile buckets, so no single task sees
+    every row of a part; offsets come from the per-(part, bucket) totals (a
+    small table: parts x buckets rows)."""
+    part = part or []
     bounds = bucket_bounds(g, score, buckets) if buckets > 1 else []
     x = g.withColumn("__b", bucket_of(F.col(score), bounds))
-    tot = x.groupBy("__b").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    wb = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("__b", *[F.coalesce(F.sum(f"__t_{s}").over(wb), F.lit(0)).alias(f"__o_{s}") for s in sums])
-    w = Window.partitionBy("__b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    y = x.join(F.broadcast(off), "__b")
+    tot = x.groupBy(*part, "__b").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    wb = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*part, "__b",
+                     *[F.coalesce(F.sum(f"__t_{s}").over(wb), F.lit(0)).alias(f"__o_{s}") for s in sums])
+    w = Window.partitionBy(*part, "__b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    y = x.join(F.broadcast(off), [*part, "__b"])
     return y.select(*[c for c in g.columns],
                     *[(F.sum(s).over(w) + F.col(f"__o_{s}")).alias(f"cum_{s}") for s in sums])
 
@@ -168,18 +174,15 @@ def pr_precision_floor(df: DataFrame, classes: list, actual: str, predicted: str
     """Per class (one-vs-rest; the class score is ``score`` where the class is
     predicted, else 0): lowest threshold whose precision >= floor, with its
     recall.  No closing point: a class with no such threshold gets NULL."""
-    parts = []
-    for cl in classes:
-        s = F.when(F.col(predicted) == cl, F.col(score)).otherwise(F.lit(0.0))
-        y = (F.col(actual) == cl).cast("long")
-        g = df.groupBy(s.alias("score")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-        parts.append(g.withColumn("cls", F.lit(str(cl))))
-    g = parts[0]
-    for p in parts[1:]:
-        g = g.unionByName(p)
-    w = Window.partitionBy("cls").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.select("cls", "score", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("k"),
-                 F.sum("pos").over(Window.partitionBy("cls")).alias("P"))
+    # one scan: every row contributes one (class, class score, is-class) entry per class
+    entries = F.array(*[F.struct(F.lit(str(cl)).alias("cls"),
+                                 F.when(F.col(predicted) == cl, F.col(score)).otherwise(F.lit(0.0)).alias("score"),
+                                 (F.col(actual) == cl).cast("long").alias("y")) for cl in classes])
+    e = df.select(F.explode(entries).alias("e")).select("e.*")
+    g = e.groupBy("cls", "score").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    tot = g.groupBy("cls").agg(F.sum("pos").alias("P"))
+    c = descending_prefix(g, "score", ["pos", "n"], buckets, part=["cls"]).join(F.broadcast(tot), "cls")
+    c = c.select("cls", "score", F.col("cum_pos").alias("tp"), F.col("cum_n").alias("k"), "P")
     c = c.select("cls", "score", (F.col("tp") / F.col("k")).alias("precision"),
                  F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(0.0)).alias("recall"))
     ok = c.filter(F.col("precision") >= floor).groupBy("cls").agg(
@@ -236,8 +239,9 @@ def anomaly_flag(df: DataFrame, score: str, threshold, out: str = "anomaly") ->
 
 
 def percentile_threshold(df: DataFrame, score: str, q: float) -> DataFrame:
-    """One row: the interpolated ``q`` percentile of ``score``."""
-    return df.agg(F.percentile(F.col(score), q).alias("threshold"))
+    """One row: the interpolated ``q`` percentile of ``score`` (exact)."""
+    from .quantiles import quantile_row
+    return quantile_row(df.select(score), [score], q).select(F.col(score).alias("threshold"))
 
 
 BANDS = [("light", 0.0, 0.25), ("normal", 0.25, 0.75), ("heavy", 0.75, 0.99), ("edge", 0.99, 1.0)]
@@ -251,9 +255,9 @@ def fp_scenarios(benign: DataFrame, score: str, threshold, limit_pct: float = K.
 
     The band table has four rows (broadcast); the range join is a broadcast
     nested-loop join against it."""
-    pct = benign.agg(F.percentile(F.col(score), sorted({p for _, lo, hi in bands for p in (lo, hi)}))
-                     .alias("q"))
+    from .quantiles import quantile_array
     levels = sorted({p for _, lo, hi in bands for p in (lo, hi)})
+    pct = quantile_array(benign, score, levels)
     rows = [F.struct(F.lit(n).alias("band"), F.lit(i).alias("ord"), F.col("q")[levels.index(lo)].alias("lo"),
                      F.col("q")[levels.index(hi)].alias("hi")) for i, (n, lo, hi) in enumerate(bands)]
     tab = pct.select(F.explode(F.array(*rows)).alias("b")).select("b.*")
@@ -282,8 +286,9 @@ def normalize_score(x: Column, p0: Column, p99: Column) -> Column:
 
 
 def fit_score_norm(benign_train: DataFrame, score: str) -> DataFrame:
-    """One row: p0 and p99 of the benign training scores (interpolated)."""
-    q = benign_train.agg(F.percentile(F.col(score), [0.0, 0.99]).alias("q"))
+    """One row: p0 and p99 of the benign training scores (interpolated, exact)."""
+    from .quantiles import quantile_array
+    q = quantile_array(benign_train, score, [0.0, 0.99])
     return q.select(F.col("q")[0].alias("p0"), F.col("q")[1].alias("p99"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..sources import adapters
-from .registry import register, rounded
+from .registry import freeze, register, rounded
 from .sql_common import any_sql
 
 
@@ -36,7 +36,8 @@ def psql(body: str, extra: str = "") -> str:
 
 
 def fpr_budget(spark, sf):
-    return ev.threshold_fpr_budget(preds(spark, sf), attack(), "ae_score", buckets=ROC_BUCKETS)
+    """The FPR-budget threshold as a one-row local table."""
+    return freeze(ev.threshold_fpr_budget(preds(spark, sf), attack(), "ae_score", buckets=ROC_BUCKETS))
 
 
 # ------------------------------------------------------------ classes ----
@@ -96,7 +97,7 @@ SELECT c.cls AS class, m.threshold, round(m.recall, 9) AS recall FROM (SELECT DI
         for k in CLASSES) + ")"))
 def pr_precision_floor(spark, sf_dir):
     out = ev.pr_precision_floor(preds(spark, sf_dir), CLASSES, "actual_code", "predicted_code",
-                                "attack_score_supervised")
+                                "attack_score_supervised", buckets=ROC_BUCKETS)
     return rounded(out, 9, only=["recall"])
 
 
@@ -139,7 +140,7 @@ def eval_thresholds(spark, sf_dir):
     p99 = ev.percentile_threshold(p.filter(~attack()), "ae_score", 0.99).select(F.col("threshold").alias("p99"))
     yo = ev.threshold_youden(p, attack(), "ae_score", buckets=ROC_BUCKETS).select(F.col("threshold").alias("roc_optimal"))
     fb = fpr_budget(spark, sf_dir).select(F.col("threshold").alias("fpr_budget"))
-    out = ev.eval_thresholds(p, attack(), "ae_score", p99.crossJoin(yo).crossJoin(fb))
+    out = ev.eval_thresholds(p, attack(), "ae_score", freeze(p99.crossJoin(yo).crossJoin(fb)))
     return rounded(out, 6, only=["fpr_pct", "tpr_pct"])
 
 
@@ -186,7 +187,7 @@ FROM (SELECT avg(CASE WHEN y = 0 THEN ae_score END) AS mb, avg(CASE WHEN y = 1 T
 CROSS JOIN nrm CROSS JOIN thr""", NORM_SQL))
 def normalized_means(spark, sf_dir):
     p = preds(spark, sf_dir)
-    norm = ev.fit_score_norm(p.filter(~attack()), "ae_score")
+    norm = freeze(ev.fit_score_norm(p.filter(~attack()), "ae_score"))
     return rounded(ev.normalized_means(p, attack(), "ae_score", norm, fpr_budget(spark, sf_dir)), 9)
 
 

@@ -34,3 +34,10 @@ def rounded(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> Da
         else:
             out.append(F.col(n))
     return df.select(out)
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """A small fitted result (one row, or one row per class / feature) as a
+    local relation, so plans that reuse it embed its values instead of
+    re-running the computation that produced it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -47,6 +47,13 @@ class Artifacts:
     extra: dict = field(default_factory=dict)
 
 
+def freeze(df: DataFrame) -> DataFrame:
+    """A fitted parameter table (one row, or one row per class / feature) as
+    a local relation: later plans embed its values instead of re-running the
+    aggregation that produced it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def labelled_features(flows: DataFrame, protocols: list[str]) -> DataFrame:
     x = fe.engineer(prepare_flows(flows, protocols))
     x = x.withColumnRenamed("raw_label", "label")
@@ -89,12 +96,13 @@ def train(spark: SparkSession, flows: DataFrame, trees: int = 300, depth: int =
     split = clean.stratified_split(feats, key="flow_key", col="label")
     tr = split.filter(F.col("split") == "train").checkpoint()        # reliable, shared folder
     features = select_feature_list(tr, CANDIDATES, use_forest=use_forest_rank)
-    medians = clean.fit_medians(tr, features, exact=False)
+    medians = freeze(clean.fit_medians(tr, features, exact=False))
     imp = clean.impute_median(tr.select("flow_key", "label", *[F.col(f"`{f}`") for f in features]), medians, features)
-    scaler = clean.fit_scaler(imp, features)
+    scaler = freeze(clean.fit_scaler(imp, features))
     scaled = clean.standard_scale(imp, scaler, features).checkpoint()   # feeds codes, forest and PCA
-    codes = clean.fit_label_codes(scaled)
+    codes = freeze(clean.fit_label_codes(scaled))
     rows, model_codes = clean.filter_rare_reencode(scaled, codes)
+    model_codes = freeze(model_codes)
     vec = md.assemble(rows, features)
     weighted = md.class_weights(vec, "model_code")
     forest = md.train_forest(weighted, "model_code", "weight", trees, depth, min_leaf)
@@ -103,7 +111,7 @@ def train(spark: SparkSession, flows: DataFrame, trees: int = 300, depth: int =
     benign_arr = benign.withColumn("features_arr", md.vector_to_array("features"))
     err = md.reconstruct(recon, benign_arr.select("features_arr"), "features_arr")
     from ..operators.evaluate import fit_score_norm
-    norm = fit_score_norm(err, "recon_error")
+    norm = freeze(fit_score_norm(err, "recon_error"))
     return Artifacts(protocols, features, medians, scaler, codes, model_codes, forest, recon, norm)
 
 

@@ -159,3 +159,16 @@ def test_roc_auc_ties_count_half(spark):
     assert auc == pytest.approx(0.875)
     auc4 = ev.roc_auc(df, F.col("y") == 1, "s", buckets=3).first().roc_auc
     assert auc4 == pytest.approx(0.875)
+
+
+def test_exact_quantiles_band_path_matches_percentile(spark):
+    from flowlens.operators.quantiles import exact_quantiles
+    import random
+    rnd = random.Random(5)
+    vals = [(rnd.choice([1.0, 2.0, 2.0, 3.5]) if i % 7 == 0 else rnd.gauss(0, 10),) for i in range(5000)]
+    vals += [(None,), (float("nan"),)]
+    df = spark.createDataFrame(vals, "x double")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    small = exact_quantiles(df, "x", qs)                                   # one-buffer path
+    band = exact_quantiles(df, "x", qs, accuracy=1000, small_rows=0)       # bracket + band select
+    assert band == pytest.approx(small, abs=1e-12)
