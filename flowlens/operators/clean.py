@@ -181,13 +181,15 @@ def seeded_hash(key: Column, seed: int = K.SEED) -> Column:
 
 def downsample_benign(df: DataFrame, n: int = K.BENIGN_SAMPLE, key: str = "flow_key",
                       col: str = "label", benign: str = K.BENIGN, seed: int = K.SEED) -> DataFrame:
-    """Exactly ``n`` benign rows, chosen by seeded hash (ties by key).
-
-    Distributed sort + limit: the single-partition step holds at most ``n``
-    rows per input partition, bounded by ``n`` not by the data."""
-    return (df.filter(F.col(col) == benign)
-            .withColumn("__h", seeded_hash(F.col(key), seed))
-            .orderBy("__h", key).limit(n).drop("__h"))
+    """Exactly ``n`` benign rows: the smallest (seeded hash, key).
+
+    No top-k merge (which would pull partitions x n rows into one task):
+    each row gets its exact rank from the hash histogram (bounded by the
+    hash domain) and rows with rank < n are kept."""
+    from .select import rank_within
+    b = df.filter(F.col(col) == benign).withColumn("__all", F.lit(1))
+    r = rank_within(b, "__all", key, seed)
+    return r.filter(F.col("rank") < n).drop("__all", "rank", "n")
 
 
 def balanced_union(df: DataFrame, n: int = K.BENIGN_SAMPLE, key: str = "flow_key",
