@@ -1,91 +1,124 @@
-"""Exact, interpolated quantiles that do not hold a column in one buffer.
+"""Exact, interpolated quantiles that never hold a column in one buffer.
 
-Spark's exact ``percentile`` / ``median`` keep every distinct value of the
-column in a single aggregation buffer (one task, memory grows with the
-data).  Up to ``small_rows`` rows that is fine and used directly.  Beyond
-it the k-th value is found exactly in two steps:
+Spark's exact ``percentile`` / ``median`` keep every distinct value of a
+column in a single aggregation buffer (one task; slow, and memory grows
+with the data).  Here the k-th value is found exactly, for all columns at
+once, in three passes:
 
-1. ``percentile_approx`` brackets the target rank: with accuracy A the
-   values at q - 2/A and q + 2/A enclose the true k-th value;
-2. rows below the bracket are counted, and only the rows inside it (about
-   4 n / A) are sorted to pick rank k (and k + 1 for interpolation).
+1. one aggregation: non-null count and ``percentile_approx`` brackets at
+   q - 2/A and q + 2/A per column (with accuracy A the true k-th value lies
+   inside the bracket);
+2. one aggregation: rows below each bracket;
+3. one window over the in-bracket values only (about 4 n / A per column,
+   A chosen so that this stays near a million): the (k - below)-th value
+   and its successor.
 
-The driver receives a handful of numbers per quantile, never the data.
 Interpolation is linear between the two neighbouring order statistics, as
-``percentile`` / numpy do.
+``percentile`` / numpy do.  The driver receives a few numbers per column.
+A bracket that misses (possible only with heavy ties at its edge) is
+widened and retried for that column.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 5_000_000
-
-
-def _values(df: DataFrame, col: str) -> DataFrame:
-    v = F.col(f"`{col}`").cast("double")
-    return df.select(v.alias("v")).filter(v.isNotNull() & ~F.isnan(v))
-
-
-def _kth_values(x: DataFrame, n: int, q: float, accuracy: int) -> float | None:
-    pos = q * (n - 1)
-    k0 = int(math.floor(pos))
-    k1 = min(k0 + 1, n - 1)
-    frac = pos - k0
-    eps = 2.0 / accuracy
-    while True:
-        lo_q, hi_q = q - eps, q + eps
-        probes = [p for p in (lo_q, hi_q) if 0.0 < p < 1.0]
-        got = dict(zip(probes, x.agg(F.percentile_approx("v", probes, accuracy)).first()[0])) if probes else {}
-        lo = got.get(lo_q, float("-inf"))
-        hi = got.get(hi_q, float("inf"))
-        below = x.filter(F.col("v") < lo).count() if lo != float("-inf") else 0
-        band = x.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-        want = k1 - k0 + 1
-        vals = [r.v for r in band.orderBy("v").offset(max(k0 - below, 0)).limit(want).collect()]
-        if k0 - below >= 0 and len(vals) == want:
-            a = vals[0]
-            b = vals[-1]
-            return a + frac * (b - a)
-        if eps >= 1.0:
-            return None
-        eps *= 4                                   # bracket missed (ties at the edge): widen
-
-
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], accuracy: int = 100000,
-                    small_rows: int = SMALL_ROWS) -> list[float | None]:
-    """Exact linear-interpolated quantiles of one column."""
-    x = _values(df, col)
-    n = x.count()
-    if n == 0:
-        return [None] * len(qs)
-    if n <= small_rows:
-        return list(x.agg(F.percentile("v", list(qs))).first()[0])
-    return [_kth_values(x, n, q, accuracy) for q in qs]
-
-
-def quantile_row(df: DataFrame, cols: list[str], q: float, accuracy: int = 100000,
-                 small_rows: int = SMALL_ROWS) -> DataFrame:
-    """One row, one column per input column: its exact q-quantile.
-
-    Small tables: one aggregation pass for all columns.  Large tables: the
-    bracket-and-band selection per column."""
-    n = df.count()
-    spark = df.sparkSession
-    if n <= small_rows:
-        return df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), q).alias(c) for c in cols])
-    vals = [exact_quantiles(df, c, [q], accuracy, small_rows)[0] for c in cols]
-    return spark.createDataFrame([tuple(vals)], ", ".join(f"`{c}` double" for c in cols))
-
-
-def quantile_array(df: DataFrame, col: str, qs: list[float], accuracy: int = 100000,
-                   small_rows: int = SMALL_ROWS) -> DataFrame:
+BAND_TARGET = 1_000_000
+
+
+def _accuracy(n: int) -> int:
+    return int(min(max(4 * n / BAND_TARGET, 10_000), 1_000_000))
+
+
+def _col(c: str):
+    v = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def exact_quantiles_multi(df: DataFrame, cols: list[str], q: float,
+                          small_rows: int = SMALL_ROWS) -> list[float | None]:
+    """Exact q-quantile of each column (NULL / NaN ignored)."""
+    if not cols:
+        return []
+    if q <= 0.0 or q >= 1.0:                      # the extremes are plain min / max
+        f = F.min if q <= 0.0 else F.max
+        row = df.agg(*[f(_col(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        return [row[f"m{i}"] for i in range(len(cols))]
+    first = df.agg(*[F.count(_col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    ns = [first[f"n{i}"] for i in range(len(cols))]
+    if max(ns) <= small_rows:
+        row = df.agg(*[F.percentile(_col(c), q).alias(f"p{i}") for i, c in enumerate(cols)]).first()
+        return [row[f"p{i}"] for i in range(len(cols))]
+    out: list[float | None] = [None] * len(cols)
+    eps = [2.0 / _accuracy(n) for n in ns]
+    todo = [i for i, n in enumerate(ns) if n > 0]
+    for _ in range(6):
+        if not todo:
+            break
+        aggs = []
+        for i in todo:
+            probes = [p for p in (q - eps[i], q + eps[i]) if 0.0 < p < 1.0]
+            aggs.append((F.percentile_approx(_col(cols[i]), probes, _accuracy(ns[i])) if probes
+                         else F.array().cast("array<double>")).alias(f"b{i}"))
+        got = df.agg(*aggs).first()
+        lo, hi = {}, {}
+        for i in todo:
+            vals = list(got[f"b{i}"])
+            lo[i] = vals.pop(0) if q - eps[i] > 0.0 else float("-inf")
+            hi[i] = vals.pop(0) if q + eps[i] < 1.0 else float("inf")
+        below = df.agg(*[F.count(F.when(_col(cols[i]) < lo[i], 1)).alias(f"c{i}") for i in todo]).first()
+        band = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), _col(cols[i]).alias("v")) for i in todo])).alias("e")).select("e.*")
+        band = band.filter(F.col("v").isNotNull())
+        cond = None
+        for i in todo:
+            ci = (F.col("i") == i) & (F.col("v") >= lo[i]) & (F.col("v") <= hi[i])
+            cond = ci if cond is None else (cond | ci)
+        w = Window.partitionBy("i").orderBy("v")
+        ranked = band.filter(cond).withColumn("r", F.row_number().over(w) - 1)
+        want = {}
+        for i in todo:
+            pos = q * (ns[i] - 1)
+            k0 = int(math.floor(pos))
+            k1 = min(k0 + 1, ns[i] - 1)
+            want[i] = (k0 - below[f"c{i}"], k1 - below[f"c{i}"], pos - k0)
+        pick = None
+        for i in todo:
+            ci = (F.col("i") == i) & F.col("r").isin(want[i][0], want[i][1])
+            pick = ci if pick is None else (pick | ci)
+        rows = ranked.filter(pick).select("i", "r", "v").collect()
+        found: dict = {}
+        for r in rows:
+            found.setdefault(r.i, {})[r.r] = r.v
+        missed = []
+        for i in todo:
+            r0, r1, frac = want[i]
+            f = found.get(i, {})
+            if r0 >= 0 and r0 in f and r1 in f:
+                out[i] = f[r0] + frac * (f[r1] - f[r0])
+            else:
+                missed.append(i)
+                eps[i] = min(eps[i] * 4, 1.0)
+        todo = missed
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], small_rows: int = SMALL_ROWS) -> list[float | None]:
+    """Exact quantiles ``qs`` of one column."""
+    return [exact_quantiles_multi(df, [col], q, small_rows)[0] for q in qs]
+
+
+def quantile_row(df: DataFrame, cols: list[str], q: float, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """One row, one column per input column: its exact q-quantile."""
+    vals = exact_quantiles_multi(df, cols, q, small_rows)
+    return df.sparkSession.createDataFrame([tuple(vals)], ", ".join(f"`{c}` double" for c in cols))
+
+
+def quantile_array(df: DataFrame, col: str, qs: list[float], small_rows: int = SMALL_ROWS) -> DataFrame:
     """One row with column ``q``: the exact quantiles ``qs`` of ``col``."""
-    n = df.count()
-    if n <= small_rows:
-        return df.agg(F.percentile(F.col(f"`{col}`").cast("double"), list(qs)).alias("q"))
-    vals = exact_quantiles(df, col, qs, accuracy, small_rows)
+    vals = exact_quantiles(df, col, qs, small_rows)
     return df.sparkSession.createDataFrame([(vals,)], "q array<double>")

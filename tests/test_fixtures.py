@@ -170,5 +170,5 @@ def test_exact_quantiles_band_path_matches_percentile(spark):
     df = spark.createDataFrame(vals, "x double")
     qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
     small = exact_quantiles(df, "x", qs)                                   # one-buffer path
-    band = exact_quantiles(df, "x", qs, accuracy=1000, small_rows=0)       # bracket + band select
+    band = exact_quantiles(df, "x", qs, small_rows=0)                       # bracket + band select
     assert band == pytest.approx(small, abs=1e-12)
