@@ -41,3 +41,13 @@ def freeze(df: DataFrame) -> DataFrame:
     local relation, so plans that reuse it embed its values instead of
     re-running the computation that produced it."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint a table that several passes will read, with at least one
+    partition per core (a no-op repartition check when it already has more,
+    as any large table does)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df.checkpoint()
