@@ -51,10 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir=os.environ.get("FLOWLENS_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:          # a session may refuse runtime core settings;
+            pass                   # the context's checkpoint dir below is what matters
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+    return (spark.sparkContext.getCheckpointDir() or d).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
