@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nulls import c, finite, flag
+from ..functions.nulls import c, finite
 from ..functions.rules import decode_protocol as _decode_protocol_expr
 
 

@@ -8,7 +8,6 @@ per feature.  Forest-based rankings use MLlib.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,7 +109,6 @@ def anova_scores(df: DataFrame, features: list[str], label: str = "label") -> Da
     ssw = lg.join(F.broadcast(cm), ["feature", "label"]).groupBy("feature").agg(
         F.sum((F.col("value") - F.col("mc")) ** 2).alias("ssw"))
     j = ssb.join(ssw, "feature")
-    f = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k")))
     return j.select("feature", _finite(F.try_divide(F.col("ssb") / (F.col("k") - 1),
                                                      F.col("ssw") / (F.col("n") - F.col("k")))).alias("score"))
 

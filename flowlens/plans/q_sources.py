@@ -15,7 +15,7 @@ from ..sources import io
 from .q_fusion import dec_sql, decisions
 from .q_models import emb
 from .registry import register, rounded
-from .sql_common import any_sql, clean_label_sql, flows_sql, group_label_sql
+from .sql_common import any_sql, flows_sql
 
 
 @register("src_parquet_glob", any_sql("""
