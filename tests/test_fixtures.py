@@ -172,3 +172,29 @@ def test_exact_quantiles_band_path_matches_percentile(spark):
     small = exact_quantiles(df, "x", qs)                                   # one-buffer path
     band = exact_quantiles(df, "x", qs, small_rows=0)                       # bracket + band select
     assert band == pytest.approx(small, abs=1e-12)
+
+
+def test_flow_assembly_across_midnight_gap_and_fin(spark):
+    import datetime as dt
+    from flowlens.operators import assemble as asm
+    t = dt.datetime(2024, 1, 1, 23, 0, 0)
+    rows = [  # packet_id, src, ts, is_forward, length, fin
+        (1, 7, t, False, 10.0, False),
+        (2, 7, t + dt.timedelta(hours=1, minutes=30), True, 20.0, False),     # next day, same flow
+        (3, 7, t + dt.timedelta(hours=9), True, 30.0, False),                 # 7.5 h idle -> new flow
+        (4, 7, t + dt.timedelta(hours=9, minutes=10), False, 40.0, True),     # FIN ...
+        (5, 7, t + dt.timedelta(hours=9, minutes=20), True, 50.0, False),     # ... closes: new flow
+        (6, 8, t, True, 5.0, False),
+    ]
+    df = spark.createDataFrame(rows, "packet_id long, src long, ts timestamp_ntz, is_forward boolean, "
+                                     "length double, fin boolean")
+    a = {r.packet_id: r for r in asm.assemble_flows(df).collect()}
+    assert [a[i].flow_no for i in (1, 2, 3, 4, 5, 6)] == [0, 0, 1, 1, 2, 0]
+    assert a[2].iat_us == 90 * 60 * 1_000_000
+    assert a[1].direction == "fwd" and a[2].direction == "bwd"        # relative to the flow's first packet
+    assert a[3].direction == "fwd" and a[4].direction == "bwd"
+    assert a[4].dir_iat_us is None and a[3].iat_us is None             # first packet of a flow
+    m = {(r.src, r.flow_no): r for r in asm.flow_measures(asm.assemble_flows(df)).collect()}
+    assert m[(7, 0)].n_packets == 2 and m[(7, 0)].duration_us == 90 * 60 * 1_000_000
+    assert m[(7, 1)].fin_count == 1 and m[(7, 2)].n_packets == 1
+    assert round(m[(7, 1)].len_std, 4) == round(((40 - 30) ** 2 / 2) ** 0.5, 4)
