@@ -83,9 +83,20 @@ def with_small(df: DataFrame, small: DataFrame, on: str | list[str], how: str =
     return df.join(small, on, how)
 
 
-def columns(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
-    """The columns of each batch as Python lists (nulls are ``None``)."""
+#: Rows that a task turns into Python objects at once.
+ROWS = 512
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def columns(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[tuple[list, ...]]:
+    """The columns as Python lists (nulls are ``None``), ``rows`` rows at a
+    time, so that a task never holds a whole batch of texts twice."""
+    for b in slices(batches, rows):
         yield tuple(c.to_pylist() for c in b.columns)
 
 
@@ -94,4 +105,4 @@ def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
                                        for c, f in zip(cols, schema)], schema=schema)
 
 
-__all__ = ["BROADCAST_BYTES", "batch", "columns", "ensure_checkpoint_dir", "read", "stage", "unstage", "with_small"]
+__all__ = ["BROADCAST_BYTES", "batch", "columns", "ensure_checkpoint_dir", "read", "slices", "stage", "unstage", "with_small"]

@@ -127,14 +127,13 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
     def run(batches):
         coder = encoder(vocabulary)
         for ids, texts in columns(batches):
-            for at in range(0, len(ids), 500):
-                rows = []
-                for i, b in zip(ids[at:at + 500], coder.encode(texts[at:at + 500])):
-                    b += end
-                    for n, s in enumerate(range(0, len(b), step)):
-                        part = b[s:s + step]
-                        rows.append((i, n, s // 4, len(part) // 4, zlib.crc32(part)))
-                yield batch(_PIECE, *zip(*rows))
+            rows = []
+            for i, b in zip(ids, coder.encode(texts)):
+                b += end
+                for n, s in enumerate(range(0, len(b), step)):
+                    part = b[s:s + step]
+                    rows.append((i, n, s // 4, len(part) // 4, zlib.crc32(part)))
+            yield batch(_PIECE, *zip(*rows))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, "id long, piece int, start long, length long, ids_crc32 long")
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, simhash, suffix_dedup
+from . import decontam, html_extract, packing, paragraphs, quality, simhash, sketch, suffix_dedup, toxicity, urls
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,15 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, training_labels(read(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", *toxicity.FEATURES)
+
+
 @query
 def op2_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False)
@@ -65,6 +74,33 @@ def op6_benchmark_decontamination(spark, sf_dir):
                       "item_words", F.size("tiles").alias("n_tiles"))
 
 
+#: Verdict, host and path of the URL rules.
+URL_RULES = [urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"),
+             urls.Rule("allow", "www.example.com", "/en/"), urls.Rule("block", "net", "/es/"),
+             urls.Rule("block", "net", "/fr/")]
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    return urls.judge(read(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
+@query
+def op8_paragraph_dedup(spark, sf_dir):
+    return paragraphs.duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_document_fingerprints(spark, sf_dir):
+    return sketch.compare_with_next(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_html_extraction(spark, sf_dir):
+    out = html_extract.main_text(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, columns, stage, unstage
+from .common import batch, columns, slices, stage, unstage
 from .textvec import Substrings, mix
 
 #: Bytes of a string that counts as repeated.
@@ -112,15 +112,11 @@ def _list_keys(span, key):
 def _list_ranges(span, key):
     def run(batches):
         for rids, texts in columns(batches):
-            for at in range(0, len(rids), 1000):
-                n, rows = [], []
-                for t in texts[at:at + 1000]:
-                    rows.append(anchors(_bytes(t), span, key))
-                    n.append(len(rows[-1][0]))
-                a, first, last, k, r = (np.concatenate(x) for x in zip(*rows))
-                rid = np.repeat(np.array(rids[at:at + 1000], np.int64), n)
-                yield batch(_RANGES, pa.array(rid), _signed(k), _signed(r), pa.array(a.astype(np.int32)),
-                            pa.array((a - first).astype(np.int32)), pa.array((last - first).astype(np.int32)))
+            rows = [anchors(_bytes(t), span, key) for t in texts]
+            rid = np.repeat(np.array(rids, np.int64), [len(r[0]) for r in rows])
+            a, first, last, k, r = (np.concatenate(x) for x in zip(*rows))
+            yield batch(_RANGES, pa.array(rid), _signed(k), _signed(r), pa.array(a.astype(np.int32)),
+                        pa.array((a - first).astype(np.int32)), pa.array((last - first).astype(np.int32)))
     return run
 
 
@@ -135,7 +131,7 @@ def _cut_snippets(span):
                 for m in marks:
                     at, near, far = m["at"], m["near"], m["far"]
                     rows.append((rid, at, near, far, m["want"], b[at - far:at - near + span]))
-                if len(rows) >= 20_000:
+                if len(rows) >= 4000:
                     yield batch(_SNIPPETS, *zip(*rows))
                     rows = []
             if rows:
@@ -156,38 +152,34 @@ def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _list_groups(span, group):
     def run(batches):
-        for b in batches:
-            for cut in range(0, b.num_rows, 4000):
-                part = b.slice(cut, 4000)
-                rid, at, near, far, want = (part.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-                s, base = _joined(part.column(5).to_pylist())
-                near, far = near.astype(np.int64), far.astype(np.int64)
-                row, i = _spread(far // group - near // group + 1)
-                g = near[row] // group + i
-                x, y = np.maximum(g * group, near[row]), np.minimum(g * group + group - 1, far[row])
-                zero = base[row] + far[row]                          # the anchor's place in the joined bytes
-                # The bytes that all windows of the whole group share do not
-                # depend on which of its windows this anchor has.
-                core = mix(s.hash(zero - g * group, zero + span - g * group - group + 1) + g.astype(U64))
-                hull = mix(s.hash(zero - y, zero - x + span) + ((x << 20) + y).astype(U64))
-                yield batch(_GROUPS, pa.array(rid[row]), pa.array(at[row]), pa.array(x.astype(np.int32)),
-                            pa.array(y.astype(np.int32)), pa.array(want[row]), _signed(core), _signed(hull))
+        for b in slices(batches, 1000):
+            rid, at, near, far, want = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            s, base = _joined(b.column(5).to_pylist())
+            near, far = near.astype(np.int64), far.astype(np.int64)
+            row, i = _spread(far // group - near // group + 1)
+            g = near[row] // group + i
+            x, y = np.maximum(g * group, near[row]), np.minimum(g * group + group - 1, far[row])
+            zero = base[row] + far[row]                              # the anchor's place in the joined bytes
+            # The bytes that all windows of the whole group share do not
+            # depend on which of its windows this anchor has.
+            core = mix(s.hash(zero - g * group, zero + span - g * group - group + 1) + g.astype(U64))
+            hull = mix(s.hash(zero - y, zero - x + span) + ((x << 20) + y).astype(U64))
+            yield batch(_GROUPS, pa.array(rid[row]), pa.array(at[row]), pa.array(x.astype(np.int32)),
+                        pa.array(y.astype(np.int32)), pa.array(want[row]), _signed(core), _signed(hull))
     return run
 
 
 def _list_windows(span):
     def run(batches):
-        for b in batches:
-            for cut in range(0, b.num_rows, 4000):
-                part = b.slice(cut, 4000)
-                rid, at, far, near, end, want = (part.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-                s, base = _joined(part.column(6).to_pylist())
-                row, i = _spread(end.astype(np.int64) - near + 1)
-                back = near[row].astype(np.int64) + i
-                start = base[row] + far[row] - back
-                w = mix(s.hash(start, start + span) + back.astype(U64))
-                yield batch(_WINDOWS, pa.array(rid[row]), pa.array((at[row] - back).astype(np.int32)),
-                            pa.array(want[row]), _signed(w))
+        for b in slices(batches, 1000):
+            rid, at, far, near, end, want = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            s, base = _joined(b.column(6).to_pylist())
+            row, i = _spread(end.astype(np.int64) - near + 1)
+            back = near[row].astype(np.int64) + i
+            start = base[row] + far[row] - back
+            w = mix(s.hash(start, start + span) + back.astype(U64))
+            yield batch(_WINDOWS, pa.array(rid[row]), pa.array((at[row] - back).astype(np.int32)),
+                        pa.array(want[row]), _signed(w))
     return run
 
 
@@ -261,24 +253,22 @@ _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def _cut(keep_text):
     def run(batches):
-        for full in batches:
-            for at in range(0, full.num_rows, 1000):
-                b = full.slice(at, 1000)
-                rows = []
-                for i, t, ranges in zip(*(b.column(n).to_pylist() for n in ("id", "text", "ranges"))):
-                    text = _bytes(t)
-                    spans = merge_spans([(r["begin"], r["end"]) for r in ranges or ()])
-                    kept, last = [], 0
-                    for x, y in spans:
-                        kept.append(text[last:x])
-                        last = y
-                    kept = b"".join([*kept, text[last:]])
-                    rows.append((i, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
-                                 [{"begin": x, "end": y} for x, y in spans],
-                                 kept.decode("utf-8", "ignore") if keep_text and t is not None else None))
-                out = batch(_RESULT, *zip(*rows))
-                more = [n for n in b.schema.names if n == "carried"]
-                yield pa.RecordBatch.from_arrays([*out.columns, *(b.column(n) for n in more)], [*_RESULT.names, *more])
+        for b in slices(batches):
+            rows = []
+            for i, t, ranges in zip(*(b.column(n).to_pylist() for n in ("id", "text", "ranges"))):
+                text = _bytes(t)
+                spans = merge_spans([(r["begin"], r["end"]) for r in ranges or ()])
+                kept, last = [], 0
+                for x, y in spans:
+                    kept.append(text[last:x])
+                    last = y
+                kept = b"".join([*kept, text[last:]])
+                rows.append((i, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
+                             [{"begin": x, "end": y} for x, y in spans],
+                             kept.decode("utf-8", "ignore") if keep_text and t is not None else None))
+            out = batch(_RESULT, *zip(*rows))
+            more = [n for n in b.schema.names if n == "carried"]
+            yield pa.RecordBatch.from_arrays([*out.columns, *(b.column(n) for n in more)], [*_RESULT.names, *more])
     return run
 
 

@@ -16,7 +16,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: Bytes of text handled at once (a longer single text is handled whole).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
