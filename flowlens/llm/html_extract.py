@@ -135,13 +135,17 @@ def _close_implied(stack: list[Node], tag: str) -> None:
                 break
 
 
+_REPEATED = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 def _elements(node: Node) -> list[list[Node]]:
-    """The child elements that hold blocks, neighbours of one name together:
-    a list's length does not matter for the alignment."""
+    """The child elements that hold blocks.  Neighbours of one name, if they
+    are of a kind that comes in lists, are one run: its length does not matter
+    for the alignment.  Bare containers each stand for themselves."""
     out: list[list[Node]] = []
     for c in node.children:
         if isinstance(c, Node) and c.tag in _BLOCK and c.tag not in ("br", "hr") and c.tag not in _RAW:
-            if out and out[-1][0].name == c.name:
+            if out and out[-1][0].name == c.name and (c.tag in _REPEATED or c.name != f"{c.tag} "):
                 out[-1].append(c)
             else:
                 out.append([c])
