@@ -85,9 +85,13 @@ def inf_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 # ----------------------------------------------------------- protocol ----
 
 def fit_protocols(df: DataFrame, col: str = "protocol") -> list[str]:
-    """Distinct protocol values (bounded domain: protocol numbers 0-255)."""
-    vals = [r[0] for r in df.select(F.col(col).cast("string")).distinct().limit(256).collect()]
-    return sorted(v for v in vals if v is not None)
+    """Distinct protocol values, nulls aside.  Protocol numbers go from 0 to
+    255; a column with more values is no protocol column, and raises."""
+    p = F.col(col).cast("string")
+    vals = [r[0] for r in df.where(p.isNotNull()).select(p).distinct().limit(257).collect()]
+    if len(vals) > 256:
+        raise ValueError(f"column {col} has more than 256 distinct values")
+    return sorted(vals)
 
 
 def one_hot_protocol(df: DataFrame, values: list[str] | None = None, col: str = "protocol") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,18 +102,22 @@ def score_supervised(model: PipelineModel, df: DataFrame, class_index: int = 1,
 # ------------------------------------------------------ reconstruction ----
 
 def train_reconstruction(benign: DataFrame, k: int, features: str = "features") -> PipelineModel:
-    """Linear autoencoder: PCA with k components fitted on benign rows."""
-    return Pipeline(stages=[PCA(k=k, inputCol=features, outputCol="__pc")]).fit(benign)
+    """Linear autoencoder: the mean of the benign rows, and PCA with k
+    components of their deviations from it."""
+    return Pipeline(stages=[
+        StandardScaler(withMean=True, withStd=False, inputCol=features, outputCol="__centred"),
+        PCA(k=k, inputCol="__centred", outputCol="__pc")]).fit(benign)
 
 
 def reconstruct(model: PipelineModel, df: DataFrame, features: str = "features_arr", out: str = "recon_error",
                 keep_recon: bool = False) -> DataFrame:
-    """Reconstruction x_hat = x P P^T with the fitted principal axes and the
+    """Reconstruction x_hat = m + (x - m) P P^T with the fitted mean and principal axes and the
     mean squared error per row.  The d x k axis matrix is small (bounded by
     the feature count) and ships with the task; each Arrow batch is one
     matrix product."""
     import numpy as np
     pca = model.stages[-1]
+    mean = model.stages[0].mean.toArray()
     P = pca.pc.toArray()
     proj = P @ P.T
     cols = df.columns
@@ -125,7 +129,7 @@ def reconstruct(model: PipelineModel, df: DataFrame, features: str = "features_a
             if len(pdf) == 0:
                 continue
             X = np.stack(pdf[features].to_numpy()).astype("float64")
-            Xh = X @ proj
+            Xh = mean + (X - mean) @ proj
             pdf[out] = ((X - Xh) ** 2).mean(axis=1)
             if keep_recon:
                 pdf["recon"] = list(Xh)

@@ -151,7 +151,7 @@ def q_live_traffic(results: DataFrame, attacks: DataFrame, limit: int = K.LIVE_T
                        F.struct(F.col("id"), F.col("attack_type"), F.col("severity"), F.col("fusion_score"))
                        .alias("hit"))
     j = F.broadcast(last).join(a, (F.col("timestamp") == F.col("a_ts")) & (F.col("src_ip") == F.col("a_src")) &
-                               (F.col("dst_ip") == F.col("a_dst")), "left")
+                               (F.col("dst_ip") == F.col("a_dst")), "inner")
     first = j.groupBy("flow_key").agg(F.min_by("hit", F.col("hit.id")).alias("hit"))
     out = last.join(first, "flow_key", "left")
     return out.select(

@@ -184,7 +184,8 @@ def equal_class_resample(df: DataFrame, label: str = "label", key: str = "flow_k
                          seed: int = K.SEED) -> DataFrame:
     """With-replacement sample of ``total // classes`` rows per class.
 
-    Slot s of class c draws row index ((s * 7919 + seed) % 1000003) % n_c of
+    Slot s of class c draws the row at the share (s * 2654435761 + seed) mod
+    2**32 of 2**32 of its n_c rows (n_c below 2**31), so any row can be drawn, of
     the class's hash order; slots (bounded by ``total``) are broadcast and
     equi-joined to the ranked rows."""
     ranked = rank_within(df.filter(F.col(label).isNotNull()), label, key, seed)
@@ -192,7 +193,7 @@ def equal_class_resample(df: DataFrame, label: str = "label", key: str = "flow_k
     k = sizes.agg(F.count(F.lit(1)).alias("k"))
     slots = sizes.crossJoin(k).select(label, "n", F.explode(F.sequence(F.lit(0), (F.lit(total) / F.col("k"))
                                                                        .cast("int") - 1)).alias("slot"))
-    slots = slots.withColumn("rank", ((F.col("slot") * 7919 + seed) % 1000003) % F.col("n")).drop("n")
+    slots = slots.withColumn("rank", F.shiftright(((F.col("slot") * 2654435761 + seed) % 4294967296) * F.col("n"), 32)).drop("n")
     return ranked.drop("n").join(F.broadcast(slots), [label, "rank"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import clean
-from ..operators.features import engineer, prepare_flows
+from ..operators.features import engineer, prepare_flows, row_features
 from ..sources import adapters
 from .registry import register, rounded
 from .sql_common import feat_sql
@@ -30,7 +30,11 @@ def _feature_query(name: str, cols: list[str], digits: int = 6):
 
     @register(name, sql)
     def q(spark, sf_dir, _cols=cols):
-        return rounded(feature_table(spark, sf_dir).select("flow_key", *_cols), digits)
+        # features of a row alone need no statistics of the table
+        x = row_features(prepare_flows(adapters.flows(spark, sf_dir)))
+        if not set(_cols) <= set(x.columns):
+            x = feature_table(spark, sf_dir)
+        return rounded(x.select("flow_key", *_cols), digits)
     return q
 
 

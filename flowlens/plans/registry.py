@@ -44,10 +44,5 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint a table that several passes will read, with at least one
-    partition per core (a no-op repartition check when it already has more,
-    as any large table does)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
+    """Checkpoint a table that several passes will read."""
     return df.checkpoint()

@@ -46,10 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session.  Only when it is unset (local tests) a scratch folder is created.
+    session.  Only when it is unset in a local session (tests) a scratch folder
+    is created; on a cluster a machine-local folder would lose data, so an
+    unset folder raises there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir=os.environ.get("FLOWLENS_SCRATCH", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", d)

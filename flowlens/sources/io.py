@@ -71,15 +71,10 @@ def union_by_name(dfs: list[DataFrame]) -> DataFrame:
 
 def read_results_safe(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """The result table, or an empty table of the known schema when the path
-    is absent or unreadable."""
-    try:
-        if not path_exists(spark, path):
-            return spark.createDataFrame([], schema)
-        df = spark.read.format(fmt).schema(schema).load(path) if fmt != "parquet" else spark.read.parquet(path)
-        df.schema  # resolve now: a half-written folder fails here
-        return df
-    except Exception:
+    is absent.  A path that is there but cannot be read raises."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.format(fmt).schema(schema).load(path)
 
 
 def read_split_tables(spark: SparkSession, path: str) -> DataFrame:
