@@ -1,10 +1,9 @@
 """Model evaluation as aggregations over prediction tables.
 
 Cumulative curves (ROC, precision-recall) are grouped by distinct score
-first.  The prefix sum over scores never runs in one task: scores are cut
-into quantile buckets (boundaries fitted once, a few numbers), each bucket
-gets its offset from a tiny per-bucket total table, and the running sum is
-a window *within* a bucket.
+first.  The prefix sum over scores never runs in one task: the distinct
+scores are range-partitioned, each range gets its offset from the totals of
+the earlier ranges, and the running sum is a window *within* a range.
 """
 
 from __future__ import annotations
@@ -83,44 +82,27 @@ def fpr_per_class(df: DataFrame, actual: str = "actual", predicted: str = "predi
 
 # ------------------------------------------------------ prefix sums ----
 
-def bucket_bounds(df: DataFrame, score: str, buckets: int) -> list[float]:
-    """Quantile boundaries of the distinct-score table (``buckets - 1``
-    numbers, fitted once and passed back as a literal)."""
-    if buckets <= 1:
-        return []
-    qs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.approxQuantile(score, qs, 0.001)))
-
-
-def bucket_of(score: Column, bounds: list[float]) -> Column:
-    """Index of the bucket holding ``score`` (descending order: bucket 0 is
-    the highest scores)."""
-    if not bounds:
-        return F.lit(0)
-    b = F.lit(0)
-    for v in bounds:
-        b = b + (score <= F.lit(v)).cast("int")
-    return b
-
-
-def descending_prefix(g: DataFrame, score: str, sums: list[str], buckets: int = 1,
-                      part: list[str] | None = None) -> DataFrame:
+def descending_prefix(g: DataFrame, score: str, sums: list[str], part: list[str] | None = None,
+                      ranges: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` ordered by ``score`` descending
-    (per ``part`` when given).
+    (per ``part`` when given).  Rows without a score are left out.
 
-    ``g`` holds one row per (part, distinct score).  With ``buckets > 1`` the
-    running sum is split over score-quantile buckets, so no single task sees
-    every row of a part; offsets come from the per-(part, bucket) totals (a
-    small table: parts x buckets rows)."""
+    ``g`` holds one row per (part, distinct score).  It is range-partitioned
+    on (part, score) and written once, so that each range keeps its partition
+    number; sums run inside a range and start at the totals of the earlier
+    ranges (one row per part and range).  The number of ranges grows with the
+    data (``ranges`` fixes it)."""
     part = part or []
-    bounds = bucket_bounds(g, score, buckets) if buckets > 1 else []
-    x = g.withColumn("__b", bucket_of(F.col(score), bounds))
+    keys = [*part, F.col(score).desc()]
+    x = g.filter(F.col(score).isNotNull())
+    x = x.repartitionByRange(ranges, *keys) if ranges else x.repartitionByRange(*keys)
+    x = x.checkpoint().withColumn("__b", F.spark_partition_id())
     tot = x.groupBy(*part, "__b").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     wb = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, "__b",
                      *[F.coalesce(F.sum(f"__t_{s}").over(wb), F.lit(0)).alias(f"__o_{s}") for s in sums])
     w = Window.partitionBy(*part, "__b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    y = x.join(F.broadcast(off), [*part, "__b"])
+    y = x.join(off, [*part, "__b"])
     return y.select(*[c for c in g.columns],
                     *[(F.sum(s).over(w) + F.col(f"__o_{s}")).alias(f"cum_{s}") for s in sums])
 
@@ -128,49 +110,54 @@ def descending_prefix(g: DataFrame, score: str, sums: list[str], buckets: int =
 # ---------------------------------------------------------------- ROC ----
 
 def score_counts(df: DataFrame, label: Column, score: str) -> DataFrame:
-    """Distinct score -> (pos, neg) counts (partial aggregation)."""
+    """Distinct score -> (pos, neg) counts (partial aggregation); rows without
+    a score are left out."""
     y = label.cast("long")
-    return df.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    return df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
-def roc_points(df: DataFrame, label: Column, score: str, buckets: int = 1) -> DataFrame:
+def roc_points(df: DataFrame, label: Column, score: str, ranges: int | None = None) -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score, plus pos/neg counts
     and the running counts."""
     g = score_counts(df, label, score)
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    c = descending_prefix(g, "score", ["pos", "neg"], buckets).crossJoin(F.broadcast(tot))
+    c = descending_prefix(g, "score", ["pos", "neg"], ranges=ranges).crossJoin(F.broadcast(tot))
     return c.select(F.col("score").alias("threshold"), "pos", "neg", "cum_pos", "cum_neg", "P", "N",
                     (F.col("cum_pos") / F.col("P")).alias("tpr"), (F.col("cum_neg") / F.col("N")).alias("fpr"))
 
 
-def roc_curve(df: DataFrame, label: Column, score: str, buckets: int = 1) -> DataFrame:
-    return roc_points(df, label, score, buckets).select("threshold", "tpr", "fpr")
+def roc_curve(df: DataFrame, label: Column, score: str, ranges: int | None = None) -> DataFrame:
+    return roc_points(df, label, score, ranges).select("threshold", "tpr", "fpr")
 
 
-def roc_auc(df: DataFrame, label: Column, score: str, buckets: int = 1) -> DataFrame:
+def roc_auc(df: DataFrame, label: Column, score: str, ranges: int | None = None) -> DataFrame:
     """Trapezoid area under the ROC curve (ties counted half); each point
     knows its predecessor from its own running counts, so no lag is needed."""
-    p = roc_points(df, label, score, buckets)
+    return points_auc(roc_points(df, label, score, ranges))
+
+
+def points_auc(p: DataFrame) -> DataFrame:
+    """The area under the curve given as ``roc_points``."""
     area = (F.col("neg") / F.col("N")) * ((2 * F.col("cum_pos") - F.col("pos")) / (2 * F.col("P")))
     return p.agg(F.sum(area).alias("roc_auc"))
 
 
 def threshold_fpr_budget(df: DataFrame, label: Column, score: str, budget: float = K.FPR_BUDGET,
-                         buckets: int = 1) -> DataFrame:
+                         ranges: int | None = None) -> DataFrame:
     """Lowest threshold whose false-positive rate stays below the budget."""
-    p = roc_points(df, label, score, buckets)
+    p = roc_points(df, label, score, ranges)
     return p.filter(F.col("fpr") < budget).agg(F.min("threshold").alias("threshold"))
 
 
-def threshold_youden(df: DataFrame, label: Column, score: str, buckets: int = 1) -> DataFrame:
+def threshold_youden(df: DataFrame, label: Column, score: str, ranges: int | None = None) -> DataFrame:
     """Threshold maximising TPR - FPR (ties: the higher threshold)."""
-    p = roc_points(df, label, score, buckets)
+    p = roc_points(df, label, score, ranges)
     best = p.agg(F.max(F.struct((F.col("tpr") - F.col("fpr")).alias("j"), F.col("threshold"))).alias("b"))
     return best.select(F.col("b.threshold").alias("threshold"), F.col("b.j").alias("youden_j"))
 
 
 def pr_precision_floor(df: DataFrame, classes: list, actual: str, predicted: str, score: str,
-                       floor: float = K.PRECISION_FLOOR, buckets: int = 1) -> DataFrame:
+                       floor: float = K.PRECISION_FLOOR, ranges: int | None = None) -> DataFrame:
     """Per class (one-vs-rest; the class score is ``score`` where the class is
     predicted, else 0): lowest threshold whose precision >= floor, with its
     recall.  No closing point: a class with no such threshold gets NULL."""
@@ -178,10 +165,10 @@ def pr_precision_floor(df: DataFrame, classes: list, actual: str, predicted: str
     entries = F.array(*[F.struct(F.lit(str(cl)).alias("cls"),
                                  F.when(F.col(predicted) == cl, F.col(score)).otherwise(F.lit(0.0)).alias("score"),
                                  (F.col(actual) == cl).cast("long").alias("y")) for cl in classes])
-    e = df.select(F.explode(entries).alias("e")).select("e.*")
+    e = df.select(F.explode(entries).alias("e")).select("e.*").filter(F.col("score").isNotNull())
     g = e.groupBy("cls", "score").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     tot = g.groupBy("cls").agg(F.sum("pos").alias("P"))
-    c = descending_prefix(g, "score", ["pos", "n"], buckets, part=["cls"]).join(F.broadcast(tot), "cls")
+    c = descending_prefix(g, "score", ["pos", "n"], ["cls"], ranges).join(F.broadcast(tot), "cls")
     c = c.select("cls", "score", F.col("cum_pos").alias("tp"), F.col("cum_n").alias("k"), "P")
     c = c.select("cls", "score", (F.col("tp") / F.col("k")).alias("precision"),
                  F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(0.0)).alias("recall"))

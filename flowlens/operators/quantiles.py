@@ -1,22 +1,20 @@
 """Exact, interpolated quantiles that never hold a column in one buffer.
 
 Spark's exact ``percentile`` / ``median`` keep every distinct value of a
-column in a single aggregation buffer (one task; slow, and memory grows
-with the data).  Here the k-th value is found exactly, for all columns at
-once, in three passes:
-
-1. one aggregation: non-null count and ``percentile_approx`` brackets at
-   q - 2/A and q + 2/A per column (with accuracy A the true k-th value lies
-   inside the bracket);
-2. one aggregation: rows below each bracket;
-3. one window over the in-bracket values only (about 4 n / A per column,
-   A chosen so that this stays near a million): the (k - below)-th value
-   and its successor.
+column in one aggregation buffer.  Here the order statistics are found
+exactly, for all columns and all levels at once, in two passes:
+
+1. one aggregation: non-null count, and ``percentile_approx`` brackets at
+   q - 2/A and q + 2/A per column and level;
+2. one partial aggregation by (column, level, value) in which all values
+   below a bracket fall into one group (keeping its largest value) and all
+   above into another (keeping its smallest).  Only distinct values inside a
+   bracket stay apart (about 4 n / A of them), so heavily repeated values
+   cost one row each.  Running counts over these rows give the ranks.
 
 Interpolation is linear between the two neighbouring order statistics, as
-``percentile`` / numpy do.  The driver receives a few numbers per column.
-A bracket that misses (possible only with heavy ties at its edge) is
-widened and retried for that column.
+``percentile`` / numpy do.  The driver receives two rows per column and
+level.  A bracket that misses its rank raises.
 """
 
 from __future__ import annotations
@@ -26,12 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 5_000_000
-BAND_TARGET = 1_000_000
-
-
-def _accuracy(n: int) -> int:
-    return int(min(max(4 * n / BAND_TARGET, 10_000), 1_000_000))
+ACCURACY = 100_000
 
 
 def _col(c: str):
@@ -39,86 +32,68 @@ def _col(c: str):
     return F.when(~F.isnan(v), v)
 
 
-def exact_quantiles_multi(df: DataFrame, cols: list[str], q: float,
-                          small_rows: int = SMALL_ROWS) -> list[float | None]:
-    """Exact q-quantile of each column (NULL / NaN ignored)."""
-    if not cols:
-        return []
-    if q <= 0.0 or q >= 1.0:                      # the extremes are plain min / max
-        f = F.min if q <= 0.0 else F.max
-        row = df.agg(*[f(_col(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        return [row[f"m{i}"] for i in range(len(cols))]
-    first = df.agg(*[F.count(_col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    ns = [first[f"n{i}"] for i in range(len(cols))]
-    if max(ns) <= small_rows:
-        row = df.agg(*[F.percentile(_col(c), q).alias(f"p{i}") for i, c in enumerate(cols)]).first()
-        return [row[f"p{i}"] for i in range(len(cols))]
-    out: list[float | None] = [None] * len(cols)
-    eps = [2.0 / _accuracy(n) for n in ns]
-    todo = [i for i, n in enumerate(ns) if n > 0]
-    for _ in range(6):
-        if not todo:
-            break
-        aggs = []
-        for i in todo:
-            probes = [p for p in (q - eps[i], q + eps[i]) if 0.0 < p < 1.0]
-            aggs.append((F.percentile_approx(_col(cols[i]), probes, _accuracy(ns[i])) if probes
-                         else F.array().cast("array<double>")).alias(f"b{i}"))
-        got = df.agg(*aggs).first()
-        lo, hi = {}, {}
-        for i in todo:
-            vals = list(got[f"b{i}"])
-            lo[i] = vals.pop(0) if q - eps[i] > 0.0 else float("-inf")
-            hi[i] = vals.pop(0) if q + eps[i] < 1.0 else float("inf")
-        below = df.agg(*[F.count(F.when(_col(cols[i]) < lo[i], 1)).alias(f"c{i}") for i in todo]).first()
-        band = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), _col(cols[i]).alias("v")) for i in todo])).alias("e")).select("e.*")
-        band = band.filter(F.col("v").isNotNull())
-        cond = None
-        for i in todo:
-            ci = (F.col("i") == i) & (F.col("v") >= lo[i]) & (F.col("v") <= hi[i])
-            cond = ci if cond is None else (cond | ci)
-        w = Window.partitionBy("i").orderBy("v")
-        ranked = band.filter(cond).withColumn("r", F.row_number().over(w) - 1)
-        want = {}
-        for i in todo:
-            pos = q * (ns[i] - 1)
-            k0 = int(math.floor(pos))
-            k1 = min(k0 + 1, ns[i] - 1)
-            want[i] = (k0 - below[f"c{i}"], k1 - below[f"c{i}"], pos - k0)
-        pick = None
-        for i in todo:
-            ci = (F.col("i") == i) & F.col("r").isin(want[i][0], want[i][1])
-            pick = ci if pick is None else (pick | ci)
-        rows = ranked.filter(pick).select("i", "r", "v").collect()
-        found: dict = {}
-        for r in rows:
-            found.setdefault(r.i, {})[r.r] = r.v
-        missed = []
-        for i in todo:
-            r0, r1, frac = want[i]
-            f = found.get(i, {})
-            if r0 >= 0 and r0 in f and r1 in f:
-                out[i] = f[r0] + frac * (f[r1] - f[r0])
-            else:
-                missed.append(i)
-                eps[i] = min(eps[i] * 4, 1.0)
-        todo = missed
+def exact_quantiles_multi(df: DataFrame, cols: list[str], qs: list[float],
+                          accuracy: int = ACCURACY) -> list[list[float | None]]:
+    """Exact quantiles ``qs`` of each column (NULL / NaN ignored; a column
+    without values gives NULLs)."""
+    if not cols or not qs:
+        return [[] for _ in cols]
+    eps = 2.0 / accuracy
+    probes = [min(max(p, 0.0), 1.0) for q in qs for p in (q - eps, q + eps)]
+    first = df.agg(*[x for i, c in enumerate(cols) for x in (
+        F.count(_col(c)).alias(f"n{i}"), F.percentile_approx(_col(c), probes, accuracy).alias(f"b{i}"))]).first()
+    # (column, level) slots with their bracket, wanted rank and interpolation share
+    slots, entries = [], []
+    for i, c in enumerate(cols):
+        n = first[f"n{i}"]
+        if not n:
+            continue
+        for k, q in enumerate(qs):
+            lo, hi = first[f"b{i}"][2 * k], first[f"b{i}"][2 * k + 1]
+            pos = q * (n - 1)
+            v = _col(c)
+            zone = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
+            entries.append(F.struct(F.lit(len(slots)).alias("s"), v.alias("v"), zone.alias("zone")))
+            slots.append((i, k, int(math.floor(pos)), pos - math.floor(pos), n))
+    out: list[list[float | None]] = [[None] * len(qs) for _ in cols]
+    if not slots:
+        return out
+    rows = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter(F.col("v").isNotNull())
+    g = rows.groupBy("s", "zone", F.when(F.col("zone") == 0, F.col("v")).alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    w = Window.partitionBy("s").orderBy("zone", "k").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("cum", F.sum("n").over(w))
+    # ranks [cum - n, cum) carry the row's value; of the outer groups only the
+    # rank next to the bracket is known
+    a = F.when(F.col("zone") < 0, F.col("cum") - 1).otherwise(F.col("cum") - F.col("n"))
+    b = F.when(F.col("zone") > 0, F.col("cum") - F.col("n")).otherwise(F.col("cum") - 1)
+    r = g.select("s", F.when(F.col("zone") < 0, F.col("hi")).otherwise(F.col("lo")).alias("v"), a.alias("a"),
+                 b.alias("b"))
+    want = df.sparkSession.createDataFrame(
+        [(s, rank) for s, (_, _, k0, _, n) in enumerate(slots) for rank in {k0, min(k0 + 1, n - 1)}],
+        "s int, rank long")
+    hit = r.join(F.broadcast(want), "s").filter((F.col("rank") >= F.col("a")) & (F.col("rank") <= F.col("b")))
+    found = {(x.s, x["rank"]): x.v for x in hit.select("s", "rank", "v").collect()}
+    for s, (i, k, k0, frac, n) in enumerate(slots):
+        k1 = min(k0 + 1, n - 1)
+        if (s, k0) not in found or (s, k1) not in found:
+            raise RuntimeError(f"quantile {qs[k]} of {cols[i]}: rank outside its bracket")
+        v0, v1 = found[(s, k0)], found[(s, k1)]
+        out[i][k] = v0 if v1 == v0 or frac == 0 else v0 + frac * (v1 - v0)
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], small_rows: int = SMALL_ROWS) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], accuracy: int = ACCURACY) -> list[float | None]:
     """Exact quantiles ``qs`` of one column."""
-    return [exact_quantiles_multi(df, [col], q, small_rows)[0] for q in qs]
+    return exact_quantiles_multi(df, [col], qs, accuracy)[0]
 
 
-def quantile_row(df: DataFrame, cols: list[str], q: float, small_rows: int = SMALL_ROWS) -> DataFrame:
+def quantile_row(df: DataFrame, cols: list[str], q: float) -> DataFrame:
     """One row, one column per input column: its exact q-quantile."""
-    vals = exact_quantiles_multi(df, cols, q, small_rows)
-    return df.sparkSession.createDataFrame([tuple(vals)], ", ".join(f"`{c}` double" for c in cols))
+    vals = tuple(v[0] for v in exact_quantiles_multi(df, cols, [q]))
+    return df.sparkSession.createDataFrame([vals], ", ".join(f"`{c}` double" for c in cols))
 
 
-def quantile_array(df: DataFrame, col: str, qs: list[float], small_rows: int = SMALL_ROWS) -> DataFrame:
+def quantile_array(df: DataFrame, col: str, qs: list[float]) -> DataFrame:
     """One row with column ``q``: the exact quantiles ``qs`` of ``col``."""
-    vals = exact_quantiles(df, col, qs, small_rows)
-    return df.sparkSession.createDataFrame([(vals,)], "q array<double>")
+    return df.sparkSession.createDataFrame([(exact_quantiles(df, col, qs),)], "q array<double>")

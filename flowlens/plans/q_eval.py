@@ -18,8 +18,6 @@ def attack(col: str = "actual_code"):
     """Binary label: any class other than 0 (Benign) is an attack."""
     return F.col(col) != 0
 
-ROC_BUCKETS = 4
-
 
 def preds(spark, sf):
     return adapters.predictions(spark, sf)
@@ -37,7 +35,7 @@ def psql(body: str, extra: str = "") -> str:
 
 def fpr_budget(spark, sf):
     """The FPR-budget threshold as a one-row local table."""
-    return freeze(ev.threshold_fpr_budget(preds(spark, sf), attack(), "ae_score", buckets=ROC_BUCKETS))
+    return freeze(ev.threshold_fpr_budget(preds(spark, sf), attack(), "ae_score"))
 
 
 # ------------------------------------------------------------ classes ----
@@ -97,7 +95,7 @@ SELECT c.cls AS class, m.threshold, round(m.recall, 9) AS recall FROM (SELECT DI
         for k in CLASSES) + ")"))
 def pr_precision_floor(spark, sf_dir):
     out = ev.pr_precision_floor(preds(spark, sf_dir), CLASSES, "actual_code", "predicted_code",
-                                "attack_score_supervised", buckets=ROC_BUCKETS)
+                                "attack_score_supervised")
     return rounded(out, 9, only=["recall"])
 
 
@@ -106,13 +104,13 @@ def pr_precision_floor(spark, sf_dir):
 @register("roc_curve", psql("SELECT threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM pts"))
 def roc_curve(spark, sf_dir):
     """(threshold, TPR, FPR) at every distinct reconstruction error."""
-    return rounded(ev.roc_curve(preds(spark, sf_dir), attack(), "ae_score", buckets=ROC_BUCKETS), 9, only=["tpr", "fpr"])
+    return rounded(ev.roc_curve(preds(spark, sf_dir), attack(), "ae_score"), 9, only=["tpr", "fpr"])
 
 
 @register("roc_auc", psql(
     "SELECT round(sum((neg / N) * ((2 * cum_pos - pos) / (2 * P))), 9) AS roc_auc FROM pts"))
 def roc_auc(spark, sf_dir):
-    return rounded(ev.roc_auc(preds(spark, sf_dir), attack(), "ae_score", buckets=ROC_BUCKETS), 9)
+    return rounded(ev.roc_auc(preds(spark, sf_dir), attack(), "ae_score"), 9)
 
 
 @register("threshold_fpr_budget", psql("SELECT threshold FROM thr"))
@@ -123,7 +121,7 @@ def threshold_fpr_budget(spark, sf_dir):
 @register("threshold_youden", psql(
     "SELECT threshold, round(tpr - fpr, 9) AS youden_j FROM pts ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1"))
 def threshold_youden(spark, sf_dir):
-    return rounded(ev.threshold_youden(preds(spark, sf_dir), attack(), "ae_score", buckets=ROC_BUCKETS), 9,
+    return rounded(ev.threshold_youden(preds(spark, sf_dir), attack(), "ae_score"), 9,
                    only=["youden_j"])
 
 
@@ -138,7 +136,7 @@ def eval_thresholds(spark, sf_dir):
     """FPR % / TPR % at the benign P99, the ROC-optimal and the FPR-budget thresholds."""
     p = preds(spark, sf_dir)
     p99 = ev.percentile_threshold(p.filter(~attack()), "ae_score", 0.99).select(F.col("threshold").alias("p99"))
-    yo = ev.threshold_youden(p, attack(), "ae_score", buckets=ROC_BUCKETS).select(F.col("threshold").alias("roc_optimal"))
+    yo = ev.threshold_youden(p, attack(), "ae_score").select(F.col("threshold").alias("roc_optimal"))
     fb = fpr_budget(spark, sf_dir).select(F.col("threshold").alias("fpr_budget"))
     out = ev.eval_thresholds(p, attack(), "ae_score", freeze(p99.crossJoin(yo).crossJoin(fb)))
     return rounded(out, 6, only=["fpr_pct", "tpr_pct"])
@@ -201,11 +199,11 @@ def ae_params_table(spark, sf_dir):
     """One row of score parameters: p0, p99, threshold, normalised threshold,
     ROC-AUC, FPR % and TPR % at the threshold."""
     p = preds(spark, sf_dir)
-    pts = ev.roc_points(p, attack(), "ae_score", buckets=ROC_BUCKETS)
+    pts = ev.roc_points(p, attack(), "ae_score")
     thr = pts.filter(F.col("fpr") < 0.02).agg(F.min(F.struct("threshold", "fpr", "tpr")).alias("m")).select(
         F.col("m.threshold").alias("threshold"), (F.col("m.fpr") * 100).alias("fpr_pct"),
         (F.col("m.tpr") * 100).alias("tpr_pct"))
-    auc = ev.roc_auc(p, attack(), "ae_score", buckets=ROC_BUCKETS)
+    auc = ev.points_auc(pts)
     norm = ev.fit_score_norm(p.filter(~attack()), "ae_score")
     out = norm.crossJoin(thr).crossJoin(auc).select(
         "p0", "p99", "threshold",

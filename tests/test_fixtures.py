@@ -157,21 +157,39 @@ def test_roc_auc_ties_count_half(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "y int, s double")
     auc = ev.roc_auc(df, F.col("y") == 1, "s").first().roc_auc
     assert auc == pytest.approx(0.875)
-    auc4 = ev.roc_auc(df, F.col("y") == 1, "s", buckets=3).first().roc_auc
+    auc4 = ev.roc_auc(df, F.col("y") == 1, "s", ranges=3).first().roc_auc
     assert auc4 == pytest.approx(0.875)
 
 
-def test_exact_quantiles_band_path_matches_percentile(spark):
-    from flowlens.operators.quantiles import exact_quantiles
+def test_exact_quantiles_match_numpy(spark):
+    from flowlens.operators.quantiles import exact_quantiles, exact_quantiles_multi
     import random
+    import numpy as np
     rnd = random.Random(5)
-    vals = [(rnd.choice([1.0, 2.0, 2.0, 3.5]) if i % 7 == 0 else rnd.gauss(0, 10),) for i in range(5000)]
-    vals += [(None,), (float("nan"),)]
-    df = spark.createDataFrame(vals, "x double")
+    vals = [rnd.choice([1.0, 2.0, 2.0, 3.5]) if i % 7 == 0 else rnd.gauss(0, 10) for i in range(5000)]
+    df = spark.createDataFrame([(v, 4.0, None, float(i)) for i, v in enumerate(vals)] +
+                               [(None, None, None, None), (float("nan"), 4.0, None, None)],
+                               "x double, same double, none double, seq double")
     qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    small = exact_quantiles(df, "x", qs)                                   # one-buffer path
-    band = exact_quantiles(df, "x", qs, small_rows=0)                       # bracket + band select
-    assert band == pytest.approx(small, abs=1e-12)
+    want = [float(np.quantile(vals, q)) for q in qs]
+    for accuracy in (100, 100_000):                       # wide brackets and narrow ones
+        assert exact_quantiles(df, "x", qs, accuracy) == pytest.approx(want, abs=1e-12)
+    same, none, seq = exact_quantiles_multi(df, ["same", "none", "seq"], qs, 50)
+    assert same == [4.0] * 6 and none == [None] * 6
+    assert seq == pytest.approx([float(np.quantile(np.arange(5000), q)) for q in qs])
+    for n in (1, 2, 3):                                    # very few rows
+        few = spark.createDataFrame([(float(i),) for i in range(n)], "x double")
+        assert exact_quantiles(few, "x", [0.9]) == pytest.approx([float(np.quantile(np.arange(n), 0.9))])
+
+
+def test_running_counts_over_ranges_and_missing_scores(spark):
+    df = spark.createDataFrame([(i % 2, (i * 37 % 101) / 7) for i in range(1000)] + [(1, None)], "y int, s double")
+    rows = ev.roc_points(df, F.col("y") == 1, "s", ranges=7).orderBy(F.desc("threshold")).collect()
+    assert len(rows) == 101 and rows[-1].cum_pos == 500 and rows[-1].cum_neg == 500 and rows[0].P == 500
+    pos = neg = 0
+    for r in rows:
+        pos, neg = pos + r.pos, neg + r.neg
+        assert (r.cum_pos, r.cum_neg) == (pos, neg)
 
 
 def test_flow_assembly_across_midnight_gap_and_fin(spark):
