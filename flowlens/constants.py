@@ -191,7 +191,6 @@ HIGH_CONFIDENCE_DEFAULT = 0.8
 LIVE_TRAFFIC_DEFAULT = 50
 STATS_WINDOW = 1000
 RECENT_N = 10
-MAX_EXPLAIN = 200
 
 # Model-selection and training defaults.
 CORR_LIMIT = 0.95

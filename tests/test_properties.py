@@ -40,6 +40,41 @@ def test_forest_attributions_add_up(spark):
     assert j and all(abs(r.s + r.b - r.prob) < 1e-9 for r in j)
 
 
+def test_attributions_equal_brute_force_shapley(spark):
+    import math
+    from itertools import combinations
+    rng = np.random.default_rng(3)
+    X = np.round(rng.normal(size=(120, 4)), 2)
+    y = (X[:, 0] + X[:, 1] * X[:, 2] > 0).astype(int) + (X[:, 3] > 1)
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]], int(y[i])) for i in range(120)],
+                               "id int, arr array<double>, label int")
+    df = df.withColumn("features", md.array_to_vector(F.col("arr")))
+    rf = md.train_forest(df, "label", None, trees=3, depth=5, min_leaf=1).stages[-1]
+    nodes = ex.forest_nodes(rf, spark)
+    got = {(r.id, r["class"], r.feature): r.phi
+           for r in ex.attribution_rows(df.limit(8), nodes, "id", "arr", 4, 3).collect()}
+
+    def value(tree, i, x, known):
+        r = tree.loc[i]
+        if r.leftChild not in tree.index:
+            return np.asarray(r.impurityStats) / np.sum(r.impurityStats)
+        le, ri = int(r.leftChild), int(r.rightChild)
+        if int(r.featureIndex) in known:
+            return value(tree, le if x[int(r.featureIndex)] <= r.leftCategoriesOrThreshold[0] else ri, x, known)
+        wl, wr = (np.sum(tree.loc[k].impurityStats) for k in (le, ri))
+        return (wl * value(tree, le, x, known) + wr * value(tree, ri, x, known)) / (wl + wr)
+
+    trees = [t.set_index("id") for _, t in nodes.groupby("treeID")]
+    for row in sorted({k[0] for k in got}):
+        v = {s: np.mean([value(t, 0, X[row], s) for t in trees], axis=0)
+             for m in range(5) for s in map(frozenset, combinations(range(4), m))}
+        for f in range(4):
+            want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (v[s | {f}] - v[s])
+                       for s in v if f not in s)
+            for k in range(3):
+                assert got[(row, k, f)] == pytest.approx(want[k], abs=1e-9)
+
+
 def test_ovr_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(1,)], "x int").select(
         md.array_to_vector(F.array(F.lit(1.0477), F.lit(-0.5), F.lit(0.2))).alias("rawPrediction"))
