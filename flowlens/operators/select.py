@@ -27,43 +27,51 @@ def _finite(x):
 _GRAM_SCHEMA = "i int, j int, n double, sa double, sb double, sab double, saa double, sbb double"
 
 
-def _gram_partials(d: int):
-    """Per-batch pairwise-complete sums for every pair i < j (numpy, d x d)."""
+def _gram_partials(centre: list[float]):
+    """Per-task pairwise-complete sums for every pair i < j (numpy, d x d) of
+    the values less ``centre``."""
     import numpy as np
     import pandas as pd
+    d = len(centre)
     iu, ju = np.triu_indices(d, k=1)
 
     def run(batches):
+        n, s, sab, sq = (np.zeros((d, d)) for _ in range(4))
         for pdf in batches:
-            X = pdf.to_numpy(dtype="float64", na_value=np.nan)
+            X = pdf.to_numpy(dtype="float64", na_value=np.nan) - np.asarray(centre)
             M = (~np.isnan(X)).astype("float64")
             X0 = np.where(M > 0, X, 0.0)
-            n = M.T @ M
-            s = X0.T @ M            # s[i, j] = sum of x_i where x_i and x_j are present
-            sab = X0.T @ X0
-            sq = (X0 * X0).T @ M
-            yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju],
-                                "sa": s[iu, ju], "sb": s[ju, iu], "sab": sab[iu, ju],
-                                "saa": sq[iu, ju], "sbb": sq[ju, iu]})
+            n += M.T @ M
+            s += X0.T @ M           # s[i, j] = sum of x_i where x_i and x_j are present
+            sab += X0.T @ X0
+            sq += (X0 * X0).T @ M
+        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju],
+                            "sa": s[iu, ju], "sb": s[ju, iu], "sab": sab[iu, ju],
+                            "saa": sq[iu, ju], "sbb": sq[ju, iu]})
     return run
 
 
 def corr_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     """|Pearson r| for every pair i < j over the rows where both are present.
 
-    One pass: each task multiplies its rows into d x d sums (numpy, Arrow
-    batches); the partial sums (d^2 / 2 rows per task) are added by a small
-    group-by.  Zero variance gives NULL (never "correlated")."""
+    A first pass takes the mean of every feature (d numbers), so that large
+    values do not cancel; then each task multiplies its centred rows into d x d
+    sums (numpy, Arrow batches), and the partial sums (d^2 / 2 rows per task)
+    are added by a small group-by.  Zero variance gives NULL (never
+    "correlated")."""
     d = len(features)
     if d < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, r double")
-    x = df.select(*[c(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)])
-    g = x.mapInPandas(_gram_partials(d), _GRAM_SCHEMA).groupBy("i", "j").agg(
+    x = df.select(*[_finite(c(f).cast("double")).alias(f"x{k}") for k, f in enumerate(features)])
+    mean = x.agg(*[F.coalesce(F.avg(f"x{k}"), F.lit(0.0)).alias(f"x{k}") for k in range(d)]).first()
+    g = x.mapInPandas(_gram_partials([float(v) for v in mean]), _GRAM_SCHEMA).groupBy("i", "j").agg(
         *[F.sum(v).alias(v) for v in ("n", "sa", "sb", "sab", "saa", "sbb")])
     cov = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
     va = F.col("n") * F.col("saa") - F.col("sa") * F.col("sa")
     vb = F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
-    r = F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+    # rounding leaves about 1e-16 of the raw moment: less than that is no variance
+    r = F.when((va > 1e-13 * F.col("n") * F.col("saa")) & (vb > 1e-13 * F.col("n") * F.col("sbb")),
+               cov / F.sqrt(va * vb))
     return g.select("i", "j", F.abs(r).alias("r"))
 
 
@@ -97,20 +105,24 @@ def _long(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def anova_scores(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """One-way ANOVA F per feature, two-pass (class means, then squared
-    deviations) for numerical stability."""
-    lg = _long(df, features, label).filter(F.col("value").isNotNull())
-    cm = lg.groupBy("feature", "label").agg(F.count(F.lit(1)).alias("nc"), F.avg("value").alias("mc"))
-    gm = cm.groupBy("feature").agg((F.sum(F.col("nc") * F.col("mc")) / F.sum("nc")).alias("mg"),
-                                   F.sum("nc").alias("n"), F.count(F.lit(1)).alias("k"))
-    ssb = cm.join(gm, "feature").groupBy("feature").agg(
-        F.sum(F.col("nc") * (F.col("mc") - F.col("mg")) ** 2).alias("ssb"), F.first("n").alias("n"),
-        F.first("k").alias("k"))
-    ssw = lg.join(F.broadcast(cm), ["feature", "label"]).groupBy("feature").agg(
-        F.sum((F.col("value") - F.col("mc")) ** 2).alias("ssw"))
-    j = ssb.join(ssw, "feature")
-    return j.select("feature", _finite(F.try_divide(F.col("ssb") / (F.col("k") - 1),
-                                                     F.col("ssw") / (F.col("n") - F.col("k")))).alias("score"))
+    """One-way ANOVA F per feature.  One aggregation by class gives count,
+    mean and population variance of every feature (stable central moments);
+    the rest works on one row per class and feature."""
+    names = list(enumerate(features))
+    v = {i: _finite(c(f).cast("double")) for i, f in names}
+    wide = df.groupBy(F.col(label).alias("label")).agg(*[x for i, _ in names for x in (
+        F.count(v[i]).alias(f"n{i}"), F.avg(v[i]).alias(f"m{i}"), F.var_pop(v[i]).alias(f"v{i}"))])
+    cm = wide.select(F.explode(F.array(*[F.struct(
+        F.lit(f).alias("feature"), F.col(f"n{i}").alias("nc"), F.col(f"m{i}").alias("mc"),
+        F.col(f"v{i}").alias("vc")) for i, f in names])).alias("e")).select("e.*").filter(F.col("nc") > 0)
+    w = Window.partitionBy("feature")                       # one row per class
+    cm = cm.withColumn("mg", F.sum(F.col("nc") * F.col("mc")).over(w) / F.sum("nc").over(w))
+    j = cm.groupBy("feature").agg(F.sum(F.col("nc") * (F.col("mc") - F.col("mg")) ** 2).alias("ssb"),
+                                  F.sum(F.col("nc") * F.col("vc")).alias("ssw"), F.sum("nc").alias("n"),
+                                  F.count(F.lit(1)).alias("k"))
+    return j.select("feature", _finite(F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1),
+                                                     F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))))
+                    .alias("score"))
 
 
 def top_k(scores: DataFrame, k: int = K.TOP_K, score: str = "score", digits: int | None = None) -> DataFrame:

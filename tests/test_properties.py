@@ -75,6 +75,25 @@ def test_attributions_equal_brute_force_shapley(spark):
                 assert got[(row, k, f)] == pytest.approx(want[k], abs=1e-9)
 
 
+def test_correlation_of_large_values_and_anova_by_numpy(spark):
+    rng = np.random.default_rng(11)
+    a = 1e9 + rng.normal(size=400)
+    b = 1e9 + 0.5 * (a - 1e9) + 0.1 * rng.normal(size=400)
+    y = rng.integers(0, 3, 400)
+    rows = [(float(a[i]), float(b[i]) if i % 10 else None, 7e9, float(a[i] - 1e9 + y[i]), int(y[i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, k double, s double, label int").repartition(3)
+    r = {(x.i, x.j): x.r for x in sl.corr_pairs(df, ["a", "b", "k", "s"]).collect()}
+    some = np.arange(400) % 10 > 0
+    assert r[(0, 1)] == pytest.approx(abs(np.corrcoef(a[some], b[some])[0, 1]), abs=1e-6)
+    assert r[(0, 2)] is None and r[(2, 3)] is None
+    got = {x.feature: x.score for x in sl.anova_scores(df, ["a", "s"]).collect()}
+    for name, v in (("a", a - 1e9), ("s", a - 1e9 + y)):
+        g = [v[y == k] for k in range(3)]
+        ssb = sum(len(q) * (q.mean() - v.mean()) ** 2 for q in g)
+        ssw = sum(((q - q.mean()) ** 2).sum() for q in g)
+        assert got[name] == pytest.approx((ssb / 2) / (ssw / 397), rel=1e-5)
+
+
 def test_ovr_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(1,)], "x int").select(
         md.array_to_vector(F.array(F.lit(1.0477), F.lit(-0.5), F.lit(0.2))).alias("rawPrediction"))
