@@ -6,7 +6,7 @@ normal, below 15 -> gradual_drift, otherwise sudden_drift.
 
 The rolling form needs, for every row, the mean of the last ``window``
 values of its key.  It is computed from exact running sums: rows are ranked
-inside (key, time bucket) and offset by earlier buckets (a small table), so
+inside (key, time range) and offset by earlier ranges (a small table), so
 no task holds a whole key; the sum over the last ``window`` rows is
 ``cum[i] - cum[i - window]``, an equi-join on the rank.
 """
@@ -38,21 +38,17 @@ def drift_batch(baseline: DataFrame, monitored: DataFrame, value: str = "error",
                     "current_mean", "baseline_mean", "n")
 
 
-def _asc_bucket(v: Column, bounds: list[float]) -> Column:
-    b = F.lit(0)
-    for x in bounds:
-        b = b + (v > F.lit(x)).cast("int")
-    return b
-
-
-def running_sums(df: DataFrame, part: str, ts: str, order_id: str, value: str, buckets: int = 8) -> DataFrame:
+def running_sums(df: DataFrame, part: str, ts: str, order_id: str, value: str,
+                 ranges: int | None = None) -> DataFrame:
     """Exact 0-based rank and inclusive running sum of ``value`` per ``part``
-    in (ts, order_id) order, without a window over a whole part."""
-    tsd = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
-    x = df.withColumn("__tv", tsd)
-    bounds = sorted(set(x.approxQuantile("__tv", [i / buckets for i in range(1, buckets)], 0.001))) \
-        if buckets > 1 else []
-    x = x.withColumn("__b", _asc_bucket(F.col("__tv"), bounds))
+    in (ts, order_id) order, without a window over a whole part.
+
+    The rows are range-partitioned on (part, ts, order_id) and written once, so
+    that each range keeps its partition number; the number of ranges grows with
+    the data (``ranges`` fixes it)."""
+    keys = [part, ts, order_id]
+    x = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    x = x.checkpoint().withColumn("__b", F.spark_partition_id())
     w = Window.partitionBy(part, "__b").orderBy(ts, order_id)
     x = x.withColumn("__r", F.row_number().over(w) - 1).withColumn(
         "__s", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -62,18 +58,18 @@ def running_sums(df: DataFrame, part: str, ts: str, order_id: str, value: str, b
                      F.coalesce(F.sum("__v").over(wb), F.lit(0).cast(dict(tot.dtypes)["__v"])).alias("__ov"))
     y = x.join(off, [part, "__b"])
     return y.withColumn("rank", F.col("__r") + F.col("__on")).withColumn("cum", F.col("__s") + F.col("__ov")).drop(
-        "__tv", "__b", "__r", "__s", "__on", "__ov")
+        "__b", "__r", "__s", "__on", "__ov")
 
 
 def drift_rolling(baseline: DataFrame, monitored: DataFrame, part: str = "sensor", value: str = "error",
                   ts: str = "ts", order_id: str = "event_id", window: int = K.DRIFT_WINDOW,
-                  buckets: int = 8) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Per monitored row: mean of the key's last ``window`` values (itself
     included), shift against the key's baseline mean, status."""
     # running sums in exact decimal: cum[i] - cum[i - window] must not carry
     # the rounding error of thousands of float additions
     m = monitored.withColumn("__xv", F.col(value).cast("decimal(30,12)"))
-    r = running_sums(m, part, ts, order_id, "__xv", buckets)
+    r = running_sums(m, part, ts, order_id, "__xv", ranges)
     back = r.select(part, (F.col("rank") + window).alias("rank"), F.col("cum").alias("cum_back"))
     j = r.join(back, [part, "rank"], "left")
     n = F.least(F.col("rank") + 1, F.lit(window))

@@ -216,3 +216,17 @@ def test_flow_assembly_across_midnight_gap_and_fin(spark):
     assert m[(7, 0)].n_packets == 2 and m[(7, 0)].duration_us == 90 * 60 * 1_000_000
     assert m[(7, 1)].fin_count == 1 and m[(7, 2)].n_packets == 1
     assert round(m[(7, 1)].len_std, 4) == round(((40 - 30) ** 2 / 2) ** 0.5, 4)
+
+
+def test_running_sums_over_ranges(spark):
+    import datetime as dt
+    from flowlens.operators.drift import running_sums
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a" if i % 3 else "b", t0 + dt.timedelta(minutes=i * 7 % 50), i, i % 11) for i in range(300)]
+    df = spark.createDataFrame(rows, "sensor string, ts timestamp, event_id int, v int")
+    got = {r.event_id: (r["rank"], r.cum) for r in running_sums(df, "sensor", "ts", "event_id", "v", ranges=6).collect()}
+    for sensor in "ab":
+        cum = 0
+        for rank, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == sensor), key=lambda r: (r[1], r[2]))):
+            cum += v
+            assert got[i] == (rank, cum)
