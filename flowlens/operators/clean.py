@@ -7,6 +7,7 @@ and are broadcast back, so batch and stream share them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
@@ -183,17 +184,38 @@ def seeded_hash(key: Column, seed: int = K.SEED) -> Column:
     return ((key % 1000003) * 7919 + seed) % 1000003
 
 
+def mark_lowest(df: DataFrame, part: str, key: str, quota: Callable[[Column], Column], out: str,
+                seed: int = K.SEED) -> DataFrame:
+    """Adds the boolean ``out``: the row is one of the ``quota(n)`` rows of its
+    ``part`` (of ``n`` rows) with the smallest (seeded hash, key).
+
+    The (part, hash) histogram, bounded by the hash domain, gives each part's
+    boundary hash.  Rows beside it are settled by comparison where they are;
+    only rows that share the boundary hash are shuffled and ranked.  Null keys
+    come first; repeated keys are told apart by their rank, so counts are exact."""
+    x = df.withColumn("__h", F.coalesce(seeded_hash(F.col(key), seed), F.lit(-1)))
+    hist = x.groupBy(F.col(part).alias("__c"), "__h").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__c").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+    hist = (hist.withColumn("__cum", F.sum("__n").over(w))
+            .withColumn("__k", quota(F.sum("__n").over(Window.partitionBy("__c")))))
+    bound = (hist.filter(F.col("__cum") >= F.col("__k"))
+             .groupBy("__c").agg(F.min_by(F.struct("__h", "__cum", "__n", "__k"), "__h").alias("b"))
+             .select("__c", F.col("b.__h").alias("__bh"),
+                     (F.col("b.__k") - (F.col("b.__cum") - F.col("b.__n"))).alias("__need")))
+    j = x.join(F.broadcast(bound), x[part].eqNullSafe(bound["__c"]), "left")
+    sure = j.filter(F.col("__h") != F.col("__bh")).withColumn(out, F.col("__h") < F.col("__bh"))
+    edge = j.filter(F.col("__h") == F.col("__bh")).withColumn(
+        out, F.row_number().over(Window.partitionBy("__c", "__h").orderBy(key)) <= F.col("__need"))
+    return sure.unionByName(edge).drop("__h", "__c", "__bh", "__need")
+
+
 def downsample_benign(df: DataFrame, n: int = K.BENIGN_SAMPLE, key: str = "flow_key",
                       col: str = "label", benign: str = K.BENIGN, seed: int = K.SEED) -> DataFrame:
-    """Exactly ``n`` benign rows: the smallest (seeded hash, key).
-
-    No top-k merge (which would pull partitions x n rows into one task):
-    each row gets its exact rank from the hash histogram (bounded by the
-    hash domain) and rows with rank < n are kept."""
-    from .select import rank_within
-    b = df.filter(F.col(col) == benign).withColumn("__all", F.lit(1))
-    r = rank_within(b, "__all", key, seed)
-    return r.filter(F.col("rank") < n).drop("__all", "rank", "n")
+    """Exactly ``n`` benign rows (all, if there are fewer): the smallest
+    (seeded hash, key).  No top-k merge, which would pull partitions x n rows
+    into one task."""
+    low = mark_lowest(df.filter(F.col(col) == benign), col, key, lambda tot: F.least(tot, F.lit(n)), "__low", seed)
+    return low.filter("__low").drop("__low")
 
 
 def balanced_union(df: DataFrame, n: int = K.BENIGN_SAMPLE, key: str = "flow_key",
@@ -219,32 +241,9 @@ def preview(df: DataFrame, n: int = 5, attacks_only: bool = False, col: str = "l
 def stratified_split(df: DataFrame, key: str = "flow_key", col: str = "label",
                      test_share: float = K.TEST_SHARE, seed: int = K.SEED) -> DataFrame:
     """Exact seeded stratified split: per class the round(share * n) rows with
-    the smallest (hash, key) go to test.
-
-    Scales with hot classes: ranks are taken over the (class, hash) histogram,
-    whose size is bounded by the hash domain, not by the number of rows; only
-    the rows sharing a class's boundary hash are ranked individually."""
-    h = seeded_hash(F.col(key), seed)
-    x = df.withColumn("__h", h)
-    hist = x.groupBy(F.col(col).alias("__c"), "__h").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy("__c").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
-    hist = (hist.withColumn("__cum", F.sum("__n").over(w))
-            .withColumn("__tot", F.sum("__n").over(Window.partitionBy("__c")))
-            .withColumn("__k", F.round(F.col("__tot") * test_share).cast("long")))
-    # boundary hash per class: first hash whose cumulative count reaches k
-    bound = (hist.filter(F.col("__cum") >= F.col("__k"))
-             .groupBy("__c").agg(F.min_by(F.struct("__h", "__cum", "__n", "__k"), "__h").alias("b"))
-             .select("__c", F.col("b.__h").alias("__bh"),
-                     (F.col("b.__k") - (F.col("b.__cum") - F.col("b.__n"))).alias("__need")))
-    j = x.join(F.broadcast(bound), x[col].eqNullSafe(bound["__c"]), "left")
-    edge = j.filter(F.col("__h") == F.col("__bh"))
-    edge_rank = edge.select(key, F.row_number().over(
-        Window.partitionBy("__c", "__h").orderBy(key)).alias("__r"), "__need")
-    j = j.join(edge_rank.select(key, "__r"), key, "left")
-    is_test = F.coalesce((F.col("__h") < F.col("__bh")) | ((F.col("__h") == F.col("__bh")) &
-                                                           (F.col("__r") <= F.col("__need"))), F.lit(False))
-    return j.withColumn("split", F.when(is_test, "test").otherwise("train")).drop(
-        "__h", "__c", "__bh", "__need", "__r")
+    the smallest (hash, key) go to test.  Hot classes are never gathered."""
+    x = mark_lowest(df, col, key, lambda n: F.round(n * test_share).cast("long"), "__test", seed)
+    return x.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
 # ------------------------------------------------------- align, impute ----

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.nulls import c
 from ..operators import clean
-from ..operators.features import engineer, prepare_flows
+from ..operators.features import prepare_flows, row_features
 from ..sources import adapters
 from .q_features import labelled_flows
 from .registry import register, rounded
@@ -258,7 +258,7 @@ ALIGN = ["flow_duration", "packet_rate", "not_a_column", "proto_6"]
     "cast(proto_6 AS DOUBLE) AS proto_6 FROM feat"))
 def align_features(spark, sf_dir):
     """Stored feature order; a feature the batch lacks becomes 0.0."""
-    f = engineer(prepare_flows(adapters.flows(spark, sf_dir)))
+    f = row_features(prepare_flows(adapters.flows(spark, sf_dir)))
     return rounded(clean.align_features(f, ALIGN, keep=["flow_key"]), 3, only=["packet_rate"])
 
 
@@ -292,7 +292,7 @@ def standard_scale(spark, sf_dir):
     "SELECT flow_key, cast(round_even(coalesce(total_packets, 0), 0) AS BIGINT) AS total_packets, "
     "cast(round_even(coalesce(total_bytes, 0), 0) AS BIGINT) AS total_bytes FROM feat"))
 def counts_to_int(spark, sf_dir):
-    f = engineer(prepare_flows(adapters.flows(spark, sf_dir))).select("flow_key", "total_packets", "total_bytes")
+    f = row_features(prepare_flows(adapters.flows(spark, sf_dir))).select("flow_key", "total_packets", "total_bytes")
     return clean.counts_to_int(f, ["total_packets", "total_bytes"])
 
 

@@ -74,3 +74,22 @@ def test_isolation_score_of_a_small_sample(spark):
     df = spark.createDataFrame(rows, "row_id long, features_arr array<double>")
     got = iforest.score(df, iforest.fit(df, trees=50)).toPandas()["iso_score"]
     assert 0.4 < got.mean() < 0.56
+
+
+def test_split_and_sample_are_exact_with_repeated_and_missing_keys(spark):
+    """Neither a key that many rows share nor a missing one doubles or drops a row."""
+    rows = [(7, "a", i) for i in range(300)] + [(None, "a", i) for i in range(50)] + \
+           [(i, "b", i) for i in range(41)] + [(3, None, i) for i in range(10)]
+    df = spark.createDataFrame(rows, "flow_key long, label string, n int")
+    got = clean.stratified_split(df).groupBy("label", "split").count().collect()
+    assert {(r.label, r.split): r["count"] for r in got} == {
+        ("a", "test"): 70, ("a", "train"): 280, ("b", "test"): 8, ("b", "train"): 33, (None, "test"): 2, (None, "train"): 8}
+    for n, want in ((0, 0), (120, 120), (349, 349), (350, 350), (1000, 350)):
+        assert clean.downsample_benign(df, n, benign="a").count() == want
+
+
+def test_split_shuffles_counts_only(spark):
+    """The rows themselves are not joined back on their key."""
+    df = spark.range(1000).select(F.col("id").alias("flow_key"), F.lit("a").alias("label"), F.lit("x" * 50).alias("wide"))
+    plan = clean.stratified_split(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2                      # the boundary row per class, once for each side of the union
