@@ -29,25 +29,30 @@ def fit_score_range(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
+def _unit(v: Column) -> Column:
+    return F.when(v < 0, 0.0).when(v > 1, 1.0).otherwise(v)
+
+
 def minmax_confidence(df: DataFrame, col: str = "attack_score_supervised", out: str = "xgb_confidence",
                       rng: DataFrame | None = None) -> DataFrame:
-    """Batch min-max of the supervised score; 0.5 when constant or absent."""
+    """Min-max of the supervised score over the batch, or over the frozen range
+    ``rng`` with scores beyond it cut to 0 and 1; 0.5 when constant or absent."""
     if col not in df.columns:
         return df.withColumn(out, F.lit(K.CONSTANT_CONFIDENCE))
     rng = fit_score_range(df, [col]) if rng is None else rng
     j = df.crossJoin(F.broadcast(rng.select(f"min__{col}", f"max__{col}")))
     lo, hi = F.col(f"min__{col}"), F.col(f"max__{col}")
-    v = F.when(hi > lo, (c(col) - lo) / (hi - lo)).otherwise(F.lit(K.CONSTANT_CONFIDENCE))
+    v = F.when(hi > lo, _unit((c(col) - lo) / (hi - lo))).otherwise(F.lit(K.CONSTANT_CONFIDENCE))
     return j.withColumn(out, v).drop(f"min__{col}", f"max__{col}")
 
 
 def minmax_ae(df: DataFrame, col: str = "ae_score", out: str = "ae_norm",
               rng: DataFrame | None = None) -> DataFrame:
-    """(x - min) / (max - min + 1e-9)."""
+    """(x - min) / (max - min + 1e-9); beyond a frozen range, 0 or 1."""
     rng = fit_score_range(df, [col]) if rng is None else rng
     j = df.crossJoin(F.broadcast(rng.select(f"min__{col}", f"max__{col}")))
     lo, hi = F.col(f"min__{col}"), F.col(f"max__{col}")
-    return j.withColumn(out, (c(col) - lo) / (hi - lo + K.MINMAX_GUARD)).drop(f"min__{col}", f"max__{col}")
+    return j.withColumn(out, _unit((c(col) - lo) / (hi - lo + K.MINMAX_GUARD))).drop(f"min__{col}", f"max__{col}")
 
 
 def ae_score_fallback(df: DataFrame, unsup: str = "attack_score_unsupervised", combined: str = "combined_score",
@@ -85,13 +90,15 @@ def fusion_columns(ae: Column, ae_norm: Column, conf: Column, label: Column,
 
 
 def decide(results: DataFrame, label_col: str = "xgb_label", cfg: dict | None = None,
-           decided_at: Column | None = None) -> DataFrame:
+           decided_at: Column | None = None, rng: DataFrame | None = None) -> DataFrame:
     """Results (scores + metadata) -> decision table with the metadata kept
-    on the same row (no join needed: decisions are row-wise)."""
+    on the same row (no join needed: decisions are row-wise).  ``rng`` is the
+    frozen row of score ranges; without it they are those of this batch."""
     x = ae_score_fallback(results) if "ae_score" not in results.columns else results
     # both batch ranges in one aggregation pass
     sup = "attack_score_supervised"
-    rng = fit_score_range(x, [sup, "ae_score"] if sup in x.columns else ["ae_score"])
+    if rng is None:
+        rng = fit_score_range(x, [sup, "ae_score"] if sup in x.columns else ["ae_score"])
     x = minmax_confidence(x, rng=rng)
     x = minmax_ae(x, rng=rng)
     cols = fusion_columns(c("ae_score"), c("ae_norm"), c("xgb_confidence"), c(label_col), cfg)

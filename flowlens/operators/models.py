@@ -7,6 +7,8 @@ surrounding bookkeeping (weights, codes, metrics) is DataFrame work.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -145,6 +147,15 @@ def reconstruction_error(x, xhat):
 
 # ----------------------------------------------------------- compare ----
 
+def choose_model(models: dict[str, PipelineModel], holdout: DataFrame, label: str = "label") -> DataFrame:
+    """``(model, macro_f1, best)``: each candidate's predictions of the
+    hold-out rows, compared in one pass over their union."""
+    preds = [m.transform(holdout).select(F.lit(n).alias("model"), F.col(label).cast("int").alias("actual"),
+                                         F.col("prediction").cast("int").alias("predicted"))
+             for n, m in models.items()]
+    return compare_models(reduce(DataFrame.unionByName, preds))
+
+
 def compare_models(preds: DataFrame, actual: str = "actual", predicted: str = "predicted",
                    model: str = "model") -> DataFrame:
     """Macro-F1 per candidate on the hold-out; ``best`` marks the winner

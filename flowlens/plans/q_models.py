@@ -75,6 +75,18 @@ def train_boosted(spark, sf_dir):
     return _holdout(md.score_supervised(m, te))
 
 
+@register("train_compare")
+def train_compare(spark, sf_dir):
+    """Logistic model, forest and boosted trees on the same split: macro-F1 on
+    the hold-out and the winner."""
+    tr, te = train_test(spark, sf_dir)
+    w = md.class_weights(tr, "label").checkpoint()       # read by every fit
+    models = {"logistic": md.train_logistic(w, "label", "weight", 200),
+              "forest": md.train_forest(w, "label", "weight", 300, 20, 5),
+              "boosted": md.train_boosted(w, "label", "weight", CHECK_BOOST_ROUNDS, 6, 0.1, 0.8)}
+    return md.choose_model(models, te, "label")
+
+
 @register("score_supervised")
 def score_supervised(spark, sf_dir):
     """Class, probability vector and the two attack scores for every row."""

@@ -1,5 +1,6 @@
 """Training chain: flows -> clean -> features -> split -> select -> impute /
-scale -> supervised forest + linear reconstruction -> artifacts.
+scale -> supervised candidates, the best of which is kept, linear
+reconstruction and isolation forest -> artifacts.
 
 Everything fitted is a small table or an MLlib model; ``save`` / ``load``
 keep them under one folder so the scorer (batch or stream) uses exactly
@@ -9,14 +10,15 @@ folder) after the split, before the many selection passes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import clean, features as fe, models as md, select as sl
+from ..operators import clean, explain as ex, features as fe, fusion as fu, iforest, models as md, select as sl
+from ..operators.evaluate import fit_score_norm
 from ..operators.features import prepare_flows
 from ..sources import io
 
@@ -41,10 +43,18 @@ class Artifacts:
     scaler: DataFrame
     codes: DataFrame
     model_codes: DataFrame
-    forest: PipelineModel
-    recon: PipelineModel
+    stats: DataFrame                    # feature statistics of the training flows
     norm: DataFrame                     # p0, p99 of benign training errors
-    extra: dict = field(default_factory=dict)
+    ranges: DataFrame                   # ranges of both scores over the training rows
+    deviation: DataFrame                # mean deviation per feature over the training rows
+    comparison: DataFrame               # macro-F1 of each candidate on the hold-out
+    isolation: DataFrame                # nodes of the isolation forest
+    classifier: PipelineModel           # the best candidate
+    recon: PipelineModel
+
+
+#: Fitted tables that are saved beside the two models.
+TABLES = ("medians", "scaler", "codes", "model_codes", "stats", "norm", "ranges", "deviation", "comparison", "isolation")
 
 
 def freeze(df: DataFrame) -> DataFrame:
@@ -54,8 +64,8 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def labelled_features(flows: DataFrame, protocols: list[str]) -> DataFrame:
-    x = fe.engineer(prepare_flows(flows, protocols))
+def labelled_features(flows: DataFrame, protocols: list[str], stats: DataFrame) -> DataFrame:
+    x = fe.engineer(prepare_flows(flows, protocols), stats=stats)
     x = x.withColumnRenamed("raw_label", "label")
     return clean.group_labels(clean.clean_label_text(x, "label"), "label").filter(F.col("label").isNotNull())
 
@@ -90,29 +100,51 @@ def select_feature_list(train: DataFrame, candidates: list[str], top: int = K.TO
 
 
 def train(spark: SparkSession, flows: DataFrame, trees: int = 300, depth: int = 20, min_leaf: int = 5,
-          components: int = 8, use_forest_rank: bool = False) -> Artifacts:
+          components: int = 8, use_forest_rank: bool = False, rounds: int = 300, iterations: int = 200,
+          isolation_trees: int = 200, candidates: tuple[str, ...] = ("logistic", "forest", "boosted")) -> Artifacts:
+    """Fits everything the scorer needs on the training split.  Of the
+    ``candidates`` the one with the best macro-F1 on the hold-out is kept."""
     protocols = clean.fit_protocols(flows)
-    feats = labelled_features(flows, protocols)
-    split = clean.stratified_split(feats, key="flow_key", col="label")
-    tr = split.filter(F.col("split") == "train").checkpoint()        # reliable, shared folder
-    features = select_feature_list(tr, CANDIDATES, use_forest=use_forest_rank)
+    stats = freeze(fe.fit_feature_stats(fe.row_features(prepare_flows(flows, protocols))))
+    feats = labelled_features(flows, protocols, stats)
+    split = clean.stratified_split(feats, key="flow_key", col="label").checkpoint()   # reliable, shared folder
+    tr = split.filter(F.col("split") == "train")
+    per_protocol = [n.format(p) for p in protocols for n in ("proto_{}", "proto_{}_flag_rate")]
+    features = select_feature_list(tr, list(dict.fromkeys(CANDIDATES + per_protocol)), use_forest=use_forest_rank)
     medians = freeze(clean.fit_medians(tr, features, exact=False))
-    imp = clean.impute_median(tr.select("flow_key", "label", *[F.col(f"`{f}`") for f in features]), medians, features)
-    scaler = freeze(clean.fit_scaler(imp, features))
-    scaled = clean.standard_scale(imp, scaler, features).checkpoint()   # feeds codes, forest and PCA
-    codes = freeze(clean.fit_label_codes(scaled))
-    rows, model_codes = clean.filter_rare_reencode(scaled, codes)
+    imp = clean.impute_median(split.select("flow_key", "label", "split", *[F.col(f"`{f}`") for f in features]),
+                              medians, features)
+    scaler = freeze(clean.fit_scaler(imp.filter(F.col("split") == "train"), features))
+    scaled = md.assemble(clean.standard_scale(imp, scaler, features), features).select(
+        "flow_key", "label", "split", "features").checkpoint()       # feeds codes and all models
+    known = scaled.filter(F.col("split") == "train")
+    codes = freeze(clean.fit_label_codes(known))
+    rows, model_codes = clean.filter_rare_reencode(known, codes)
     model_codes = freeze(model_codes)
-    vec = md.assemble(rows, features)
-    weighted = md.class_weights(vec, "model_code")
-    forest = md.train_forest(weighted, "model_code", "weight", trees, depth, min_leaf)
-    benign = md.assemble(scaled.filter(F.col("label") == K.BENIGN), features)
+    weighted = md.class_weights(rows, "model_code")
+    fit = {"logistic": lambda: md.train_logistic(weighted, "model_code", "weight", iterations),
+           "forest": lambda: md.train_forest(weighted, "model_code", "weight", trees, depth, min_leaf),
+           "boosted": lambda: md.train_boosted(weighted, "model_code", "weight", rounds)}
+    models = {n: fit[n]() for n in candidates}
+    holdout = scaled.filter(F.col("split") == "test").join(
+        F.broadcast(model_codes.select("label", "model_code")), "label")      # one row per class
+    comparison = freeze(md.choose_model(models, holdout, "model_code"))
+    classifier = models[comparison.filter("best").orderBy("model").first()["model"]]
+    benign = known.filter(F.col("label") == K.BENIGN)
     recon = md.train_reconstruction(benign, min(components, len(features)))
-    benign_arr = benign.withColumn("features_arr", md.vector_to_array("features"))
+    arrays = known.withColumn("features_arr", md.vector_to_array("features"))
+    benign_arr = arrays.filter(F.col("label") == K.BENIGN)
     err = md.reconstruct(recon, benign_arr.select("features_arr"), "features_arr")
-    from ..operators.evaluate import fit_score_norm
     norm = freeze(fit_score_norm(err, "recon_error"))
-    return Artifacts(protocols, features, medians, scaler, codes, model_codes, forest, recon, norm)
+    # what the scorer would see of the training rows: frozen for streams
+    seen = md.reconstruct(recon, md.score_supervised(classifier, arrays).select(
+        "features_arr", "attack_score_supervised"), "features_arr", out="ae_score", keep_recon=True).checkpoint()
+    ranges = freeze(fu.fit_score_range(seen, ["attack_score_supervised", "ae_score"]))
+    deviation = freeze(ex.global_deviation(seen, "features_arr", "recon"))
+    isolation = iforest.fit(benign_arr.select("flow_key", "features_arr"), "features_arr", "flow_key",
+                            trees=isolation_trees).checkpoint()
+    return Artifacts(protocols, features, medians, scaler, codes, model_codes, stats, norm, ranges, deviation,
+                     comparison, isolation, classifier, recon)
 
 
 def save(a: Artifacts, path: str) -> None:
@@ -121,15 +153,15 @@ def save(a: Artifacts, path: str) -> None:
                    f"{path}/protocols")
     io.save_params(spark.createDataFrame([(i, f) for i, f in enumerate(a.features)], "position int, feature string"),
                    f"{path}/features")
-    for name in ("medians", "scaler", "codes", "model_codes", "norm"):
+    for name in TABLES:
         io.save_params(getattr(a, name), f"{path}/{name}")
-    io.save_model(a.forest, f"{path}/forest")
+    io.save_model(a.classifier, f"{path}/classifier")
     io.save_model(a.recon, f"{path}/recon")
 
 
 def load(spark: SparkSession, path: str) -> Artifacts:
     protocols = [r.value for r in spark.read.parquet(f"{path}/protocols").orderBy("position").collect()]
     features = [r.feature for r in spark.read.parquet(f"{path}/features").orderBy("position").collect()]
-    t = {n: spark.read.parquet(f"{path}/{n}") for n in ("medians", "scaler", "codes", "model_codes", "norm")}
-    return Artifacts(protocols, features, t["medians"], t["scaler"], t["codes"], t["model_codes"],
-                     io.load_model(f"{path}/forest"), io.load_model(f"{path}/recon"), t["norm"])
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES}
+    return Artifacts(protocols, features, **tables, classifier=io.load_model(f"{path}/classifier"),
+                     recon=io.load_model(f"{path}/recon"))

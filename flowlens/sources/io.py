@@ -99,10 +99,16 @@ def write_split_tables(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def append_log(df: DataFrame, path: str, ts: str = "ts", json_path: str | None = None) -> None:
-    """Append rows to a day-partitioned log table (and to a JSON-lines copy)."""
-    out = df.withColumn("date", F.to_date(F.col(ts)))
-    out.write.mode("append").partitionBy("date").parquet(path)
+def append_log(df: DataFrame, path: str, ts: str = "ts", json_path: str | None = None,
+               run_id: int | None = None) -> None:
+    """Append rows to a day-partitioned log table (and to a JSON-lines copy).
+    With a ``run_id`` they become that run's part of the table, in place of
+    what an earlier attempt at the run has written."""
+    out = df.withColumn("date", F.to_date(F.col(ts))).write.partitionBy("date")
+    if run_id is None:
+        out.mode("append").parquet(path)
+    else:
+        out.mode("overwrite").parquet(f"{path}/run_id={run_id}")
     if json_path:
         write_json_log(df, json_path, "append")
 
