@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ RECALL = 0.9995
 ROWS_PER_BAND = 3
 #: Shorter paragraphs are not judged.
 MIN_WORDS = 20
+#: Salt of the hashes of runs.
+RUN = np.uint64(0x5851F42D4C957F2D)
 #: Buckets of up to so many distinct paragraphs are compared pair by pair.
 PAIRWISE = 32
 #: Members of a larger bucket that all others are held against first.
@@ -35,38 +39,80 @@ def _seeds(n: int) -> np.ndarray:
     return np.random.default_rng(11).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _runs(words: np.ndarray, text: np.ndarray, number: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and number of lines of each run of neighbouring lines with
+    words, but fewer than ``short``."""
+    ok = np.flatnonzero((words > 0) & (words < short))
+    new = np.ones(len(ok), bool)
+    new[1:] = (text[ok[1:]] != text[ok[:-1]]) | (number[ok[1:]] != number[ok[:-1]] + 1)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(ok)))
+    return ok[first[size > 1]], size[size > 1]
+
+
+def _merged(t: tv.Tokens, at: np.ndarray, size: np.ndarray) -> tv.Tokens:
+    """The tokens of runs of texts, each run as one text."""
+    begin, n = t.first[at], t.first[at + size] - t.first[at]
+    first = np.append(0, np.cumsum(n))
+    take = np.arange(first[-1]) + np.repeat(begin - first[:-1], n)
+    return replace(t, hash=t.hash[take], start=t.start[take], end=t.end[take], doc=np.repeat(np.arange(len(at)), n), first=first)
+
+
+def _describe(t: tv.Tokens, shingle: int, min_words: int, salt: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, ...]:
+    """The texts that are long enough; the hashes of all shingles; first and
+    end of each such text's; its number of words and content hash."""
+    words = np.diff(t.first)
+    keep = np.flatnonzero(words >= max(1, min_words))
+    h, doc = tv.shingles(t, shingle)
+    first = np.searchsorted(doc, np.arange(len(words) + 1))
+    # The content is the sequence of words: sums of hashes times powers.
+    step, _ = tv._powers(int(words.max(initial=0)) + 1)
+    place = np.arange(len(t.hash)) - t.first[t.doc]
+    whole = np.add.reduceat(np.append(t.hash * step[place], np.uint64(0)), t.first[:-1]) if len(words) else h
+    content = tv.mix(whole[keep] + words[keep].astype(np.uint64))
+    if salt:
+        h, content = tv.mix(h ^ salt), tv.mix(content ^ salt)
+    return keep, h, first[keep], first[keep + 1], words[keep], content
+
+
 class Paragraphs:
-    """The judged paragraphs of a group of texts: a paragraph is a line."""
+    """The judged paragraphs of a group of texts: a paragraph is a line, or a
+    run of two or more neighbouring lines of fewer than ``short`` words each.
+    The hashes of runs are salted, so runs only ever meet runs."""
 
-    def __init__(self, group: list[bytes], shingle: int, min_words: int):
-        lines, self.text, self.number, self.begin = [], [], [], []
+    def __init__(self, group: list[bytes], shingle: int, min_words: int, short: int = 0):
+        least = 1 if short else 2 * min_words - 1
+        lines, text, number, begin = [], [], [], []
         for d, b in enumerate(group):
             at = 0
             for n, line in enumerate(b.split(b"\n")):
-                if len(line) >= 2 * min_words - 1:
+                if len(line) >= least:
                     lines.append(line)
-                    self.text.append(d)
-                    self.number.append(n)
-                    self.begin.append(at)
+                    text.append(d)
+                    number.append(n)
+                    begin.append(at)
                 at += len(line) + 1
         t = tv.tokens([x.decode().lower().encode() for x in lines], words=True)
-        words = np.diff(t.first)
-        self.keep = np.flatnonzero(words >= max(1, min_words))
-        self.words = words[self.keep]
-        h, doc = tv.shingles(t, shingle)
-        first = np.searchsorted(doc, np.arange(len(lines) + 1))
-        self.hash, self.first, self.last = h, first[self.keep], first[self.keep + 1]
-        # The content is the sequence of words: sums of hashes times powers.
-        step, _ = tv._powers(int(words.max(initial=0)) + 1)
-        place = np.arange(len(t.hash)) - t.first[t.doc]
-        whole = np.add.reduceat(np.append(t.hash * step[place], np.uint64(0)), t.first[:-1]) if len(lines) else h
-        self.content = tv.mix(whole[self.keep] + words[self.keep].astype(np.uint64)) if len(lines) else h
-        self.text, self.number, self.begin = (np.array(x, np.int64)[self.keep] for x in (self.text, self.number, self.begin))
+        text, number, begin = (np.array(x, np.int64) for x in (text, number, begin))
+        at, size = _runs(np.diff(t.first), text, number, short)
+        keep, *line = _describe(t, shingle, min_words)
+        kept, *run = _describe(_merged(t, at, size), shingle, min_words, RUN)
+        run[1:3] = run[1] + len(line[0]), run[2] + len(line[0])
+        self.hash, self.first, self.last, self.words, self.content = (np.concatenate(x) for x in zip(line, run))
+        at, size = at[kept], size[kept]
+        self.text, self.number, self.begin = (np.concatenate((x[keep], x[at])) for x in (text, number, begin))
+        self.lines = np.concatenate((np.ones(len(keep), np.int64), size))
+        # The run that holds each line, if any.
+        of = np.full(len(lines), -1, np.int64)
+        of[np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(
+            np.arange(len(at)), size)
+        self.run = np.concatenate((of[keep], np.full(len(at), -1, np.int64)))
+        self.run_content, self.run_number = run[4], number[at]
 
     def bands(self, rows: int, bands: int) -> np.ndarray:
         """One bucket key for each band and paragraph."""
-        out = np.zeros((bands, len(self.keep)), np.uint64)
-        if not len(self.keep):
+        out = np.zeros((bands, len(self.content)), np.uint64)
+        if not len(self.content):
             return out
         spans = np.stack((self.first, self.last), 1).ravel()
         h = np.append(self.hash, np.uint64(0))
@@ -83,37 +129,39 @@ def _groups(texts):
 
 
 _ROWS = pa.schema([("id", pa.int64()), ("paragraph", pa.int32()), ("begin", pa.int64()), ("n_words", pa.int32()),
-                   ("e", pa.int64())])
+                   ("e", pa.int64()), ("n_lines", pa.int32()), ("run", pa.int64()), ("run_at", pa.int32())])
 _BANDS = pa.schema([("key", pa.int64()), ("e", pa.int64())])
 _SETS = pa.schema([("e", pa.int64()), ("s", pa.list_(pa.int64()))])
 
 
-def _list_rows(shingle, min_words):
+def _list_rows(shingle, min_words, short):
     def run(batches):
         for ids, texts in columns(batches):
             for at, group in _groups(texts):
-                p = Paragraphs(group, shingle, min_words)
+                p = Paragraphs(group, shingle, min_words, short)
                 yield batch(_ROWS, pa.array([ids[at + d] for d in p.text.tolist()], pa.int64()),
                             pa.array(p.number.astype(np.int32)), pa.array(p.begin), pa.array(p.words.astype(np.int32)),
-                            pa.array(tv.signed(p.content)))
+                            pa.array(tv.signed(p.content)), pa.array(p.lines.astype(np.int32)),
+                            pa.array(tv.signed(np.append(p.run_content, np.uint64(0)))[p.run], mask=p.run < 0),
+                            pa.array(np.append(p.run_number, 0)[p.run].astype(np.int32), mask=p.run < 0))
     return run
 
 
-def _list_bands(shingle, min_words, rows, bands):
+def _list_bands(shingle, min_words, short, rows, bands):
     def run(batches):
         for (texts,) in columns(batches):
             for _, group in _groups(texts):
-                p = Paragraphs(group, shingle, min_words)
+                p = Paragraphs(group, shingle, min_words, short)
                 yield batch(_BANDS, pa.array(tv.signed(p.bands(rows, bands).ravel())),
                             pa.array(np.tile(tv.signed(p.content), bands)))
     return run
 
 
-def _list_sets(shingle, min_words):
+def _list_sets(shingle, min_words, short):
     def run(batches):
         for (texts,) in columns(batches):
             for _, group in _groups(texts):
-                p = Paragraphs(group, shingle, min_words)
+                p = Paragraphs(group, shingle, min_words, short)
                 sets = [tv.signed(np.unique(p.hash[a:b])) for a, b in zip(p.first, p.last)]
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -181,16 +229,16 @@ def _blocks(members: DataFrame, sets: DataFrame, main: DataFrame, similarity: fl
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
-            recall: float = RECALL, rows: int = ROWS_PER_BAND) -> DataFrame:
+            recall: float = RECALL, rows: int = ROWS_PER_BAND, short: int = 0) -> DataFrame:
     """``(e, root)`` for the distinct contents in ``docs(text)`` that chains of
     similar paragraphs connect with others."""
     text = docs.select("text")
-    bands = text.mapInArrow(_list_bands(shingle, min_words, rows, tune_bands(similarity, recall, rows)), "key long, e long")
+    bands = text.mapInArrow(_list_bands(shingle, min_words, short, rows, tune_bands(similarity, recall, rows)), "key long, e long")
     live = stage(bands.groupBy("key").agg(F.min("e").alias("low"), F.max("e").alias("high")).where("low < high")
                  .select("key"), "live")
     members = stage(with_small(bands, live, "key", row_bytes=16).distinct(), "members")
     wanted = stage(members.select("e").distinct(), "wanted")
-    sets = stage(with_small(text.mapInArrow(_list_sets(shingle, min_words), "e long, s array<long>"), wanted, "e",
+    sets = stage(with_small(text.mapInArrow(_list_sets(shingle, min_words, short), "e long, s array<long>"), wanted, "e",
                             row_bytes=16).groupBy("e").agg(F.first("s").alias("s")), "sets")
     size = members.groupBy("key").agg(
         F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("e", F.lit(k)), "e"))["e"].alias(f"hub{k}") for k in range(HUBS)))
@@ -213,29 +261,48 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     return components(edges.union(more))
 
 
+def _named(found: DataFrame, roots: DataFrame, order) -> DataFrame:
+    """``(e, class_id, n_class, first)`` of the contents in classes of two or
+    more paragraphs."""
+    contents = found.groupBy("e").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    by_class = contents.join(roots.withColumnRenamed("node", "e"), "e", "left").withColumn("class_id", F.coalesce("root", "e"))
+    sizes = by_class.groupBy("class_id").agg(F.sum("n").alias("n_class"), F.min("first").alias("first")).where("n_class > 1")
+    return by_class.select("e", "class_id").join(sizes, "class_id")
+
+
 def duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
-               recall: float = RECALL, rows: int = ROWS_PER_BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, paragraph, begin, n_words, class_id, n_class, removed)`` for every
-    paragraph that has a near copy: a line of at least ``min_words`` words
-    whose set of ``shingle``-word shingles has Jaccard ``similarity`` with
-    another one's.  ``begin`` is its byte offset.
+               recall: float = RECALL, rows: int = ROWS_PER_BAND, id_col: str = "doc_id", text_col: str = "text",
+               short: int = 0) -> DataFrame:
+    """``(id, paragraph, begin, n_words, class_id, n_class, removed, n_lines)``
+    for every paragraph that has a near copy: a line of at least ``min_words``
+    words whose set of ``shingle``-word shingles has Jaccard ``similarity``
+    with another one's.  ``begin`` is its byte offset.  With ``short``, each
+    run of ``n_lines`` > 1 neighbouring lines of fewer words than that is a
+    paragraph as well, besides its lines; runs are compared with runs.
 
     Classes are the components of such pairs; in each the first paragraph by
-    id, then place, stays and the others are ``removed``.  Bands are tuned so
-    that pairs at the similarity meet with probability ``recall``; exact
-    copies always meet.  Case and punctuation do not count.  Null and empty
-    texts have no paragraphs; a null id comes after all others; repeated rows
-    are copies of each other; extra columns are ignored; an empty table gives
-    an empty one.
+    id, then place, stays and the others are ``removed``.  A line outside
+    removed runs comes before the lines in them, so that a copy stays.  Bands
+    are tuned so that pairs at the similarity meet with probability
+    ``recall``; exact copies always meet.  Case and punctuation do not count.
+    Null and empty texts have no paragraphs; a null id comes after all others;
+    repeated rows are copies of each other; extra columns are ignored; an
+    empty table gives an empty one.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stage(plain.mapInArrow(_list_rows(shingle, min_words),
-                                   "id long, paragraph int, begin long, n_words int, e long"), "rows")
+    found = stage(plain.mapInArrow(_list_rows(shingle, min_words, short), "id long, paragraph int, begin long, n_words int, "
+                                   "e long, n_lines int, run long, run_at int"), "rows")
     order = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("paragraph"))
-    contents = found.groupBy("e").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    roots = classes(plain, shingle, similarity, min_words, recall, rows)
-    by_class = contents.join(roots.withColumnRenamed("node", "e"), "e", "left").withColumn("class_id", F.coalesce("root", "e"))
-    sizes = by_class.groupBy("class_id").agg(F.sum("n").alias("n_class"), F.min("first").alias("first")).where("n_class > 1")
-    named = stage(by_class.select("e", "class_id").join(sizes, "class_id"), "named")
+    roots = classes(plain, shingle, similarity, min_words, recall, rows, short)
+    if short:
+        roots = stage(roots, "classes")
+        named = _named(found.where("n_lines > 1"), roots, order)
+        runs = stage(named.select(F.col("e").alias("key"), F.col("first").alias("run_first")), "runs")
+        # A line without a run looks for its own content, which no run has.
+        found = stage(found.withColumn("key", F.coalesce("run", "e")).join(runs, "key", "left").withColumn("gone", F.coalesce(
+            F.col("run").isNotNull() & (F.col("run_first") != F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col(
+                "run_at").alias("paragraph"))), F.lit(False))).drop("key", "run_first"), "lines")
+        order = F.struct("gone", *(order[x].alias(x) for x in ("x", "id", "paragraph")))
+    named = stage(_named(found, roots, order), "named")
     return found.join(named, "e").select("id", "paragraph", "begin", "n_words", "class_id", "n_class",
-                                         (F.col("first") != order).alias("removed"))
+                                         (F.col("first") != order).alias("removed"), "n_lines")

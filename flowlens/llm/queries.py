@@ -87,7 +87,8 @@ def op7_url_filter(spark, sf_dir):
 
 @query
 def op8_paragraph_dedup(spark, sf_dir):
-    return paragraphs.duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = paragraphs.duplicates(read(spark, sf_dir, "documents"), min_words=paragraphs.SHINGLE, short=paragraphs.MIN_WORDS)
+    return out.withColumnRenamed("id", "doc_id")
 
 
 @query

@@ -1,0 +1,80 @@
+"""The registered paragraph query judges short lines and runs of them."""
+import random
+import re
+from collections import Counter
+
+from flowlens.llm import paragraphs
+from flowlens.llm.queries import QUERIES
+
+from .test_dedup import brute_paragraphs
+
+
+def _texts():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgé") for _ in range(6)) for _ in range(500)]
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    shared = [line(n) for n in (5, 7, 12, 19, 4)]
+    verse = [line(4) for _ in range(14)]                # 56 words, no line of a full shingle
+    rows = []
+    for i in range(60):
+        parts = [line(30), line(rnd.randint(1, 19)), line(25)]
+        parts.insert(rnd.randint(0, 3), shared[i % 5])
+        if i % 12 == 0:
+            parts += ["", *verse[:-1], line(4) if i else verse[-1]]
+        rows.append((i, rnd.choice(["\n", "\r"]).join(parts)))
+    return [*rows, (60, None), (None, shared[1]), (rows[1][0], rows[1][1])]
+
+
+def _brute_runs(texts, sets):
+    items = []
+    for i, t in texts:
+        run = []
+        for n, line in enumerate([*(t or "").replace("\r", "\n").split("\n"), ""]):
+            w = re.findall(r"[^\W_]+", line.lower())
+            if 0 < len(w) < 20:
+                run.append((n, w))
+                continue
+            flat = [x for _, y in run for x in y]
+            if len(run) > 1 and len(flat) >= 5:
+                items.append((i, run[0][0], {tuple(flat[k:k + 5]) for k in range(len(flat) - 4)}))
+            run = []
+    s = sets(len(items))
+    for a in range(len(items)):
+        for b in range(a):
+            x, y = items[a][2], items[b][2]
+            if len(x & y) >= 0.8 * len(x | y):
+                s.join(a, b)
+    groups = {}
+    for k in range(len(items)):
+        groups.setdefault(s.root(k), []).append(items[k][:2])
+    return Counter(tuple(sorted(g, key=str)) for g in groups.values() if len(g) > 1)
+
+
+def _classes(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.class_id, []).append((r.doc_id, r.paragraph))
+    return Counter(tuple(sorted(g, key=str)) for g in groups.values())
+
+
+def test_short_lines_and_runs(spark, sets, tmp_path):
+    texts = _texts()
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op8_paragraph_dedup"](spark, str(tmp_path)).collect()
+    lines, runs = [r for r in rows if r.n_lines == 1], [r for r in rows if r.n_lines > 1]
+    assert min(r.n_words for r in lines) == 5 and sum(r.n_words < 20 for r in lines) >= 40
+    assert _classes(lines) == brute_paragraphs(texts, sets, 5)
+    assert _classes(runs) == _brute_runs(texts, sets)
+    verse = [r for r in runs if r.n_words >= 56]
+    assert len(verse) == 5 and sum(not r.removed for r in verse) == 1
+
+
+def test_a_line_stays_outside_removed_runs(spark):
+    """The run of text 2 goes for that of text 1, which lacks the line that
+    texts 2 and 3 share: the copy in text 3 stays."""
+    lines = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(12)]
+    texts = [(1, "\n".join([*lines[:11], "a b c d e f g h"])), (2, "\n".join(lines)), (3, lines[11])]
+    rows = paragraphs.duplicates(spark.createDataFrame(texts, "doc_id long, text string"), min_words=5, short=20).collect()
+    assert {(r.id, r.removed) for r in rows if r.n_lines > 1} == {(1, False), (2, True)}
+    shared = {r.id: r.removed for r in rows if r.n_lines == 1 and r.paragraph == (11 if r.id < 3 else 0) and r.id > 1}
+    assert shared == {2: True, 3: False}
