@@ -3,8 +3,9 @@
 One page of each host is its pivot.  Every page's DOM tree is aligned with the
 pivot of its host by simple tree matching, so that equal places of different
 pages share a number.  Places whose text hardly varies over the host's pages
-belong to the template; varying places are content slots.  Where the markup
-itself says what a part is for (menus, forms, adverts ...), that counts too.
+belong to the template; varying places are content slots, whether or not an
+``article`` holds them.  Menus, footers, asides, forms, comments and adverts
+are left out where the markup itself says so.
 """
 
 from __future__ import annotations
@@ -39,14 +40,21 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption",
           "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 _CLOSES_P = _BLOCK - {"br", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "title", "head",
                       "html", "body", "select", "legend"}
-_DROP = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "nav", "footer", "aside",
-         "form", "button", "select", "textarea", "input", "label", "menu", "dialog", "title", "audio", "video", "math"}
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav|navbar|"
-    r"navigation|sidebar|side|aside|footer|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|signup|"
-    r"comments?|commentlist|replies|respond|disqus|reactions|share|sharing|social|related|recommended|popup|modal|overlay|"
-    r"toolbar|pagination|pager|skip|masthead|topbar|widget|hidden)(?:$|[\s_-])", re.I)
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "dialog", "form"}
+_DROP = {"head", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "nav", "footer", "aside", "form",
+         "select", "textarea", "input", "menu", "dialog", "title"}
+#: Dropped only beside the part that the page marks as its article or main part.
+_WIDGETS = {"object", "button", "label", "audio", "video"}
+#: Never dropped for a name within that part.
+_PROSE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "math"}
+#: Whole class tokens and ids of menus, footers, asides, comments and adverts;
+#: other names are left to the statistics of the places.
+_NAMED = re.compile(
+    r"(?:(?:site|page|main|global|primary|secondary|top|bottom|left|right|post|google|wp|js)[_-])?"
+    r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|nav|navbar|navigation|menu|menubar|breadcrumbs?|pagination|"
+    r"pager|sidebar|aside|footer|comments|commentlist|replies|respond|disqus)"
+    r"(?:[_-]?(?:box|slot|unit|banner|wrap|wrapper|container|area|section|block|bar|list|links?|inner|top|bottom|left|right|"
+    r"panel|widget|thread|[0-9]+))*", re.I)
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "form"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -54,8 +62,13 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+@lru_cache(maxsize=4096)
+def _tells(names: str) -> bool:
+    return any(map(_NAMED.fullmatch, names.split()))
+
+
 class Node:
-    __slots__ = ("tag", "name", "drop", "children", "slot")
+    __slots__ = ("tag", "name", "drop", "by_class", "by_id", "children", "slot")
 
     def __init__(self, tag: str, attributes: str = ""):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes \
@@ -64,8 +77,9 @@ class Node:
         self.tag, self.name = tag, f"{tag} {re.sub(r'[0-9]+', '0', named)}"
         self.drop = (tag in _DROP or found.get("role", "").lower() in _ROLES or "hidden" in found
                      or found.get("aria-hidden", "").lower() == "true"
-                     or "display:none" in found.get("style", "").replace(" ", "").lower()
-                     or bool(named and tag not in ("html", "body", "article", "main") and _HINT.search(named)))
+                     or "display:none" in found.get("style", "").replace(" ", "").lower())
+        outer = tag in ("html", "body", "article", "main")
+        self.by_class, self.by_id = (not outer and k in found and _tells(found[k]) for k in ("class", "id"))
         self.children: list = []
         self.slot = -1
 
@@ -250,45 +264,33 @@ def _write(node: Node, template: frozenset, out: list[str]) -> None:
         out.append(" ")
 
 
-def _regions(root: Node) -> list[Node]:
-    """The outermost ``article`` elements, or else ``main``, or the page."""
-    def find(tag):
-        out, todo = [], [root]
-        while todo:
-            n = todo.pop()
-            if n.drop and n is not root:
-                continue
-            if n.tag == tag:
-                out.append(n)
-            else:
-                todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
-        return out
-    for tag in ("article", "main"):
-        if found := find(tag):
-            return found
-    return [root]
-
-
-def _drop_page_headers(root: Node) -> None:
-    """A ``header`` is the page's unless an article or main part holds it."""
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        for c in n.children:
-            if isinstance(c, Node) and c.tag not in ("article", "main"):
-                c.drop = c.drop or c.tag == "header"
-                todo.append(c)
+def _mark_drops(root: Node) -> None:
+    """What is dropped for its name or place.  Within an article or main part,
+    class names count except for headings, paragraphs and formulas, and ids do
+    not, being slugs of headings there.  Beside such a part, controls and
+    embedded objects go as well.  A ``header`` is the page's unless an article
+    or main part holds it."""
+    nodes, marked, at = [(root, False)], False, 0
+    while at < len(nodes):
+        n, held = nodes[at]
+        at += 1
+        part = n.tag in ("article", "main")
+        marked = marked or part
+        nodes.extend((c, held or part) for c in n.children if isinstance(c, Node))
+    for n, held in nodes:
+        free = held or not marked
+        n.drop = (n.drop or ((n.by_class or n.by_id and not held) and not (free and n.tag in _PROSE))
+                  or (n.tag in _WIDGETS and not free) or (n.tag == "header" and not held))
 
 
 def extract(page: str, pivot: str | None = None, template: frozenset = frozenset()) -> str:
     """The main text: blocks in page order, white space made single."""
     root = parse(page)
-    _drop_page_headers(root)
+    _mark_drops(root)
     if pivot is not None and template:
         align(root, _pivot(pivot))
     out: list[str] = []
-    for region in _regions(root):
-        _write(region, template, out)
+    _write(root, template, out)
     return " ".join("".join(out).split())
 
 
@@ -308,7 +310,7 @@ def _list_slots(batches):
         rows = []
         for host, page, pivot in zip(hosts, pages, pivots):
             root = parse(page or "")
-            _drop_page_headers(root)
+            _mark_drops(root)
             align(root, _pivot(pivot or ""))
             rows.extend((host, k, h, n) for k, h, n in slots(root))
         if rows:
