@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, packing, paragraphs, quality, simhash, sketch, suffix_dedup, toxicity, urls
+from . import (decontam, html_extract, packing, paragraphs, quality, simhash, sketch, suffix_dedup, tokencount, toxicity,
+               urls, variants)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +103,18 @@ def op10_html_extraction(spark, sf_dir):
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return variants.group_variants(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_counts(spark, sf_dir):
+    import public_tokenizers
+    out = tokencount.count_tokens(read(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
