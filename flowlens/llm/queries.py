@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, html_extract, packing, paragraphs, quality, simhash, sketch, suffix_dedup, tokencount, toxicity,
-               urls, variants)
+from . import (decontam, html_extract, packing, paragraphs, quality, ranked, simhash, sketch, suffix_dedup, tokencount,
+               toxicity, urls, variants)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,14 @@ def op10_html_extraction(spark, sf_dir):
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op11_ranked_search(spark, sf_dir):
+    return ranked.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op11_ranked_search"] = ranked.sql()
+
+
 @query
 def op12_spelling_variants(spark, sf_dir):
     return variants.group_variants(read(spark, sf_dir, "documents"))
