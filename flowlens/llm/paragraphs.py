@@ -1,33 +1,42 @@
-"""Near-duplicate paragraphs by banded MinHash, exact Jaccard and components."""
+"""Near-duplicate paragraphs by banded MinHash, exact Jaccard and components.
+
+Line and sentence ends say little about where a repeated passage begins, so a
+paragraph is a run of ``WORDS`` words that begins at a content-chosen word: one
+whose bigram hash is the smallest within ``REACH`` words on either side.  The
+same passage has the same paragraphs wherever it stands, so a copy of twice
+that length holds one, whatever surrounds it.
+"""
 
 from __future__ import annotations
 
-from dataclasses import replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import batch, columns, stage, unstage, with_small
+from .common import batch, columns, stage, unstage
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Words of a paragraph, and of the shortest text that is one as a whole.
+WORDS, MIN_WORDS = 25, 20
+#: Words on either side among which a paragraph's first one is chosen.
+REACH = 5
 #: Share of the pairs at exactly ``SIMILARITY`` that some band brings together.
-RECALL = 0.9995
-ROWS_PER_BAND = 3
-#: Shorter paragraphs are not judged.
-MIN_WORDS = 20
-#: Salt of the hashes of runs.
-RUN = np.uint64(0x5851F42D4C957F2D)
+RECALL = 0.99
+ROWS_PER_BAND = 2
 #: Buckets of up to so many distinct paragraphs are compared pair by pair.
 PAIRWISE = 32
 #: Members of a larger bucket that all others are held against first.
 HUBS = 4
 #: Paragraphs of one side of a block comparison.
 SIDE = 128
+#: Contents that a task remembers having handed on.
+SEEN = 500_000
 
 
 def tune_bands(similarity: float, recall: float, rows: int) -> int:
@@ -39,75 +48,49 @@ def _seeds(n: int) -> np.ndarray:
     return np.random.default_rng(11).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _runs(words: np.ndarray, text: np.ndarray, number: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """First line and number of lines of each run of neighbouring lines with
-    words, but fewer than ``short``."""
-    ok = np.flatnonzero((words > 0) & (words < short))
-    new = np.ones(len(ok), bool)
-    new[1:] = (text[ok[1:]] != text[ok[:-1]]) | (number[ok[1:]] != number[ok[:-1]] + 1)
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(ok)))
-    return ok[first[size > 1]], size[size > 1]
-
-
-def _merged(t: tv.Tokens, at: np.ndarray, size: np.ndarray) -> tv.Tokens:
-    """The tokens of runs of texts, each run as one text."""
-    begin, n = t.first[at], t.first[at + size] - t.first[at]
-    first = np.append(0, np.cumsum(n))
-    take = np.arange(first[-1]) + np.repeat(begin - first[:-1], n)
-    return replace(t, hash=t.hash[take], start=t.start[take], end=t.end[take], doc=np.repeat(np.arange(len(at)), n), first=first)
-
-
-def _describe(t: tv.Tokens, shingle: int, min_words: int, salt: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, ...]:
-    """The texts that are long enough; the hashes of all shingles; first and
-    end of each such text's; its number of words and content hash."""
-    words = np.diff(t.first)
-    keep = np.flatnonzero(words >= max(1, min_words))
-    h, doc = tv.shingles(t, shingle)
-    first = np.searchsorted(doc, np.arange(len(words) + 1))
-    # The content is the sequence of words: sums of hashes times powers.
-    step, _ = tv._powers(int(words.max(initial=0)) + 1)
-    place = np.arange(len(t.hash)) - t.first[t.doc]
-    whole = np.add.reduceat(np.append(t.hash * step[place], np.uint64(0)), t.first[:-1]) if len(words) else h
-    content = tv.mix(whole[keep] + words[keep].astype(np.uint64))
-    if salt:
-        h, content = tv.mix(h ^ salt), tv.mix(content ^ salt)
-    return keep, h, first[keep], first[keep + 1], words[keep], content
+def lowered(text: str | None) -> bytes:
+    """Lower case, in as many bytes as the text has."""
+    b = (text or "").encode()
+    low = b.lower() if b.isascii() else (text or "").lower().encode()
+    return low if len(low) == len(b) else b.lower()
+
+
+def starts(t: tv.Tokens, words: int = WORDS, min_words: int = MIN_WORDS, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """First token and number of tokens of each paragraph.  A text's first
+    word begins one too; a text of fewer words is one if it has enough."""
+    count = np.diff(t.first)
+    n = len(t.hash)
+    chosen = np.zeros(n, bool)
+    if n > 1:
+        two = tv.mix(t.hash[:-1] * np.uint64(0x9FB21C651E98DF25) ^ t.hash[1:])
+        place = np.arange(n) - t.first[t.doc]
+        chosen[:-1] = (place[:-1] >= reach) & (place[:-1] + reach + 1 < count[t.doc[:-1]])
+        for k in range(1, reach + 1):
+            chosen[k:-1] &= two[k:] < two[:-k]
+            chosen[:n - 1 - k] &= two[:n - 1 - k] <= two[k:]
+            chosen[:k] = False
+            chosen[n - 1 - k:] = False
+        chosen &= place + words <= count[t.doc]
+    chosen[t.first[:-1][count >= max(1, min_words)]] = True
+    at = np.flatnonzero(chosen)
+    return at, np.minimum(words, t.first[t.doc[at] + 1] - at)
 
 
 class Paragraphs:
-    """The judged paragraphs of a group of texts: a paragraph is a line, or a
-    run of two or more neighbouring lines of fewer than ``short`` words each.
-    The hashes of runs are salted, so runs only ever meet runs."""
-
-    def __init__(self, group: list[bytes], shingle: int, min_words: int, short: int = 0):
-        least = 1 if short else 2 * min_words - 1
-        lines, text, number, begin = [], [], [], []
-        for d, b in enumerate(group):
-            at = 0
-            for n, line in enumerate(b.split(b"\n")):
-                if len(line) >= least:
-                    lines.append(line)
-                    text.append(d)
-                    number.append(n)
-                    begin.append(at)
-                at += len(line) + 1
-        t = tv.tokens([x.decode().lower().encode() for x in lines], words=True)
-        text, number, begin = (np.array(x, np.int64) for x in (text, number, begin))
-        at, size = _runs(np.diff(t.first), text, number, short)
-        keep, *line = _describe(t, shingle, min_words)
-        kept, *run = _describe(_merged(t, at, size), shingle, min_words, RUN)
-        run[1:3] = run[1] + len(line[0]), run[2] + len(line[0])
-        self.hash, self.first, self.last, self.words, self.content = (np.concatenate(x) for x in zip(line, run))
-        at, size = at[kept], size[kept]
-        self.text, self.number, self.begin = (np.concatenate((x[keep], x[at])) for x in (text, number, begin))
-        self.lines = np.concatenate((np.ones(len(keep), np.int64), size))
-        # The run that holds each line, if any.
-        of = np.full(len(lines), -1, np.int64)
-        of[np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(
-            np.arange(len(at)), size)
-        self.run = np.concatenate((of[keep], np.full(len(at), -1, np.int64)))
-        self.run_content, self.run_number = run[4], number[at]
+    """The paragraphs of a group of texts, with their shingles' hashes."""
+
+    def __init__(self, group: list[bytes], shingle: int, words: int, min_words: int):
+        t = tv.tokens(group, words=True)
+        at, size = starts(t, words, max(min_words, shingle))
+        self.hash, where = tv.ngrams(t.hash, t.doc, shingle)
+        self.first, self.last = np.searchsorted(where, at), np.searchsorted(where, at + size - shingle + 1)
+        power, back = tv._powers(len(t.hash) + 1)
+        total = np.append(np.uint64(0), np.cumsum(t.hash * power[:len(t.hash)], dtype=np.uint64))
+        self.content = tv.mix((total[at + size] - total[at]) * back[at] + size.astype(np.uint64))
+        self.text, self.words = t.doc[at], size
+        self.number = at - t.first[self.text]
+        self.begin = t.start[at] - t.base[self.text]
+        self.end = t.end[at + size - 1] - t.base[self.text]
 
     def bands(self, rows: int, bands: int) -> np.ndarray:
         """One bucket key for each band and paragraph."""
@@ -124,48 +107,61 @@ class Paragraphs:
 
 
 def _groups(texts):
-    for at, group in tv.chunks([(t or "").replace("\r", "\n") for t in texts]):
-        yield at, group
+    yield from tv.chunks([lowered(t) for t in texts])
 
 
-_ROWS = pa.schema([("id", pa.int64()), ("paragraph", pa.int32()), ("begin", pa.int64()), ("n_words", pa.int32()),
-                   ("e", pa.int64()), ("n_lines", pa.int32()), ("run", pa.int64()), ("run_at", pa.int32())])
+_ROWS = pa.schema([("id", pa.int64()), ("text", pa.int64()), ("paragraph", pa.int32()), ("begin", pa.int64()),
+                   ("end", pa.int64()), ("n_words", pa.int32()), ("e", pa.int64())])
 _BANDS = pa.schema([("key", pa.int64()), ("e", pa.int64())])
 _SETS = pa.schema([("e", pa.int64()), ("s", pa.list_(pa.int64()))])
 
 
-def _list_rows(shingle, min_words, short):
+def _list_rows(shape):
     def run(batches):
-        for ids, texts in columns(batches):
+        for ids, keys, texts in columns(batches):
             for at, group in _groups(texts):
-                p = Paragraphs(group, shingle, min_words, short)
-                yield batch(_ROWS, pa.array([ids[at + d] for d in p.text.tolist()], pa.int64()),
-                            pa.array(p.number.astype(np.int32)), pa.array(p.begin), pa.array(p.words.astype(np.int32)),
-                            pa.array(tv.signed(p.content)), pa.array(p.lines.astype(np.int32)),
-                            pa.array(tv.signed(np.append(p.run_content, np.uint64(0)))[p.run], mask=p.run < 0),
-                            pa.array(np.append(p.run_number, 0)[p.run].astype(np.int32), mask=p.run < 0))
+                p = Paragraphs(group, *shape)
+                d = (at + p.text).tolist()
+                yield batch(_ROWS, pa.array([ids[i] for i in d], pa.int64()), pa.array([keys[i] for i in d], pa.int64()),
+                            pa.array(p.number.astype(np.int32)), pa.array(p.begin), pa.array(p.end),
+                            pa.array(p.words.astype(np.int32)), pa.array(tv.signed(p.content)))
     return run
 
 
-def _list_bands(shingle, min_words, short, rows, bands):
+def _list_bands(shape, rows, bands):
+    """Bucket keys of each content; a task hands on a content once, as far as
+    it remembers, so a passage that stands in very many texts is no hot key."""
     def run(batches):
+        seen: set[int] = set()
         for (texts,) in columns(batches):
             for _, group in _groups(texts):
-                p = Paragraphs(group, shingle, min_words, short)
-                yield batch(_BANDS, pa.array(tv.signed(p.bands(rows, bands).ravel())),
-                            pa.array(np.tile(tv.signed(p.content), bands)))
+                p = Paragraphs(group, *shape)
+                e = tv.signed(p.content).tolist()
+                new = []
+                for i, x in enumerate(e):
+                    if x not in seen:
+                        seen.add(x)
+                        new.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                p.content, p.first, p.last = p.content[new], p.first[new], p.last[new]
+                yield batch(_BANDS, pa.array(tv.signed(p.bands(rows, bands).ravel())), pa.array(np.tile(tv.signed(p.content), bands)))
     return run
 
 
-def _list_sets(shingle, min_words, short):
+def _list_sets(shape):
     def run(batches):
-        for (texts,) in columns(batches):
-            for _, group in _groups(texts):
-                p = Paragraphs(group, shingle, min_words, short)
-                sets = [tv.signed(np.unique(p.hash[a:b])) for a, b in zip(p.first, p.last)]
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield batch(_SETS, pa.array(tv.signed(p.content)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        for texts, wanted in columns(batches, 64):
+            for at, group in _groups(texts):
+                p = Paragraphs(group, *shape)
+                e, sets = tv.signed(p.content).tolist(), {}
+                ask = [set(w) for w in wanted[at:at + len(group)]]
+                for i, (x, d) in enumerate(zip(e, p.text.tolist())):
+                    if x in ask[d] and x not in sets:
+                        sets[x] = tv.signed(np.unique(p.hash[p.first[i]:p.last[i]]))
+                flat = np.concatenate(list(sets.values())) if sets else np.zeros(0, np.int64)
+                offsets = np.cumsum([0, *map(len, sets.values())]).astype(np.int32)
+                yield batch(_SETS, list(sets), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
     return run
 
 
@@ -211,10 +207,9 @@ def _compare_blocks(similarity):
     return run
 
 
-def _blocks(members: DataFrame, sets: DataFrame, main: DataFrame, similarity: float) -> DataFrame:
-    """The rest of the large buckets: members outside a bucket's main
+def _blocks(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """What is still large after the split: members outside a bucket's main
     component against all of the bucket, in blocks of ``SIDE`` by ``SIDE``."""
-    rest = members.join(main, "key")
     sized = rest.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("main")).alias("out")
                                     ).where("out > 0")
     parts = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
@@ -228,22 +223,44 @@ def _blocks(members: DataFrame, sets: DataFrame, main: DataFrame, similarity: fl
         "key", "i", "j").applyInArrow(_compare_blocks(similarity), "u long, v long")
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
-            recall: float = RECALL, rows: int = ROWS_PER_BAND, short: int = 0) -> DataFrame:
-    """``(e, root)`` for the distinct contents in ``docs(text)`` that chains of
-    similar paragraphs connect with others."""
-    text = docs.select("text")
-    bands = text.mapInArrow(_list_bands(shingle, min_words, short, rows, tune_bands(similarity, recall, rows)), "key long, e long")
-    live = stage(bands.groupBy("key").agg(F.min("e").alias("low"), F.max("e").alias("high")).where("low < high")
-                 .select("key"), "live")
-    members = stage(with_small(bands, live, "key", row_bytes=16).distinct(), "members")
-    wanted = stage(members.select("e").distinct(), "wanted")
-    sets = stage(with_small(text.mapInArrow(_list_sets(shingle, min_words, short), "e long, s array<long>"), wanted, "e",
-                            row_bytes=16).groupBy("e").agg(F.first("s").alias("s")), "sets")
+def _parts(similarity: float):
+    """Keys under which two sets at ``similarity`` meet: with the shingles put
+    in order of how rare they are, the two share two at least among each one's
+    first ``n - ceil(similarity n) + 2``; a set too small for two pairs is
+    keyed by one."""
+    schema = pa.schema([("key", pa.int64()), ("e", pa.int64())])
+
+    def run(batches):
+        for es, sets in columns(batches):
+            keys, of = [], []
+            for e, s in zip(es, sets):
+                least = int(np.ceil(similarity * len(s) - 1e-9))
+                first = [x["h"] for x in s[:len(s) - least + 2]]
+                for pair in combinations(first, 2) if least > 1 else ((x, 0) for x in first):
+                    a, b = max(pair), min(pair)
+                    keys.append(((a * 0x9E3779B97F4A7C15 ^ b) * 0xD6E8FEB86659FD93 + (1 << 63)) % (1 << 64) - (1 << 63))
+                    of.append(e)
+            yield batch(schema, keys, of)
+    return run
+
+
+def _split(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The members of large buckets, dealt into smaller ones by pairs of their
+    rarest shingles; no pair at the similarity is parted."""
+    own = sets.join(members.select("e").distinct(), "e")
+    one = own.select("e", F.explode("s").alias("h"))
+    ranked = one.join(one.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("e").agg(
+        F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s"))
+    return ranked.mapInArrow(_parts(similarity), "key long, e long").distinct()
+
+
+def _edges(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """Edges from buckets ``members(key, e)``, and what is left of the large
+    ones: a large bucket's members are held against a few hubs, and those
+    outside its main component are still to be compared."""
     size = members.groupBy("key").agg(
         F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("e", F.lit(k)), "e"))["e"].alias(f"hub{k}") for k in range(HUBS)))
-    sized = stage(members.join(size, "key"), "sized")
-    unstage(members)
+    sized = stage(members.join(size.where("n > 1"), "key"), "sized")
     few = sized.where(F.col("n") <= PAIRWISE)
     pairs = few.select("key", F.col("e").alias("u")).join(few.select("key", F.col("e").alias("v")), "key").where(
         "u < v").select("u", "v")
@@ -252,13 +269,39 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
                                              for k in range(HUBS)))).alias("p")).select("p.u", "p.v").where("u < v")
     edges = stage(_verified(pairs.union(spokes).distinct(), sets, similarity), "edges")
     if many.isEmpty():
-        return components(edges)
+        return edges, None
     roots = stage(components(edges), "roots")
     placed = stage(many.select("key", "e").join(roots.withColumnRenamed("node", "e"), "e", "left").select(
         "key", "e", F.coalesce("root", "e").alias("comp")), "placed")
-    main = placed.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-    more = _blocks(placed, sets, main, similarity)
-    return components(edges.union(more))
+    parts = placed.groupBy("key", "comp").count()
+    main = parts.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    rest = stage(placed.join(main.where("comps > 1"), "key"), "rest")
+    return edges, None if rest.isEmpty() else rest
+
+
+def _buckets(text: DataFrame, shape: tuple, rows: int, bands: int) -> DataFrame:
+    """``(key, e)`` of the buckets with two distinct contents or more."""
+    keyed = text.mapInArrow(_list_bands(shape, rows, bands), "key long, e long").repartition("key").distinct()
+    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "e")
+
+
+def classes(plain: DataFrame, found: DataFrame, shape: tuple, similarity: float, recall: float, rows: int) -> DataFrame:
+    """``(e, root)`` for the distinct contents in ``found`` that chains of
+    similar paragraphs connect with others."""
+    members = stage(_buckets(plain.select("body"), shape, rows, tune_bands(similarity, recall, rows)), "members")
+    wanted = stage(members.select("e").distinct(), "wanted")
+    asked = (found.join(wanted, "e").groupBy("e").agg(F.min("text").alias("text"))
+             .groupBy("text").agg(F.collect_list("e").alias("wanted")))
+    sets = stage(plain.join(asked, "text").select("body", "wanted").mapInArrow(_list_sets(shape), "e long, s array<long>")
+                 .groupBy("e").agg(F.first("s").alias("s")), "sets")
+    edges, rest = _edges(members, sets, similarity)
+    unstage(members)
+    if rest is not None:
+        more, rest = _edges(_split(rest, sets, similarity), sets, similarity)
+        edges = edges.union(more)
+    if rest is not None:
+        edges = edges.union(_blocks(rest, sets, similarity))
+    return components(edges)
 
 
 def _named(found: DataFrame, roots: DataFrame, order) -> DataFrame:
@@ -270,39 +313,31 @@ def _named(found: DataFrame, roots: DataFrame, order) -> DataFrame:
     return by_class.select("e", "class_id").join(sizes, "class_id")
 
 
-def duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
-               recall: float = RECALL, rows: int = ROWS_PER_BAND, id_col: str = "doc_id", text_col: str = "text",
-               short: int = 0) -> DataFrame:
-    """``(id, paragraph, begin, n_words, class_id, n_class, removed, n_lines)``
-    for every paragraph that has a near copy: a line of at least ``min_words``
-    words whose set of ``shingle``-word shingles has Jaccard ``similarity``
-    with another one's.  ``begin`` is its byte offset.  With ``short``, each
-    run of ``n_lines`` > 1 neighbouring lines of fewer words than that is a
-    paragraph as well, besides its lines; runs are compared with runs.
+def duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, words: int = WORDS,
+               min_words: int = MIN_WORDS, recall: float = RECALL, rows: int = ROWS_PER_BAND, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """``(id, paragraph, begin, end, n_words, class_id, n_class, removed)`` for
+    every paragraph whose set of ``shingle``-word shingles has Jaccard
+    ``similarity`` with another one's.  ``paragraph`` is the number of its
+    first word, ``begin`` and ``end`` its bytes in the text.
 
+    Paragraphs have ``words`` words and may overlap by design; a text of fewer
+    words, but ``min_words`` at least, is one; shorter texts have none.
     Classes are the components of such pairs; in each the first paragraph by
-    id, then place, stays and the others are ``removed``.  A line outside
-    removed runs comes before the lines in them, so that a copy stays.  Bands
-    are tuned so that pairs at the similarity meet with probability
-    ``recall``; exact copies always meet.  Case and punctuation do not count.
-    Null and empty texts have no paragraphs; a null id comes after all others;
-    repeated rows are copies of each other; extra columns are ignored; an
-    empty table gives an empty one.
+    id, then place, stays and the others are ``removed``.  Bands are tuned so
+    that pairs at the similarity meet with probability ``recall``; exact
+    copies always meet, and so do all pairs of a bucket, however large.  Case
+    and punctuation do not count.  Null and empty texts have no paragraphs; a
+    null id comes after all others; repeated rows are copies of each other;
+    extra columns are ignored; an empty table gives an empty one.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stage(plain.mapInArrow(_list_rows(shingle, min_words, short), "id long, paragraph int, begin long, n_words int, "
-                                   "e long, n_lines int, run long, run_at int"), "rows")
+    shape = (shingle, words, min_words)
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("text"),
+                        F.col(text_col).alias("body"))
+    found = stage(plain.mapInArrow(_list_rows(shape), "id long, text long, paragraph int, begin long, end long, n_words int, "
+                                   "e long"), "rows")
+    roots = classes(plain, found, shape, similarity, recall, rows)
     order = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("paragraph"))
-    roots = classes(plain, shingle, similarity, min_words, recall, rows, short)
-    if short:
-        roots = stage(roots, "classes")
-        named = _named(found.where("n_lines > 1"), roots, order)
-        runs = stage(named.select(F.col("e").alias("key"), F.col("first").alias("run_first")), "runs")
-        # A line without a run looks for its own content, which no run has.
-        found = stage(found.withColumn("key", F.coalesce("run", "e")).join(runs, "key", "left").withColumn("gone", F.coalesce(
-            F.col("run").isNotNull() & (F.col("run_first") != F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col(
-                "run_at").alias("paragraph"))), F.lit(False))).drop("key", "run_first"), "lines")
-        order = F.struct("gone", *(order[x].alias(x) for x in ("x", "id", "paragraph")))
     named = stage(_named(found, roots, order), "named")
-    return found.join(named, "e").select("id", "paragraph", "begin", "n_words", "class_id", "n_class",
-                                         (F.col("first") != order).alias("removed"), "n_lines")
+    return found.join(named, "e").select("id", "paragraph", "begin", "end", "n_words", "class_id", "n_class",
+                                         (F.col("first") != order).alias("removed"))

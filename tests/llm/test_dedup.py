@@ -4,11 +4,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowlens.llm import paragraphs, simhash, suffix_dedup
+from flowlens.llm import paragraphs, simhash, suffix_dedup, textvec
 from flowlens.llm.components import components
 
 
@@ -98,18 +100,29 @@ def test_suffix_dedup_rejects_wrong_parameters(docs):
         suffix_dedup.remove_repeats(docs, 100, 90, 20)
 
 
-def brute_paragraphs(corpus, sets, min_words):
+def cut(text, words=25, min_words=20, reach=5):
+    """``(number of the first word, words)`` of each paragraph."""
+    t = textvec.tokens([paragraphs.lowered(text)], words=True)
+    w = [t.buf[a:b].tobytes() for a, b in zip(t.start, t.end)]
+    two = [int(textvec.mix(t.hash[i:i + 1] * np.uint64(0x9FB21C651E98DF25) ^ t.hash[i + 1:i + 2])[0]) for i in range(len(w) - 1)]
+    at = [i for i in range(reach, len(w) - words + 1) if i + reach + 1 < len(w)
+          and two[i] < min(two[i - reach:i]) and two[i] <= min(two[i + 1:i + reach + 1])]
+    return [(i, w[i:i + words]) for i in sorted({0, *at}) if len(w) >= min_words]
+
+
+def brute_paragraphs(corpus, sets, similarity=0.8):
     items = []
     for i, t in corpus:
-        for n, line in enumerate((t or "").replace("\r", "\n").split("\n")):
-            w = re.findall(r"[^\W_]+", line.lower())
-            if len(w) >= min_words:
-                items.append((i, n, {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}))
+        for n, w in cut(t):
+            items.append((i, n, {tuple(w[k:k + 5]) for k in range(len(w) - 4)}))
     s = sets(len(items))
-    for a in range(len(items)):
-        for b in range(a):
-            x, y = items[a][2], items[b][2]
-            if len(x & y) >= 0.8 * len(x | y):
+    where = {}
+    for k, (_, _, x) in enumerate(items):
+        for h in x:
+            where.setdefault(h, []).append(k)
+    for a, (_, _, x) in enumerate(items):
+        for b in {k for h in x for k in where[h] if k < a}:
+            if len(x & items[b][2]) >= similarity * len(x | items[b][2]):
                 s.join(a, b)
     groups = {}
     for k in range(len(items)):
@@ -117,19 +130,115 @@ def brute_paragraphs(corpus, sets, min_words):
     return Counter(tuple(sorted(g, key=str)) for g in groups.values() if len(g) > 1)
 
 
+def near_texts():
+    """Passages with a few words changed near their ends, so that paragraphs
+    of similarity 0.8 and more, and of less, abound."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdeéß") for _ in range(4)) for _ in range(300)]
+    base = [rnd.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        rows.append((1000 + i, " ".join(w[:rnd.choice([21, 22, 24, 25, 60])])))
+    return rows
+
+
 @pytest.mark.parametrize("pairwise", [32, 2])
-def test_paragraphs(docs, corpus, sets, pairwise, monkeypatch):
+def test_paragraphs(spark, corpus, sets, pairwise, monkeypatch):
     monkeypatch.setattr(paragraphs, "PAIRWISE", pairwise)
     monkeypatch.setattr(paragraphs, "SIDE", 3)
-    got = paragraphs.duplicates(docs).collect()
+    monkeypatch.setattr(paragraphs, "HUBS", 4 if pairwise > 2 else 1)
+    rows = [*corpus, *near_texts()]
+    table = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, id long, e string").repartition(5)
+    got = paragraphs.duplicates(table, recall=0.999999).collect()
     groups = {}
     for r in got:
         groups.setdefault(r.class_id, []).append((r.id, r.paragraph))
-    assert Counter(tuple(sorted(g, key=str)) for g in groups.values()) == brute_paragraphs(corpus, sets, 20)
+    assert Counter(tuple(sorted(g, key=str)) for g in groups.values()) == brute_paragraphs(rows, sets)
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, []).append((t or "").encode())
     for c in groups:
-        rows = [r for r in got if r.class_id == c]
-        first = min((r.id is None, r.id or 0, r.paragraph) for r in rows)
-        assert all(r.n_class == len(rows) and r.removed == ((r.id is None, r.id or 0, r.paragraph) != first) for r in rows)
+        members = [r for r in got if r.class_id == c]
+        first = min((r.id is None, r.id or 0, r.paragraph) for r in members)
+        assert all(r.n_class == len(members) and r.removed == ((r.id is None, r.id or 0, r.paragraph) != first) for r in members)
+    for r in got:
+        assert any(len(re.findall(rb"[a-z0-9\x80-\xff]+", b[r.begin:r.end].lower())) == r.n_words for b in text[r.id])
+
+
+def test_split_parts_keep_pairs():
+    """Two sets at the similarity share a key of the smaller buckets."""
+    rnd = random.Random(10)
+    run = paragraphs._parts(0.8)
+    for _ in range(300):
+        n = rnd.choice([1, 2, 3, 5, 16, 21])
+        a = set(rnd.sample(range(60), n))
+        b = set(a)
+        for _ in range(rnd.randint(0, 3)):
+            b.symmetric_difference_update({rnd.randrange(60)})
+        if not b or len(a & b) < 0.8 * len(a | b):
+            continue
+        rank = {h: (h * 7919 % 13, h) for h in a | b}
+        rows = [[{"n": rank[h][0], "h": h} for h in sorted(x, key=rank.get)] for x in (a, b)]
+        kind = pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64())]))
+        out = next(run([pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array(rows, kind)], ["e", "s"])]))
+        keys = {0: set(), 1: set()}
+        for k, e in zip(*(c.to_pylist() for c in out.columns)):
+            keys[e].add(k)
+        assert keys[0] & keys[1]
+
+
+def test_planted_passages(spark):
+    """Passages of 51 words and more are found wherever they are put in, and
+    texts that share only short lines are left alone."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rnd.choice(words) + rnd.choice(["", "", "", ",", ".", ".\n"]) for _ in range(n))
+    notice = ["All rights reserved by the makers of this text", "Click here to read more and share it with friends today"]
+    rows, planted = [], set()
+    for k in range(150):
+        passage = prose(rnd.randint(51, 80)).replace("\n", " ")
+        for _ in range(2):
+            t = prose(rnd.randint(40, 300)).split(" ")
+            t.insert(rnd.randrange(len(t)), rnd.choice(["", "\n", "&&& "]) + passage)
+            planted.add(len(rows))
+            rows.append(" ".join(t))
+    for k in range(300):
+        t = prose(rnd.randint(30, 300)).split("\n")
+        t.insert(rnd.randrange(len(t)), rnd.choice(notice))
+        t.insert(rnd.randrange(len(t)), rnd.choice(notice))
+        rows.append("\n".join(t))
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.id for r in paragraphs.duplicates(table).select("id").distinct().collect()}
+    assert len(got & planted) >= 0.95 * len(planted)
+    assert len(got - planted) <= 0.01 * 300
+
+
+def test_paragraph_starts_depend_on_content_only():
+    rnd = random.Random(13)
+    words = [str(rnd.randrange(900)) for _ in range(5000)]
+    for _ in range(100):
+        p = [rnd.choice(words) for _ in range(80)]
+        found = []
+        for _ in range(2):
+            before, after = ([rnd.choice(words) for _ in range(rnd.randint(0, 40))] for _ in range(2))
+            found.append({i - len(before) for i, _ in cut(" ".join(before + p + after)) if i >= len(before) + 5
+                          and i + 25 <= len(before) + 80 and i + 6 < len(before) + 80})
+        assert found[0] == found[1]
+
+
+def test_paragraph_long_and_changed_case(spark):
+    """A text over several buffers, and letters whose lower case is longer."""
+    long = " ".join(f"w{k % 9973}x{k % 7}" for k in range(90_000))
+    table = spark.createDataFrame([(1, long), (2, "İ Ⱥ " + long[5000:6000]), (3, long)], "doc_id long, text string")
+    got = paragraphs.duplicates(table).collect()
+    assert {r.id for r in got} == {1, 2, 3}
+    assert {r.paragraph for r in got if r.id == 1} == {r.paragraph for r in got if r.id == 3}
+    assert all(r.removed for r in got if r.id > 1) and not all(r.removed for r in got if r.id == 1)
 
 
 def test_band_tuning():
