@@ -92,6 +92,14 @@ class Paragraphs:
         self.begin = t.start[at] - t.base[self.text]
         self.end = t.end[at + size - 1] - t.base[self.text]
 
+    def bitmaps(self) -> np.ndarray:
+        """One bit for each shingle.  Two sets' bitmaps differ in no more bits
+        than the sets do in shingles."""
+        if not len(self.first):
+            return np.zeros(0, np.uint64)
+        bit = np.append(np.uint64(1) << (self.hash >> np.uint64(58)), np.uint64(0))
+        return np.bitwise_or.reduceat(bit, np.stack((self.first, self.last), 1).ravel())[::2]
+
     def bands(self, rows: int, bands: int) -> np.ndarray:
         """One bucket key for each band and paragraph."""
         out = np.zeros((bands, len(self.content)), np.uint64)
@@ -112,7 +120,7 @@ def _groups(texts):
 
 _ROWS = pa.schema([("id", pa.int64()), ("text", pa.int64()), ("paragraph", pa.int32()), ("begin", pa.int64()),
                    ("end", pa.int64()), ("n_words", pa.int32()), ("e", pa.int64())])
-_BANDS = pa.schema([("key", pa.int64()), ("e", pa.int64())])
+_BANDS = pa.schema([("key", pa.int64()), ("e", pa.int64()), ("bits", pa.int64())])
 _SETS = pa.schema([("e", pa.int64()), ("s", pa.list_(pa.int64()))])
 
 
@@ -145,7 +153,8 @@ def _list_bands(shape, rows, bands):
                 if len(seen) > SEEN:
                     seen.clear()
                 p.content, p.first, p.last = p.content[new], p.first[new], p.last[new]
-                yield batch(_BANDS, pa.array(tv.signed(p.bands(rows, bands).ravel())), pa.array(np.tile(tv.signed(p.content), bands)))
+                yield batch(_BANDS, pa.array(tv.signed(p.bands(rows, bands).ravel())), pa.array(np.tile(tv.signed(p.content), bands)),
+                            pa.array(np.tile(tv.signed(p.bitmaps()), bands)))
     return run
 
 
@@ -207,6 +216,69 @@ def _compare_blocks(similarity):
     return run
 
 
+def _parts(similarity: float):
+    """Keys under which two sets at ``similarity`` meet: with the shingles put
+    in order of how rare they are, the two share two at least among each one's
+    first ``n - ceil(similarity n) + 2``; a set too small for two pairs is
+    keyed by one."""
+    schema = pa.schema([("key", pa.int64()), ("e", pa.int64())])
+
+    def run(batches):
+        for es, sets in columns(batches):
+            keys, of = [], []
+            for e, s in zip(es, sets):
+                least = int(np.ceil(similarity * len(s) - 1e-9))
+                first = [x["h"] for x in s[:len(s) - least + 2]]
+                for pair in combinations(first, 2) if least > 1 else ((x, 0) for x in first):
+                    a, b = max(pair), min(pair)
+                    keys.append(((a * 0x9E3779B97F4A7C15 ^ b) * 0xD6E8FEB86659FD93 + (1 << 63)) % (1 << 64) - (1 << 63))
+                    of.append(e)
+            yield batch(schema, keys, of)
+    return run
+
+
+def _split(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The members of large buckets, dealt into smaller ones by pairs of their
+    rarest shingles; no pair at the similarity is parted."""
+    own = sets.join(members.select("e").distinct(), "e")
+    one = own.select("e", F.explode("s").alias("h"))
+    ranked = one.join(one.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("e").agg(
+        F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s"))
+    return ranked.mapInArrow(_parts(similarity), "key long, e long").distinct()
+
+
+def _candidates(members: DataFrame, apart: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(u, v)`` of the buckets ``members(key, e, bits)`` whose bitmaps
+    are at most ``apart`` bits apart, and the members of the large buckets.  In
+    a large bucket only pairs with a few hubs are listed."""
+    size = members.groupBy("key").agg(
+        F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("e", F.lit(k)), "e", "bits")).alias(f"hub{k}") for k in range(HUBS)))
+    sized = stage(members.join(size.where("n > 1"), "key"), "sized")
+    few = sized.where(F.col("n") <= PAIRWISE)
+    many = sized.where(F.col("n") > PAIRWISE)
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= apart
+    pairs = (few.select("key", F.col("e").alias("u"), F.col("bits").alias("x"))
+             .join(few.select("key", F.col("e").alias("v"), F.col("bits").alias("y")), "key")
+             .where((F.col("u") < F.col("v")) & near("x", "y")).select("u", "v"))
+    spokes = (many.select("e", "bits", F.explode(F.array(*(F.struct(f"hub{k}.e", f"hub{k}.bits") for k in range(HUBS)))).alias("h"))
+              .where(near("bits", "h.bits")).select(F.least("e", "h.e").alias("u"), F.greatest("e", "h.e").alias("v")).where("u < v"))
+    return stage(pairs.union(spokes).distinct(), "pairs"), many.select("key", "e", "bits")
+
+
+def _rest(many: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """What is left of the large buckets: those in which the edges leave more
+    than one component."""
+    if many.isEmpty():
+        return None
+    roots = stage(components(edges), "roots")
+    placed = stage(many.join(roots.withColumnRenamed("node", "e"), "e", "left").select(
+        "key", "e", "bits", F.coalesce("root", "e").alias("comp")), "placed")
+    parts = placed.groupBy("key", "comp").count()
+    main = parts.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    rest = stage(placed.join(main.where("comps > 1"), "key"), "rest")
+    return None if rest.isEmpty() else rest
+
+
 def _blocks(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """What is still large after the split: members outside a bucket's main
     component against all of the bucket, in blocks of ``SIDE`` by ``SIDE``."""
@@ -280,25 +352,39 @@ def _edges(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[Data
 
 
 def _buckets(text: DataFrame, shape: tuple, rows: int, bands: int) -> DataFrame:
-    """``(key, e)`` of the buckets with two distinct contents or more."""
-    keyed = text.mapInArrow(_list_bands(shape, rows, bands), "key long, e long").repartition("key").distinct()
-    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "e")
+    """``(key, e, bits)`` of the buckets with two distinct contents or more."""
+    keyed = text.mapInArrow(_list_bands(shape, rows, bands), "key long, e long, bits long").repartition("key").distinct()
+    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "e", "bits")
+
+
+def _sets(plain: DataFrame, found: DataFrame, wanted: DataFrame, shape: tuple) -> DataFrame:
+    """``(e, s)``: the shingles of the wanted contents, each taken from one
+    text that holds it."""
+    asked = (found.join(wanted, "e").groupBy("e").agg(F.min("text").alias("text"))
+             .groupBy("text").agg(F.collect_list("e").alias("wanted")))
+    return (plain.join(asked, "text").select("body", "wanted").mapInArrow(_list_sets(shape), "e long, s array<long>")
+            .groupBy("e").agg(F.first("s").alias("s")))
 
 
 def classes(plain: DataFrame, found: DataFrame, shape: tuple, similarity: float, recall: float, rows: int) -> DataFrame:
     """``(e, root)`` for the distinct contents in ``found`` that chains of
     similar paragraphs connect with others."""
+    shingle, words, _ = shape
+    # Sets of at most `most` shingles at the similarity differ in so few.
+    most = words - shingle + 1
+    apart = int(2 * most * (1 - similarity) / (1 + similarity) + 1e-9)
     members = stage(_buckets(plain.select("body"), shape, rows, tune_bands(similarity, recall, rows)), "members")
-    wanted = stage(members.select("e").distinct(), "wanted")
-    asked = (found.join(wanted, "e").groupBy("e").agg(F.min("text").alias("text"))
-             .groupBy("text").agg(F.collect_list("e").alias("wanted")))
-    sets = stage(plain.join(asked, "text").select("body", "wanted").mapInArrow(_list_sets(shape), "e long, s array<long>")
-                 .groupBy("e").agg(F.first("s").alias("s")), "sets")
-    edges, rest = _edges(members, sets, similarity)
+    pairs, many = _candidates(members, apart)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("e")).union(many.select("e")).distinct()
+    sets = stage(_sets(plain, found, wanted, shape), "sets")
+    edges = stage(_verified(pairs, sets, similarity), "edges")
+    rest = _rest(many, edges)
     unstage(members)
     if rest is not None:
-        more, rest = _edges(_split(rest, sets, similarity), sets, similarity)
-        edges = edges.union(more)
+        bits = rest.select("e", "bits").distinct()
+        pairs, many = _candidates(_split(rest, sets, similarity).join(bits, "e").select("key", "e", "bits"), apart)
+        edges = stage(edges.union(_verified(pairs, sets, similarity)), "edges")
+        rest = _rest(many, edges)
     if rest is not None:
         edges = edges.union(_blocks(rest, sets, similarity))
     return components(edges)
