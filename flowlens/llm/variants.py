@@ -38,6 +38,8 @@ WINDOW = 3
 WINDOWS = 16
 #: Distinct words that a task counts before it hands them on.
 HELD = 200_000
+#: Words for whose keys one task is planned.
+TASK_WORDS = 20_000
 #: Bytes of one text that are searched at once.
 SLICE = 1 << 20
 
@@ -247,7 +249,8 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if min_length < 4:
         raise ValueError("words of fewer than four code points have no two disjoint pivots in a prefix")
     vocabulary = stage(words(docs, id_col, text_col, min_length, min_count, one_in), "words")
-    pairs = stage(near_pairs(vocabulary), "near")
+    tasks = -(-vocabulary.count() // TASK_WORDS)                 # a word has some forty keys
+    pairs = stage(near_pairs(vocabulary.repartition(max(tasks, 1), "word")), "near")
     both = pairs.select(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("near"), F.col("n_b").alias("near_n")).union(
         pairs.select("b", "n_b", "a", "n_a"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.first("n").alias("own"),
