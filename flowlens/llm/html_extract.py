@@ -337,7 +337,9 @@ def induce(pivot: Node, stats: dict[int, tuple[int, int, int, int]], total: int,
             gone.add(run[0].slot)
         else:
             todo.extend(inner[run[0].slot])
-    return Wrapper(path[-1].slot, frozenset(gone - {n.slot for n in path}))
+    # A heading of the main slot may be the same on all pages.
+    headings = {r[0].slot for parts in inner.values() for r in parts if r[0].tag in _HEADINGS}
+    return Wrapper(path[-1].slot, frozenset(gone - headings - {n.slot for n in path}))
 
 
 def _length(node: Node) -> int:
