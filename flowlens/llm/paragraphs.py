@@ -247,22 +247,26 @@ def _split(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return ranked.mapInArrow(_parts(similarity), "key long, e long").distinct()
 
 
+def _counted(keyed: DataFrame) -> DataFrame:
+    """``(key, e, bits, n)`` of the buckets with ``n`` > 1 distinct contents;
+    ``keyed`` is distinct and dealt out by key."""
+    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "e", "bits", "n")
+
+
 def _candidates(members: DataFrame, apart: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(u, v)`` of the buckets ``members(key, e, bits)`` whose bitmaps
-    are at most ``apart`` bits apart, and the members of the large buckets.  In
-    a large bucket only pairs with a few hubs are listed."""
-    size = members.groupBy("key").agg(
-        F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("e", F.lit(k)), "e", "bits")).alias(f"hub{k}") for k in range(HUBS)))
-    sized = stage(members.join(size.where("n > 1"), "key"), "sized")
-    few = sized.where(F.col("n") <= PAIRWISE)
-    many = sized.where(F.col("n") > PAIRWISE)
+    """Pairs ``(u, v)`` of the buckets ``members(key, e, bits, n)`` whose
+    bitmaps are at most ``apart`` bits apart, and the members of the large
+    buckets.  In a large bucket only pairs with a few hubs are listed."""
+    few = members.where(F.col("n") <= PAIRWISE)
+    many = members.where(F.col("n") > PAIRWISE).select("key", "e", "bits")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= apart
     pairs = (few.select("key", F.col("e").alias("u"), F.col("bits").alias("x"))
              .join(few.select("key", F.col("e").alias("v"), F.col("bits").alias("y")), "key")
              .where((F.col("u") < F.col("v")) & near("x", "y")).select("u", "v"))
-    spokes = (many.select("e", "bits", F.explode(F.array(*(F.struct(f"hub{k}.e", f"hub{k}.bits") for k in range(HUBS)))).alias("h"))
+    hubs = many.groupBy("key").agg(F.array(*(F.min_by(F.struct("e", "bits"), F.xxhash64("e", F.lit(k))) for k in range(HUBS))).alias("hubs"))
+    spokes = (many.join(hubs, "key").select("e", "bits", F.explode("hubs").alias("h"))
               .where(near("bits", "h.bits")).select(F.least("e", "h.e").alias("u"), F.greatest("e", "h.e").alias("v")).where("u < v"))
-    return stage(pairs.union(spokes).distinct(), "pairs"), many.select("key", "e", "bits")
+    return stage(pairs.union(spokes).distinct(), "pairs"), many
 
 
 def _rest(many: DataFrame, edges: DataFrame) -> DataFrame | None:
@@ -352,9 +356,8 @@ def _edges(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[Data
 
 
 def _buckets(text: DataFrame, shape: tuple, rows: int, bands: int) -> DataFrame:
-    """``(key, e, bits)`` of the buckets with two distinct contents or more."""
-    keyed = text.mapInArrow(_list_bands(shape, rows, bands), "key long, e long, bits long").repartition("key").distinct()
-    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "e", "bits")
+    """``(key, e, bits, n)`` of the buckets with two distinct contents or more."""
+    return _counted(text.mapInArrow(_list_bands(shape, rows, bands), "key long, e long, bits long").repartition("key").distinct())
 
 
 def _sets(plain: DataFrame, found: DataFrame, wanted: DataFrame, shape: tuple) -> DataFrame:
@@ -382,7 +385,8 @@ def classes(plain: DataFrame, found: DataFrame, shape: tuple, similarity: float,
     unstage(members)
     if rest is not None:
         bits = rest.select("e", "bits").distinct()
-        pairs, many = _candidates(_split(rest, sets, similarity).join(bits, "e").select("key", "e", "bits"), apart)
+        split = _split(rest, sets, similarity).join(bits, "e").select("key", "e", "bits")
+        pairs, many = _candidates(stage(_counted(split), "split"), apart)
         edges = stage(edges.union(_verified(pairs, sets, similarity)), "edges")
         rest = _rest(many, edges)
     if rest is not None:
