@@ -349,7 +349,7 @@ def _length(node: Node) -> int:
 def _mark_comments(main: Node) -> None:
     """Drops a part of the main slot that is a run of comments: two or more
     elements built alike, without headings, each of a short line (who, when)
-    and a text; most of the main slot's text stands elsewhere."""
+    and a text; a third of the main slot's text at least stands elsewhere."""
     whole, todo = _length(main), [c for c in main.children if isinstance(c, Node)]
     while todo:
         n = todo.pop()
@@ -358,7 +358,7 @@ def _mark_comments(main: Node) -> None:
         kids = [c for c in n.children if isinstance(c, Node) and not c.drop]
         shapes = {tuple(g.tag for g in k.children if isinstance(g, Node)) for k in kids}
         if (len(kids) > 1 and len(shapes) == 1 and len(next(iter(shapes))) > 1 and not _HEADINGS & set(next(iter(shapes)))
-                and all(k.tag in _CONTAINERS or k.tag == "li" for k in kids) and _length(n) < whole / 2):
+                and all(k.tag in _CONTAINERS or k.tag == "li" for k in kids) and 3 * _length(n) < 2 * whole):
             firsts = [[_length(g) for g in k.children if isinstance(g, Node)] for k in kids]
             if all(f[0] <= BYLINE and f[-1] > f[0] for f in firsts):
                 n.drop = True
