@@ -355,22 +355,40 @@ FROM attack_log
 # -------------------------------------------------------------- packets ----
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packet headers derived from events (FIXTURES B4)."""
+    """Packet headers derived from events (FIXTURES B4): each user talks to one
+    server port, in both directions."""
     e = table(spark, sf_dir, "events")
+    u = e.user_id
+    sent = e.event_type.isin("click", "view", "signup")
+    user_ip = F.concat_ws(".", F.lit("10"), F.expr("user_id div 65536 % 256"), F.expr("user_id div 256 % 256"), u % 256)
+    user_port = (u % 20000 + 40000).cast("int")
+    server_ip = F.concat(F.when(u % 2 == 0, "192.168.0.").otherwise("1.2.3."), (u % 7 + 1).cast("string"))
+    server_port = F.when(u % 3 == 0, 443).otherwise(80).cast("int")
     return e.select(
         e.event_id.alias("packet_id"),
-        e.user_id.alias("src"),
+        u.alias("src"),
         e.ts.alias("ts"),
-        e.event_type.isin("click", "view", "signup").alias("is_forward"),
+        sent.alias("is_forward"),
         e.value.alias("length"),
         (e.event_type == "purchase").alias("fin"),
+        F.when(sent, user_ip).otherwise(server_ip).alias("src_ip"),
+        F.when(sent, user_port).otherwise(server_port).alias("src_port"),
+        F.when(sent, server_ip).otherwise(user_ip).alias("dst_ip"),
+        F.when(sent, server_port).otherwise(user_port).alias("dst_port"),
+        F.when(u % 5 == 4, 17).otherwise(6).cast("int").alias("protocol"),
     )
 
 
 PACKETS_SQL = """
-SELECT event_id AS packet_id, user_id AS src, ts, event_type IN ('click', 'view', 'signup') AS is_forward,
-       value AS length, event_type = 'purchase' AS fin
-FROM events
+SELECT packet_id, src, ts, is_forward, length, fin, protocol,
+       CASE WHEN is_forward THEN user_ip ELSE server_ip END AS src_ip, CASE WHEN is_forward THEN user_port ELSE server_port END AS src_port,
+       CASE WHEN is_forward THEN server_ip ELSE user_ip END AS dst_ip, CASE WHEN is_forward THEN server_port ELSE user_port END AS dst_port
+FROM (SELECT event_id AS packet_id, user_id AS src, ts, event_type IN ('click', 'view', 'signup') AS is_forward,
+       value AS length, event_type = 'purchase' AS fin, CASE WHEN user_id % 5 = 4 THEN 17 ELSE 6 END AS protocol,
+       concat('10.', user_id // 65536 % 256, '.', user_id // 256 % 256, '.', user_id % 256) AS user_ip,
+       user_id % 20000 + 40000 AS user_port,
+       concat(CASE WHEN user_id % 2 = 0 THEN '192.168.0.' ELSE '1.2.3.' END, user_id % 7 + 1) AS server_ip,
+       CASE WHEN user_id % 3 = 0 THEN 443 ELSE 80 END AS server_port FROM events)
 """
 
 

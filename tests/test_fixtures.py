@@ -206,13 +206,19 @@ def test_flow_assembly_across_midnight_gap_and_fin(spark):
     ]
     df = spark.createDataFrame(rows, "packet_id long, src long, ts timestamp_ntz, is_forward boolean, "
                                      "length double, fin boolean")
+    # Conversation 7 goes between two hosts in both directions.
+    user, server = F.concat(F.lit("10.0.0."), "src"), F.lit("1.1.1.1")
+    df = (df.withColumn("src_ip", F.when(F.col("is_forward"), user).otherwise(server)).withColumn("dst_ip", F.when(F.col("is_forward"), server).otherwise(user))
+          .withColumn("src_port", F.when(F.col("is_forward"), 4000).otherwise(80)).withColumn("dst_port", F.when(F.col("is_forward"), 80).otherwise(4000))
+          .withColumn("protocol", F.lit(6)))
     a = {r.packet_id: r for r in asm.assemble_flows(df).collect()}
     assert [a[i].flow_no for i in (1, 2, 3, 4, 5, 6)] == [0, 0, 1, 1, 2, 0]
     assert a[2].iat_us == 90 * 60 * 1_000_000
     assert a[1].direction == "fwd" and a[2].direction == "bwd"        # relative to the flow's first packet
     assert a[3].direction == "fwd" and a[4].direction == "bwd"
     assert a[4].dir_iat_us is None and a[3].iat_us is None             # first packet of a flow
-    m = {(r.src, r.flow_no): r for r in asm.flow_measures(asm.assemble_flows(df)).collect()}
+    assert a[2].flow_id == "1.1.1.1-10.0.0.7-80-4000-6" and a[3].flow_id == "10.0.0.7-1.1.1.1-4000-80-6"
+    m = {(int(r.flow_id.split("10.0.0.")[1][0]), r.flow_no): r for r in asm.flow_measures(asm.assemble_flows(df)).collect()}
     assert m[(7, 0)].n_packets == 2 and m[(7, 0)].duration_us == 90 * 60 * 1_000_000
     assert m[(7, 1)].fin_count == 1 and m[(7, 2)].n_packets == 1
     assert round(m[(7, 1)].len_std, 4) == round(((40 - 30) ** 2 / 2) ** 0.5, 4)
