@@ -1,17 +1,16 @@
-"""Models: class weights, MLlib classifiers, linear
-reconstruction (PCA) and model comparison.
+"""Models: class weights, classifiers, reconstruction (PCA or
+a network) and model comparison.
 
-Training is distributed MLlib ``fit``; scoring is ``transform``.  All the
+Training is distributed: MLlib ``fit``, ``boosting`` and ``network``; scoring is ``transform``.  All the
 surrounding bookkeeping (weights, codes, metrics) is DataFrame work.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.nulls import c
+from . import boosting, network
+from .boosting import BoostedTrees
 
 
 # ------------------------------------------------------------ weights ----
@@ -64,17 +65,9 @@ def train_forest(df: DataFrame, label: str = "label", weight: str | None = "weig
 
 
 def train_boosted(df: DataFrame, label: str = "label", weight: str | None = "weight", rounds: int = 300,
-                  depth: int = 6, rate: float = 0.1, share: float = 0.8, seed: int = K.SEED) -> PipelineModel:
-    """Multi-class boosted trees as one-vs-rest GBTs (members fitted in
-    parallel).  Probabilities come from the member margins, see
-    ``ovr_probabilities``."""
-    gbt = GBTClassifier(featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate,
-                        subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed,
-                        weightCol=weight or "")
-    ovr = OneVsRest(classifier=gbt, featuresCol="features", labelCol=label, parallelism=4,
-                    weightCol=weight or None) if weight else \
-        OneVsRest(classifier=gbt, featuresCol="features", labelCol=label, parallelism=4)
-    return Pipeline(stages=[ovr]).fit(df)
+                  depth: int = 6, rate: float = 0.1, share: float = 0.8, seed: int = K.SEED) -> BoostedTrees:
+    """Multi-class boosted trees (softmax), all classes grown together."""
+    return boosting.fit(df, "features", label, weight, rounds, depth, rate, share, seed)
 
 
 def ovr_probabilities(pred: DataFrame, raw: str = "rawPrediction", out: str = "probability_vec") -> DataFrame:
@@ -111,17 +104,31 @@ def train_reconstruction(benign: DataFrame, k: int, features: str = "features")
         PCA(k=k, inputCol="__centred", outputCol="__pc")]).fit(benign)
 
 
-def reconstruct(model: PipelineModel, df: DataFrame, features: str = "features_arr", out: str = "recon_error",
+def train_network(benign: DataFrame, features: str = "features", **options) -> network.AutoEncoder:
+    """Non-linear autoencoder of the benign rows (see ``network.fit``)."""
+    return network.fit(benign, features, **options)
+
+
+def _reconstructor(model):
+    """The model as a function from rows to their reconstructions."""
+    if isinstance(model, network.AutoEncoder):
+        return model.reconstruct
+    mean, axes = model.stages[0].mean.toArray(), model.stages[-1].pc.toArray()
+    return partial(_project, mean, axes @ axes.T)
+
+
+def _project(mean, proj, x):
+    return mean + (x - mean) @ proj
+
+
+def reconstruct(model, df: DataFrame, features: str = "features_arr", out: str = "recon_error",
                 keep_recon: bool = False) -> DataFrame:
-    """Reconstruction x_hat = m + (x - m) P P^T with the fitted mean and principal axes and the
-    mean squared error per row.  The d x k axis matrix is small (bounded by
-    the feature count) and ships with the task; each Arrow batch is one
-    matrix product."""
+    """Reconstruction x_hat of the fitted network, or m + (x - m) P P^T with
+    the fitted mean and principal axes, and the mean squared error per row.
+    The parameters (bounded by the feature count) are broadcast; each Arrow
+    batch is one chain of matrix products."""
     import numpy as np
-    pca = model.stages[-1]
-    mean = model.stages[0].mean.toArray()
-    P = pca.pc.toArray()
-    proj = P @ P.T
+    shared = df.sparkSession.sparkContext.broadcast(_reconstructor(model))
     cols = df.columns
     extra = [F.lit(0.0).alias(out)] + ([F.array().cast("array<double>").alias("recon")] if keep_recon else [])
     schema = df.select("*", *extra).schema
@@ -131,7 +138,7 @@ def reconstruct(model: PipelineModel, df: DataFrame, features: str = "features_a
             if len(pdf) == 0:
                 continue
             X = np.stack(pdf[features].to_numpy()).astype("float64")
-            Xh = mean + (X - mean) @ proj
+            Xh = shared.value(X)
             pdf[out] = ((X - Xh) ** 2).mean(axis=1)
             if keep_recon:
                 pdf["recon"] = list(Xh)
