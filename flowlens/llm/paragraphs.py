@@ -369,14 +369,13 @@ def _sets(plain: DataFrame, found: DataFrame, wanted: DataFrame, shape: tuple) -
             .groupBy("e").agg(F.first("s").alias("s")))
 
 
-def classes(plain: DataFrame, found: DataFrame, shape: tuple, similarity: float, recall: float, rows: int) -> DataFrame:
+def classes(plain: DataFrame, found: DataFrame, members: DataFrame, shape: tuple, similarity: float) -> DataFrame:
     """``(e, root)`` for the distinct contents in ``found`` that chains of
-    similar paragraphs connect with others."""
+    similar paragraphs connect with others; ``members`` are the buckets'."""
     shingle, words, _ = shape
     # Sets of at most `most` shingles at the similarity differ in so few.
     most = words - shingle + 1
     apart = int(2 * most * (1 - similarity) / (1 + similarity) + 1e-9)
-    members = stage(_buckets(plain.select("body"), shape, rows, tune_bands(similarity, recall, rows)), "members")
     pairs, many = _candidates(members, apart)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("e")).union(many.select("e")).distinct()
     sets = stage(_sets(plain, found, wanted, shape), "sets")
@@ -424,9 +423,10 @@ def duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     shape = (shingle, words, min_words)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("text"),
                         F.col(text_col).alias("body"))
+    members = stage(_buckets(plain.select("body"), shape, rows, tune_bands(similarity, recall, rows)), "members")
     found = stage(plain.mapInArrow(_list_rows(shape), "id long, text long, paragraph int, begin long, end long, n_words int, "
                                    "e long"), "rows")
-    roots = classes(plain, found, shape, similarity, recall, rows)
+    roots = classes(plain, found, members, shape, similarity)
     order = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("paragraph"))
     named = stage(_named(found, roots, order), "named")
     return found.join(named, "e").select("id", "paragraph", "begin", "end", "n_words", "class_id", "n_class",
