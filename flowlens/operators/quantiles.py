@@ -6,11 +6,11 @@ exactly, for all columns and all levels at once, in two passes:
 
 1. one aggregation: non-null count, and ``percentile_approx`` brackets at
    q - 2/A and q + 2/A per column and level;
-2. one partial aggregation by (column, level, value) in which all values
-   below a bracket fall into one group (keeping its largest value) and all
-   above into another (keeping its smallest).  Only distinct values inside a
-   bracket stay apart (about 4 n / A of them), so heavily repeated values
-   cost one row each.  Running counts over these rows give the ranks.
+2. one pass in which each task counts, per column, the distinct values inside
+   the brackets (about 4 n / A of them) and, for every stretch between two
+   brackets, its values together (with the smallest and the largest), so that
+   heavily repeated values cost one row each.  Running counts over the merged
+   rows give the ranks.
 
 Interpolation is linear between the two neighbouring order statistics, as
 ``percentile`` / numpy do.  The driver receives two rows per column and
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,47 +44,74 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], qs: list[float],
     probes = [min(max(p, 0.0), 1.0) for q in qs for p in (q - eps, q + eps)]
     first = df.agg(*[x for i, c in enumerate(cols) for x in (
         F.count(_col(c)).alias(f"n{i}"), F.percentile_approx(_col(c), probes, accuracy).alias(f"b{i}"))]).first()
-    # (column, level) slots with their bracket, wanted rank and interpolation share
-    slots, entries = [], []
-    for i, c in enumerate(cols):
-        n = first[f"n{i}"]
-        if not n:
-            continue
-        for k, q in enumerate(qs):
-            lo, hi = first[f"b{i}"][2 * k], first[f"b{i}"][2 * k + 1]
-            pos = q * (n - 1)
-            v = _col(c)
-            zone = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
-            entries.append(F.struct(F.lit(len(slots)).alias("s"), v.alias("v"), zone.alias("zone")))
-            slots.append((i, k, int(math.floor(pos)), pos - math.floor(pos), n))
+    # Per column: the merged brackets as an ascending list of their ends.
+    wanted, ends = [], []
+    for i in range(len(cols)):
+        n, b = first[f"n{i}"], first[f"b{i}"]
+        spans: list[list[float]] = []
+        for lo, hi in sorted(zip(b[0::2], b[1::2])) if n else ():
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        ends.append(np.array([x for s in spans for x in s]))
+        wanted.append([(q * (n - 1)) for q in qs] if n else [])
     out: list[list[float | None]] = [[None] * len(qs) for _ in cols]
-    if not slots:
+    if not any(len(w) for w in wanted):
         return out
-    rows = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter(F.col("v").isNotNull())
-    g = rows.groupBy("s", "zone", F.when(F.col("zone") == 0, F.col("v")).alias("k")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    w = Window.partitionBy("s").orderBy("zone", "k").rowsBetween(Window.unboundedPreceding, 0)
+    x = df.select(*[_col(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    counted = x.mapInArrow(_count(ends), "s int, zone int, v double, n long, lo double, hi double")
+    g = counted.groupBy("s", "zone", "v").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    w = Window.partitionBy("s").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("cum", F.sum("n").over(w))
-    # ranks [cum - n, cum) carry the row's value; of the outer groups only the
-    # rank next to the bracket is known
-    a = F.when(F.col("zone") < 0, F.col("cum") - 1).otherwise(F.col("cum") - F.col("n"))
-    b = F.when(F.col("zone") > 0, F.col("cum") - F.col("n")).otherwise(F.col("cum") - 1)
-    r = g.select("s", F.when(F.col("zone") < 0, F.col("hi")).otherwise(F.col("lo")).alias("v"), a.alias("a"),
-                 b.alias("b"))
-    want = df.sparkSession.createDataFrame(
-        [(s, rank) for s, (_, _, k0, _, n) in enumerate(slots) for rank in {k0, min(k0 + 1, n - 1)}],
-        "s int, rank long")
-    hit = r.join(F.broadcast(want), "s").filter((F.col("rank") >= F.col("a")) & (F.col("rank") <= F.col("b")))
-    found = {(x.s, x["rank"]): x.v for x in hit.select("s", "rank", "v").collect()}
-    for s, (i, k, k0, frac, n) in enumerate(slots):
-        k1 = min(k0 + 1, n - 1)
-        if (s, k0) not in found or (s, k1) not in found:
-            raise RuntimeError(f"quantile {qs[k]} of {cols[i]}: rank outside its bracket")
-        v0, v1 = found[(s, k0)], found[(s, k1)]
-        out[i][k] = v0 if v1 == v0 or frac == 0 else v0 + frac * (v1 - v0)
+    # Ranks [cum - n, cum) carry the row's value; of a stretch between brackets
+    # only its first and its last rank are known.
+    inside = F.col("zone") % 2 == 1
+    r = g.select("s", "lo", "hi", (F.col("cum") - F.col("n")).alias("a"), (F.col("cum") - 1).alias("b"), inside.alias("inside"))
+    ranks = [(i, k) for i, w_ in enumerate(wanted) for pos in w_ for k in (math.floor(pos), min(math.floor(pos) + 1, first[f"n{i}"] - 1))]
+    want = df.sparkSession.createDataFrame(sorted(set(ranks)), "s int, rank long")
+    hit = r.join(F.broadcast(want), "s").where((F.col("rank") >= F.col("a")) & (F.col("rank") <= F.col("b")) & (
+        F.col("inside") | (F.col("rank") == F.col("a")) | (F.col("rank") == F.col("b"))))
+    value = F.when(~F.col("inside") & (F.col("rank") == F.col("b")), F.col("hi")).otherwise(F.col("lo"))
+    found = {(h.s, h["rank"]): h.v for h in hit.select("s", "rank", value.alias("v")).collect()}
+    for i, w_ in enumerate(wanted):
+        for k, pos in enumerate(w_):
+            k0 = math.floor(pos)
+            k1 = min(k0 + 1, first[f"n{i}"] - 1)
+            if (i, k0) not in found or (i, k1) not in found:
+                raise RuntimeError(f"quantile {qs[k]} of {cols[i]}: rank outside its bracket")
+            v0, v1 = found[i, k0], found[i, k1]
+            out[i][k] = v0 if v1 == v0 or pos == k0 else v0 + (pos - k0) * (v1 - v0)
     return out
 
 
+_ROW = pa.schema([("s", pa.int32()), ("zone", pa.int32()), ("v", pa.float64()), ("n", pa.int64()), ("lo", pa.float64()),
+                  ("hi", pa.float64())])
+
+
+def _count(ends: list[np.ndarray]):
+    """Rows ``(column, zone, value, n, smallest, largest)`` of a batch: odd
+    zones are brackets, whose values stay apart; the others are the stretches
+    before, between and behind them."""
+    def run(batches):
+        for b in batches:
+            for i, e in enumerate(ends):
+                v = b.column(i).to_numpy(zero_copy_only=False)
+                v, n = np.unique(v[~np.isnan(v)] + 0.0, return_counts=True)
+                if not len(v):
+                    continue
+                # A bracket holds both its ends.
+                zone = np.searchsorted(e[0::2], v, side="right") + np.searchsorted(e[1::2], v, side="left")
+                odd = zone % 2 == 1
+                first = np.flatnonzero(np.append(True, zone[1:] != zone[:-1]) | odd)
+                last = np.append(first[1:], len(v)) - 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(first), i, np.int32)), pa.array(zone[first].astype(np.int32)),
+                    pa.array(v[first], mask=~odd[first]), pa.array(np.add.reduceat(n, first)), pa.array(v[first]), pa.array(v[last])],
+                    schema=_ROW)
+    return run
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], accuracy: int = ACCURACY) -> list[float | None]:
     """Exact quantiles ``qs`` of one column."""
     return exact_quantiles_multi(df, [col], qs, accuracy)[0]

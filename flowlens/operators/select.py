@@ -1,14 +1,17 @@
 """Feature selection.
 
-Every score is one aggregation pass over the training rows (all feature
-pairs / all features in the same ``agg``); the ranking runs over one row
-per feature.  Forest-based rankings use MLlib.
+Constants, gaps, correlations and class moments come from one pass over the
+training rows (``moments``); the ranking runs over one row per feature.
+Forest-based rankings use MLlib.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,68 +25,146 @@ def _finite(x):
     return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
 
 
-# --------------------------------------------------------- correlation ----
+# ------------------------------------------------------------- moments ----
+
+@dataclass
+class Moments:
+    """Sums of a table's features less ``centre``: by pair of features over the
+    rows that have both (``pairs``: n, a, b, ab, aa, bb, each d x d, upper
+    half), and by class (``rows``, and n, sum, squares: classes x d); smallest
+    and largest value of each feature."""
+    features: list[str]
+    centre: np.ndarray
+    pairs: dict[str, np.ndarray]
+    labels: list
+    rows: np.ndarray
+    n: np.ndarray
+    total: np.ndarray
+    squares: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
 
-_GRAM_SCHEMA = "i int, j int, n double, sa double, sb double, sab double, saa double, sbb double"
+_SUMS = pa.schema([("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("label", pa.string()), ("n", pa.float64()),
+                   *((x, pa.float64()) for x in ("sa", "sb", "sab", "saa", "sbb", "lo", "hi"))])
 
 
-def _gram_partials(centre: list[float]):
-    """Per-task pairwise-complete sums for every pair i < j (numpy, d x d) of
-    the values less ``centre``."""
-    import numpy as np
-    import pandas as pd
+def _sums(centre: np.ndarray):
+    """Per task: rows of kind 0 for pairs i < j, of kind 1 for (class, feature)
+    and of kind 2 for classes."""
     d = len(centre)
     iu, ju = np.triu_indices(d, k=1)
 
     def run(batches):
         n, s, sab, sq = (np.zeros((d, d)) for _ in range(4))
-        for pdf in batches:
-            X = pdf.to_numpy(dtype="float64", na_value=np.nan) - np.asarray(centre)
-            M = (~np.isnan(X)).astype("float64")
-            X0 = np.where(M > 0, X, 0.0)
-            n += M.T @ M
-            s += X0.T @ M           # s[i, j] = sum of x_i where x_i and x_j are present
+        by: dict = {}
+        lo, hi = np.full(d, np.inf), np.full(d, -np.inf)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            X = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(1, d + 1)]) - centre
+            M = ~np.isnan(X)
+            X0 = np.where(M, X, 0.0)
+            m = M.astype("float64")
+            n += m.T @ m
+            s += X0.T @ m                                  # s[i, j]: sum of x_i where both are present
             sab += X0.T @ X0
-            sq += (X0 * X0).T @ M
-        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju],
-                            "sa": s[iu, ju], "sb": s[ju, iu], "sab": sab[iu, ju],
-                            "saa": sq[iu, ju], "sbb": sq[ju, iu]})
+            sq += (X0 * X0).T @ m
+            lo = np.minimum(lo, np.where(M, X, np.inf).min(axis=0))
+            hi = np.maximum(hi, np.where(M, X, -np.inf).max(axis=0))
+            code = b.column(0).dictionary_encode()
+            at = code.indices.to_numpy(zero_copy_only=False)
+            for k, label in enumerate(code.dictionary.to_pylist()):
+                rows = at == k
+                part = by.setdefault(label, [0.0, np.zeros(d), np.zeros(d), np.zeros(d)])
+                part[0] += rows.sum()
+                part[1] += m[rows].sum(axis=0)
+                part[2] += X0[rows].sum(axis=0)
+                part[3] += (X0[rows] ** 2).sum(axis=0)
+        ends = [np.where(np.isfinite(x), x, np.nan) for x in (lo, hi)]
+        z = lambda k: np.zeros(k)
+        cols = [[np.zeros(len(iu)), iu, ju, [None] * len(iu), n[iu, ju], s[iu, ju], s[ju, iu], sab[iu, ju], sq[iu, ju], sq[ju, iu],
+                 np.full(len(iu), np.nan), np.full(len(iu), np.nan)]]
+        for label, (rows, k, total, squares) in by.items():
+            cols.append([np.full(d, 1), np.arange(d), z(d), [label] * d, k, total, z(d), z(d), squares, z(d), *ends])
+            cols.append([[2], [0], [0], [label], [rows], *([0.0] for _ in range(5)), [np.nan], [np.nan]])
+        for part in cols:
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, f.type.to_pandas_dtype()) if f.name != "label" else x, f.type,
+                                                       from_pandas=True) for x, f in zip(part, _SUMS)], schema=_SUMS)
     return run
 
 
-def corr_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """|Pearson r| for every pair i < j over the rows where both are present.
-
-    A first pass takes the mean of every feature (d numbers), so that large
-    values do not cancel; then each task multiplies its centred rows into d x d
-    sums (numpy, Arrow batches), and the partial sums (d^2 / 2 rows per task)
-    are added by a small group-by.  Zero variance gives NULL (never
-    "correlated")."""
+def moments(df: DataFrame, features: list[str], label: str | None = None) -> Moments:
+    """One pass over ``df`` (write it first if it is dear to compute).  Sums
+    are taken of the values less the mean of the first rows, so that large
+    values do not cancel; a task hands on d^2 / 2 pairs and classes x d sums,
+    and the driver receives as many."""
     d = len(features)
-    if d < 2:
-        return df.sparkSession.createDataFrame([], "i int, j int, r double")
-    x = df.select(*[_finite(c(f).cast("double")).alias(f"x{k}") for k, f in enumerate(features)])
-    mean = x.agg(*[F.coalesce(F.avg(f"x{k}"), F.lit(0.0)).alias(f"x{k}") for k in range(d)]).first()
-    g = x.mapInPandas(_gram_partials([float(v) for v in mean]), _GRAM_SCHEMA).groupBy("i", "j").agg(
-        *[F.sum(v).alias(v) for v in ("n", "sa", "sb", "sab", "saa", "sbb")])
-    cov = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
-    va = F.col("n") * F.col("saa") - F.col("sa") * F.col("sa")
-    vb = F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
+    lab = F.col(label).cast("string") if label else F.lit("")
+    x = df.select(lab.alias("label"), *[_finite(c(f).cast("double")).alias(f"x{k}") for k, f in enumerate(features)])
+    first = x.limit(1000).agg(*[F.coalesce(F.avg(f"x{k}"), F.lit(0.0)).alias(f"x{k}") for k in range(d)], F.lit(0).alias("_")).first()
+    centre = np.array([float(v) for v in first[:d]])
+    sums = ("n", "sa", "sb", "sab", "saa", "sbb")
+    got = x.mapInArrow(_sums(centre), "kind int, i int, j int, label string, n double, sa double, sb double, sab double, "
+                       "saa double, sbb double, lo double, hi double").groupBy("kind", "i", "j", "label").agg(
+        *[F.sum(v).alias(v) for v in sums], F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    pairs = {v: np.zeros((d, d)) for v in sums}
+    labels = sorted((r["label"] for r in got if r["kind"] == 2 and r["label"] is not None), key=str)
+    labels += [None] * any(r["kind"] == 2 and r["label"] is None for r in got)
+    place = {v: k for k, v in enumerate(labels)}
+    m = Moments(features, centre, pairs, labels, np.zeros(len(labels)), *(np.zeros((len(labels), d)) for _ in range(3)),
+                np.full(d, np.nan), np.full(d, np.nan))
+    for r in got:
+        if r["kind"] == 0:
+            for v in sums:
+                pairs[v][r["i"], r["j"]] = r[v]
+        elif r["kind"] == 2:
+            m.rows[place[r["label"]]] = r["n"]
+        else:
+            k, i = place[r["label"]], r["i"]
+            m.n[k, i], m.total[k, i], m.squares[k, i] = r["n"], r["sa"], r["saa"]
+            m.low[i], m.high[i] = (float(fn([v, w])) if w is not None else v for v, w, fn in
+                                   ((m.low[i], r["lo"], np.nanmin), (m.high[i], r["hi"], np.nanmax)))
+    return m
+
+
+def constants(m: Moments) -> list[str]:
+    """Features with at most one distinct value (or none)."""
+    return [f for f, a, b in zip(m.features, m.low, m.high) if not a < b]
+
+
+def gaps(m: Moments) -> list[str]:
+    """Features that some row lacks."""
+    return [f for f, n in zip(m.features, m.n.sum(axis=0)) if n < m.rows.sum()]
+
+
+# --------------------------------------------------------- correlation ----
+
+def correlations(m: Moments) -> np.ndarray:
+    """|Pearson r| for every pair i < j over the rows where both are present;
+    NaN where either does not vary (never "correlated")."""
+    p = m.pairs
+    cov = p["n"] * p["sab"] - p["sa"] * p["sb"]
+    va, vb = p["n"] * p["saa"] - p["sa"] ** 2, p["n"] * p["sbb"] - p["sb"] ** 2
     # rounding leaves about 1e-16 of the raw moment: less than that is no variance
-    r = F.when((va > 1e-13 * F.col("n") * F.col("saa")) & (vb > 1e-13 * F.col("n") * F.col("sbb")),
-               cov / F.sqrt(va * vb))
-    return g.select("i", "j", F.abs(r).alias("r"))
+    ok = (va > 1e-13 * p["n"] * p["saa"]) & (vb > 1e-13 * p["n"] * p["sbb"])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(ok, np.abs(cov / np.sqrt(va * vb)), np.nan)
+
 
+def corr_pairs(df: DataFrame, features: list[str], m: Moments | None = None) -> DataFrame:
+    """``(i, j, r)`` of ``correlations``; no variance gives NULL."""
+    r = correlations(m or moments(df, features))
+    rows = [(i, j, None if np.isnan(r[i, j]) else float(r[i, j])) for i in range(len(features)) for j in range(i + 1, len(features))]
+    return df.sparkSession.createDataFrame(rows, "i int, j int, r double")
 
-def corr_prune(df: DataFrame, features: list[str], limit: float = K.CORR_LIMIT) -> DataFrame:
+
+def corr_prune(df: DataFrame, features: list[str], limit: float = K.CORR_LIMIT, m: Moments | None = None) -> DataFrame:
     """Drop feature j when any earlier feature i < j has |r| > limit (i counts
     even if dropped itself).  Rows: (feature, position, dropped)."""
-    p = corr_pairs(df, features)
-    hit = p.groupBy("j").agg(F.max(F.coalesce(F.col("r") > limit, F.lit(False))).alias("dropped"))
-    spark = df.sparkSession
-    pos = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string")
-    return pos.join(F.broadcast(hit), pos.position == hit.j, "left").select(
-        "feature", "position", F.coalesce("dropped", F.lit(False)).alias("dropped"))
+    r = correlations(m or moments(df, features))
+    rows = [(f, j, bool(np.any(np.nan_to_num(r[:j, j]) > limit))) for j, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "feature string, position int, dropped boolean")
 
 
 def constant_prune(df: DataFrame, features: list[str]) -> DataFrame:
@@ -98,31 +179,28 @@ def constant_prune(df: DataFrame, features: list[str]) -> DataFrame:
 
 # -------------------------------------------------------------- ANOVA ----
 
-def _long(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """(feature, label, value) rows; the explode stays inside one stage."""
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), c(f).cast("double").alias("value")) for f in features])
-    return df.select(F.col(label).alias("label"), F.explode(arr).alias("p")).select("p.feature", "label", "p.value")
-
-
-def anova_scores(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """One-way ANOVA F per feature.  One aggregation by class gives count,
-    mean and population variance of every feature (stable central moments);
-    the rest works on one row per class and feature."""
-    names = list(enumerate(features))
-    v = {i: _finite(c(f).cast("double")) for i, f in names}
-    wide = df.groupBy(F.col(label).alias("label")).agg(*[x for i, _ in names for x in (
-        F.count(v[i]).alias(f"n{i}"), F.avg(v[i]).alias(f"m{i}"), F.var_pop(v[i]).alias(f"v{i}"))])
-    cm = wide.select(F.explode(F.array(*[F.struct(
-        F.lit(f).alias("feature"), F.col(f"n{i}").alias("nc"), F.col(f"m{i}").alias("mc"),
-        F.col(f"v{i}").alias("vc")) for i, f in names])).alias("e")).select("e.*").filter(F.col("nc") > 0)
-    w = Window.partitionBy("feature")                       # one row per class
-    cm = cm.withColumn("mg", F.sum(F.col("nc") * F.col("mc")).over(w) / F.sum("nc").over(w))
-    j = cm.groupBy("feature").agg(F.sum(F.col("nc") * (F.col("mc") - F.col("mg")) ** 2).alias("ssb"),
-                                  F.sum(F.col("nc") * F.col("vc")).alias("ssw"), F.sum("nc").alias("n"),
-                                  F.count(F.lit(1)).alias("k"))
-    return j.select("feature", _finite(F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1),
-                                                     F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))))
-                    .alias("score"))
+def anova_scores(df: DataFrame, features: list[str], label: str = "label", m: Moments | None = None,
+                 medians: dict[str, float] | None = None) -> DataFrame:
+    """One-way ANOVA F per feature from class counts, sums and squares.  With
+    ``medians`` the rows that lack a feature count as having its median: their
+    number per class is known, so no imputed table is written."""
+    m = m or moments(df, features, label)
+    rows = []
+    for f in features:
+        i = m.features.index(f)
+        n, total, squares = m.n[:, i].copy(), m.total[:, i].copy(), m.squares[:, i].copy()
+        if medians and medians.get(f) is not None:
+            lack, v = m.rows - n, medians[f] - m.centre[i]
+            n, total, squares = n + lack, total + lack * v, squares + lack * v * v
+        n, total, squares = n[n > 0], total[n > 0], squares[n > 0]
+        score = None
+        k, count = len(n), n.sum()
+        if k > 1 and count > k:
+            within = float(np.maximum(squares - total ** 2 / n, 0).sum())
+            between = float((n * (total / n - total.sum() / count) ** 2).sum())
+            score = float((between / (k - 1)) / (within / (count - k))) if within > 0 else None
+        rows.append((f, score))
+    return df.sparkSession.createDataFrame(rows, "feature string, score double")
 
 
 def top_k(scores: DataFrame, k: int = K.TOP_K, score: str = "score", digits: int | None = None) -> DataFrame:
@@ -138,35 +216,61 @@ def top_k(scores: DataFrame, k: int = K.TOP_K, score: str = "score", digits: int
 
 # ----------------------------------------------------- mutual information ----
 
+_JOINT = pa.schema([("feature", pa.int32()), ("bin", pa.int32()), ("label", pa.string()), ("n", pa.int64())])
+
+
 def mi_scores(df: DataFrame, features: list[str], label: str = "label", bins: int = 10) -> DataFrame:
-    """Mutual information (nats) between equal-width bins of each feature and
-    the label: sum p(x,y) ln(p(x,y) / (p(x) p(y))).  Bin edges come from one
-    min/max pass; joint counts are a partial aggregation."""
-    lg = _long(df, features, label).filter(F.col("value").isNotNull())
-    rng = lg.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    x = lg.join(F.broadcast(rng), "feature")
-    b = F.when(F.col("hi") > F.col("lo"),
-               F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
-                       F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    joint = x.groupBy("feature", b.alias("bin"), "label").agg(F.count(F.lit(1)).alias("nxy"))
+    """Mutual information (nats) between quantile bins of each feature and the
+    label: sum p(x,y) ln(p(x,y) / (p(x) p(y))).  A value's bin is the number of
+    quantiles (k / bins) below it, so bins hold equal shares however skewed
+    the values are.  Each task counts (feature, bin, class) of its rows."""
+    from .quantiles import exact_quantiles_multi
+    if not features:
+        return df.sparkSession.createDataFrame([], "feature string, score double")
+    edges = [np.array([v for v in q if v is not None]) for q in
+             exact_quantiles_multi(df, features, [k / bins for k in range(1, bins)])]
+
+    def run(batches):
+        counts: dict = {}
+        for b in batches:
+            code = b.column(0).dictionary_encode()
+            at, labels = code.indices.to_numpy(zero_copy_only=False), code.dictionary.to_pylist()
+            for k, e in enumerate(edges):
+                v = b.column(k + 1).to_numpy(zero_copy_only=False)
+                ok = ~np.isnan(v)
+                joint = np.bincount(at[ok] * bins + np.searchsorted(e, v[ok], side="left"), minlength=len(labels) * bins)
+                for x in np.flatnonzero(joint).tolist():
+                    key = (k, x % bins, labels[x // bins])
+                    counts[key] = counts.get(key, 0) + int(joint[x])
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(
+                (*zip(*counts), counts.values()), _JOINT)], schema=_JOINT)
+    x = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), *[_finite(c(f).cast("double")).alias(f"x{k}") for k, f in enumerate(features)])
+    joint = x.mapInArrow(run, "feature int, bin int, label string, n long").groupBy("feature", "bin", "label").agg(F.sum("n").alias("nxy"))
     wx = Window.partitionBy("feature", "bin")
     wy = Window.partitionBy("feature", "label")
     wn = Window.partitionBy("feature")
     j = joint.select("feature", "nxy", F.sum("nxy").over(wx).alias("nx"), F.sum("nxy").over(wy).alias("ny"),
                      F.sum("nxy").over(wn).alias("n"))
     term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
-    return j.groupBy("feature").agg(F.sum(term).alias("score"))
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "feature int, name string")
+    return j.groupBy("feature").agg(F.sum(term).alias("score")).join(F.broadcast(names), "feature").select(
+        F.col("name").alias("feature"), "score")
 
 
 # ------------------------------------------------------------- forests ----
 
+#: Depth of the ranking forests: MLlib's largest, for trees that are not cut.
+DEPTH = 30
+
+
 def rf_importance(df: DataFrame, features: list[str], label: str = "label", trees: int = 200,
-                  seed: int = K.SEED) -> DataFrame:
+                  seed: int = K.SEED, depth: int = DEPTH) -> DataFrame:
     """Random-forest feature importance per feature (MLlib)."""
     from pyspark.ml.classification import RandomForestClassifier
     from .models import assemble
     x = assemble(df, features)
-    m = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed).fit(x)
+    m = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(x)
     imp = m.featureImportances.toArray().tolist()
     return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, imp)],
                                            "feature string, score double")
@@ -198,15 +302,32 @@ def equal_class_resample(df: DataFrame, label: str = "label", key: str = "flow_k
 
     Slot s of class c draws the row at the share (s * 2654435761 + seed) mod
     2**32 of 2**32 of its n_c rows (n_c below 2**31), so any row can be drawn, of
-    the class's hash order; slots (bounded by ``total``) are broadcast and
-    equi-joined to the ranked rows."""
-    ranked = rank_within(df.filter(F.col(label).isNotNull()), label, key, seed)
-    sizes = ranked.groupBy(label).agg(F.first("n").alias("n"))
+    the class's hash order.  The (class, hash) histogram says which hash value
+    holds each slot's row; rows of other hash values stay where they are, so
+    what is ranked and shuffled is bounded by the slots (``total``) times the
+    rows of one hash value."""
+    x = df.filter(F.col(label).isNotNull()).withColumn("__h", seeded_hash(F.col(key), seed))
+    hist = x.groupBy(F.col(label).alias("__c"), "__h").agg(F.count(F.lit(1)).alias("__n")).checkpoint()
+    w = Window.partitionBy("__c").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    first = hist.select("__c", "__h", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("pos"))
+    sizes = hist.groupBy("__c").agg(F.sum("__n").alias("n"))
     k = sizes.agg(F.count(F.lit(1)).alias("k"))
-    slots = sizes.crossJoin(k).select(label, "n", F.explode(F.sequence(F.lit(0), (F.lit(total) / F.col("k"))
-                                                                       .cast("int") - 1)).alias("slot"))
-    slots = slots.withColumn("rank", F.shiftright(((F.col("slot") * 2654435761 + seed) % 4294967296) * F.col("n"), 32)).drop("n")
-    return ranked.drop("n").join(F.broadcast(slots), [label, "rank"])
+    slots = sizes.crossJoin(F.broadcast(k)).select("__c", "n", F.explode(F.sequence(F.lit(0), (F.lit(total) / F.col("k"))
+                                                                                   .cast("int") - 1)).alias("slot"))
+    slots = slots.select("__c", "slot", F.shiftright(((F.col("slot") * 2654435761 + seed) % 4294967296) * F.col("n"), 32).alias("pos"))
+    # A slot's hash value is the last one that begins at or before its place.
+    at = Window.partitionBy("__c").orderBy("pos", F.col("slot").isNotNull(), "slot").rowsBetween(Window.unboundedPreceding, 0)
+    both = first.select("__c", "pos", F.lit(None).cast("int").alias("slot"), "__h").unionByName(
+        slots.select("__c", "pos", "slot", F.lit(None).cast("long").alias("__h")))
+    picks = both.select("__c", "slot", F.col("pos").alias("rank"), F.last("__h", True).over(at).alias("__ph"),
+                        (F.col("pos") - F.last(F.when(F.col("__h").isNotNull(), F.col("pos")), True).over(at)).alias("__r")
+                        ).where("slot is not null").checkpoint()
+    wanted = picks.select("__c", "__ph").distinct()                                  # at most `total` rows
+    near = x.join(F.broadcast(wanted), (x[label] == wanted["__c"]) & (x["__h"] == wanted["__ph"])).drop("__c", "__ph")
+    ranked = near.withColumn("__i", F.row_number().over(Window.partitionBy(label, "__h").orderBy(key)) - 1)
+    p = F.broadcast(picks)                                                           # at most `total` rows
+    return ranked.join(p, (ranked[label] == p["__c"]) & (ranked["__h"] == p["__ph"]) & (ranked["__i"] == p["__r"])).drop(
+        "__c", "__ph", "__r", "__i", "__h")
 
 
 # -------------------------------------------------------------- Boruta ----
@@ -218,7 +339,7 @@ def _binom_sf(k: int, n: int, p: float = 0.5) -> float:
 
 def boruta_select(df: DataFrame, features: list[str], label: str = "label", key: str = "flow_key",
                   rounds: int = 20, trees: int = 100, alpha: float = 0.05, seed: int = K.SEED,
-                  parallel_rounds: int = 4) -> DataFrame:
+                  parallel_rounds: int = 4, depth: int = DEPTH) -> DataFrame:
     """All-relevant selection with shadow features.
 
     Rows get one exact seeded rank (histogram ranks, no single-task window).
@@ -244,7 +365,7 @@ def boruta_select(df: DataFrame, features: list[str], label: str = "label", key:
         src = ranked.select(((F.col("rank") * a + b) % n).alias("rank"),
                             *[F.col(x).alias(y) for x, y in zip(names, shadows)])
         x = ranked.join(src, "rank").select(label, *names, *shadows)
-        m = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees,
+        m = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
                                    seed=seed + r).fit(assemble(x, names + shadows))
         imp = m.featureImportances.toArray()
         best_shadow = max(imp[len(features):]) if len(imp) > len(features) else 0.0
@@ -266,6 +387,17 @@ def boruta_select(df: DataFrame, features: list[str], label: str = "label", key:
     return df.sparkSession.createDataFrame(rows, "feature string, hits int, status string, selected boolean")
 
 
+BORUTA_ROWS = 100_000
+
+
+def boruta_rows(df: DataFrame, label: str = "label", key: str = "flow_key", rows: int = BORUTA_ROWS) -> DataFrame:
+    """The rows that Boruta looks at: all, or above ``rows`` as many drawn
+    with equal shares per class."""
+    if df.count() <= rows:
+        return df
+    return equal_class_resample(df, label, key, rows).withColumn(key, F.xxhash64(key, "slot")).drop("slot", "rank")
+
+
 # ------------------------------------------------------------ union ----
 
 def select_features(rankings: DataFrame, exclude: list[str] = K.NON_REALTIME_FEATURES,
@@ -283,3 +415,54 @@ def select_features(rankings: DataFrame, exclude: list[str] = K.NON_REALTIME_FEA
     allf = kept.unionByName(fo.join(kept.select("feature"), "feature", "left_anti"))
     w = Window.orderBy("o", "feature")
     return allf.select("feature", (F.row_number().over(w) - 1).alias("position"))
+
+
+@dataclass
+class Selection:
+    """A selection job's outcome: what was pruned, the rankings ``(method,
+    method_order, feature, rank, selected)``, and the features in order."""
+    constant: list[str]
+    correlated: list[str]
+    rankings: DataFrame
+    features: list[str]
+
+
+def run_selection(train: DataFrame, candidates: list[str], top: int = K.TOP_K, key: str = "flow_key", label: str = "label",
+                  trees: int = 200, rounds: int = 20, boruta_trees: int = 100, depth: int = DEPTH,
+                  methods: tuple[str, ...] = ("anova", "mi", "forest", "boruta")) -> Selection:
+    """The whole job on the rows of a training split (write them first: they
+    are read by every step): constants go, then features that correlate with
+    an earlier one; the rest are ranked four ways on median-imputed values,
+    and the rankings' top lists are united in order."""
+    from .clean import encode_labels, fit_label_codes, fit_medians, impute_median
+    spark = train.sparkSession
+    m = moments(train, candidates, label)
+    constant = constants(m)
+    r = correlations(m)
+    alive = [i for i, f in enumerate(candidates) if f not in constant]
+    correlated = [candidates[j] for j in alive if any(np.nan_to_num(r[i, j]) > K.CORR_LIMIT for i in alive if i < j)]
+    feats = [candidates[i] for i in alive if candidates[i] not in correlated]
+    lack = [f for f in gaps(m) if f in feats]
+    medians = fit_medians(train, lack) if lack else None
+    x = train.select(key, label, *[c(f).cast("double").alias(f) for f in feats])
+    x = impute_median(x, medians, lack) if lack else x
+    values = medians.first().asDict() if lack else {}
+    ranks = []
+    if "anova" in methods:
+        ranks.append(("anova", top_k(anova_scores(train, feats, label, m, values), top, digits=4)))
+    if "mi" in methods:
+        ranks.append(("mi", top_k(mi_scores(x, feats, label), top, digits=9)))
+    if "forest" in methods or "boruta" in methods:
+        y = encode_labels(x, fit_label_codes(x, label), label, "y").checkpoint()
+    if "forest" in methods:
+        ranks.append(("forest", top_k(rf_importance(y, feats, "y", trees, depth=depth), top)))
+    if "boruta" in methods:
+        b = boruta_select(boruta_rows(y, "y", key), feats, "y", key, rounds, boruta_trees, depth=depth)
+        w = Window.orderBy(F.col("hits").desc(), F.col("feature"))
+        ranks.append(("boruta", b.select("feature", F.col("hits").cast("double").alias("score"), F.row_number().over(w).alias("rank"), "selected")))
+    order = {"anova": 0, "mi": 1, "forest": 2, "boruta": 3}
+    rows = [(n, order[n], q["feature"], q["rank"], bool(q["selected"])) for n, t in ranks
+            for q in t.select("feature", "rank", "selected").collect()]               # methods x features rows
+    rankings = spark.createDataFrame(rows, "method string, method_order int, feature string, rank int, selected boolean")
+    chosen = [q["feature"] for q in select_features(rankings).orderBy("position").collect()]
+    return Selection(constant, correlated, rankings, chosen)

@@ -209,7 +209,7 @@ def decode_predictions(spark, sf_dir):
 
 # ------------------------------------------------------------ sampling ----
 
-SAMPLE_N = 10000
+SAMPLE_N = K.BENIGN_SAMPLE
 
 
 @register("downsample_benign", flows_sql(

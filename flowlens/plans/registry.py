@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from ..session import scratch_path
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
@@ -44,5 +46,8 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint a table that several passes will read."""
-    return df.checkpoint()
+    """Write a table that several passes will read to the shared checkpoint
+    folder, by columns."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
