@@ -138,10 +138,11 @@ def engineer(df: DataFrame, stats: DataFrame | None = None, anomaly_mode: str =
     return apply_feature_stats(rows, stats, anomaly_mode, fill_missing_log)
 
 
-def prepare_flows(df: DataFrame, protocols: list[str] | None = ("0", "6", "17")) -> DataFrame:
+def prepare_flows(df: DataFrame, protocols: list[str] | None = None) -> DataFrame:
     """Scorer-side cleaning of a flow table: numeric coercion, non-finite ->
-    NULL, protocol one-hot."""
+    NULL, protocol one-hot (of the values in ``df`` unless those fitted on the
+    training rows are given)."""
     from .clean import enforce_numeric, one_hot_protocol
     x = enforce_numeric(df, K.NUMERIC_PATTERNS_SCORE, skip=("label", "raw_label", "src_ip", "dst_ip",
                                                             "flow_key", "flow_ts"))
-    return one_hot_protocol(x, list(protocols) if protocols else None)
+    return one_hot_protocol(x, list(protocols) if protocols is not None else None)

@@ -20,8 +20,8 @@ def labelled_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf_dir: str, anomaly_mode: str = "scaled") -> DataFrame:
-    f = adapters.flows(spark, sf_dir)
-    return engineer(prepare_flows(f), anomaly_mode=anomaly_mode)
+    """All features but those of single protocols."""
+    return engineer(prepare_flows(adapters.flows(spark, sf_dir), ()), anomaly_mode=anomaly_mode)
 
 
 def _feature_query(name: str, cols: list[str], digits: int = 6):
@@ -30,8 +30,9 @@ def _feature_query(name: str, cols: list[str], digits: int = 6):
 
     @register(name, sql)
     def q(spark, sf_dir, _cols=cols):
-        # features of a row alone need no statistics of the table
-        x = row_features(prepare_flows(adapters.flows(spark, sf_dir)))
+        # features of a row alone need no statistics of the table, and only
+        # those of a protocol its values
+        x = row_features(prepare_flows(adapters.flows(spark, sf_dir), ()))
         if not set(_cols) <= set(x.columns):
             x = feature_table(spark, sf_dir)
         return rounded(x.select("flow_key", *_cols), digits)
@@ -52,7 +53,17 @@ _feature_query("f_iat_cv", ["fwd_iat_cv", "bwd_iat_cv"])
 _feature_query("f_packet_skew", ["fwd_packet_skew", "bwd_packet_skew"], 3)
 _feature_query("f_abnormal_duration", ["abnormal_flow_duration"])
 _feature_query("f_activity_ratio", ["activity_period_ratio"])
-_feature_query("f_proto_flag_rate", ["proto_0_flag_rate", "proto_6_flag_rate", "proto_17_flag_rate"], 3)
+
+@register("f_proto_flag_rate", feat_sql("SELECT flow_key, " + ", ".join(
+    f"round(proto_{p}_flag_rate, 3) AS proto_{p}_flag_rate" for p in (0, 6, 17)) + " FROM feat"))
+def f_proto_flag_rate(spark, sf_dir):
+    """Flags per packet of each protocol that the table holds."""
+    flows = adapters.flows(spark, sf_dir)
+    protocols = clean.fit_protocols(flows)
+    x = row_features(prepare_flows(flows, protocols))
+    return rounded(x.select("flow_key", *[f"proto_{p}_flag_rate" for p in protocols]), 3)
+
+
 _feature_query("f_flag_change_rate", ["flag_change_rate"], 3)
 _feature_query("f_anomaly_index", ["flow_anomaly_index"])
 
@@ -83,8 +94,7 @@ GROUP BY label
 def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per label group: flows, abnormal durations, flags, bytes/packet,
     peak packet rate, mean anomaly index."""
-    f = adapters.flows(spark, sf_dir)
-    x = engineer(prepare_flows(f))
+    x = feature_table(spark, sf_dir)
     x = clean.group_labels(clean.clean_label_text(x.withColumnRenamed("raw_label", "label"), "label"), "label")
     return (x.groupBy("label").agg(
         F.count(F.lit(1)).alias("n_flows"),

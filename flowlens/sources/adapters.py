@@ -40,7 +40,9 @@ def _label_case(l, o) -> F.Column:
 
 
 def flow_key_expr(l) -> F.Column:
-    return ((l.l_orderkey * 20011 + l.l_partkey) * 1009 + l.l_suppkey) * 8 + l.l_linenumber
+    """A key as long as orders stay below 2**24, parts below 2**21 and
+    suppliers below 2**15 (scale factor 3); 63 bits hold no more."""
+    return ((l.l_orderkey * 2097152 + l.l_partkey) * 32768 + l.l_suppkey) * 8 + l.l_linenumber
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +92,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FLOW_KEY_SQL = "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber"
+FLOW_KEY_SQL = "((l_orderkey * 2097152 + l_partkey) * 32768 + l_suppkey) * 8 + l_linenumber"
 
 FLOWS_SQL = f"""
 SELECT {FLOW_KEY_SQL} AS flow_key,
