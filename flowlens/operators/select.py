@@ -429,11 +429,13 @@ class Selection:
 
 def run_selection(train: DataFrame, candidates: list[str], top: int = K.TOP_K, key: str = "flow_key", label: str = "label",
                   trees: int = 200, rounds: int = 20, boruta_trees: int = 100, depth: int = DEPTH,
-                  methods: tuple[str, ...] = ("anova", "mi", "forest", "boruta")) -> Selection:
+                  methods: tuple[str, ...] = ("anova", "mi", "forest", "boruta"), forest_rows: int | None = None) -> Selection:
     """The whole job on the rows of a training split (write them first: they
     are read by every step): constants go, then features that correlate with
     an earlier one; the rest are ranked four ways on median-imputed values,
-    and the rankings' top lists are united in order."""
+    and the rankings' top lists are united in order.  ``forest_rows`` bounds
+    the rows that the forest ranking is fitted on (all by default) and, where
+    it is smaller than ``BORUTA_ROWS``, those of Boruta."""
     from .clean import encode_labels, fit_label_codes, fit_medians, impute_median
     spark = train.sparkSession
     m = moments(train, candidates, label)
@@ -455,9 +457,12 @@ def run_selection(train: DataFrame, candidates: list[str], top: int = K.TOP_K, k
     if "forest" in methods or "boruta" in methods:
         y = encode_labels(x, fit_label_codes(x, label), label, "y").checkpoint()
     if "forest" in methods:
-        ranks.append(("forest", top_k(rf_importance(y, feats, "y", trees, depth=depth), top)))
+        n = y.count()
+        part = y if not forest_rows or n <= forest_rows else y.where(
+            F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) < int(forest_rows / n * (1 << 40)))
+        ranks.append(("forest", top_k(rf_importance(part, feats, "y", trees, depth=depth), top)))
     if "boruta" in methods:
-        b = boruta_select(boruta_rows(y, "y", key), feats, "y", key, rounds, boruta_trees, depth=depth)
+        b = boruta_select(boruta_rows(y, "y", key, min(forest_rows or BORUTA_ROWS, BORUTA_ROWS)), feats, "y", key, rounds, boruta_trees, depth=depth)
         w = Window.orderBy(F.col("hits").desc(), F.col("feature"))
         ranks.append(("boruta", b.select("feature", F.col("hits").cast("double").alias("score"), F.row_number().over(w).alias("rank"), "selected")))
     order = {"anova": 0, "mi": 1, "forest": 2, "boruta": 3}

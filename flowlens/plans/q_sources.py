@@ -134,29 +134,3 @@ def src_json_log_tail(spark, sf_dir):
     io.write_json_log(a, path, "overwrite")
     t = io.read_json_log_tail(spark, path, 100, ATTACK_JSON_SCHEMA)
     return rounded(t.select("id", "ts", "attack_type", "severity", "confidence"), 9)
-
-
-@register("artifact_tables")
-def artifact_tables(spark, sf_dir):
-    """Fitted artifacts saved and re-loaded: medians, scaler, label codes,
-    feature list and a model; one row per artifact with its row count."""
-    from ..operators import models as md
-    from .q_select import SEL_FEATURES, train_rows
-    t = train_rows(spark, sf_dir)
-    feats = [f for f in SEL_FEATURES if f != "cwe_flag_count"]
-    base = scratch_path(spark, "artifacts")
-    arts = {
-        "medians": clean.fit_medians(t, feats),
-        "scaler": clean.fit_scaler(t, feats),
-        "label_codes": clean.fit_label_codes(t),
-        "features": spark.createDataFrame([(i, f) for i, f in enumerate(feats)], "position int, feature string"),
-    }
-    for k, v in arts.items():
-        io.save_params(v, f"{base}/{k}")
-    e = emb(spark, sf_dir).withColumn("features", md.array_to_vector(F.col("features_arr")))
-    m = md.train_logistic(e, "label", None, 20)
-    io.save_model(m, f"{base}/model")
-    io.load_model(f"{base}/model")
-    rows = [spark.read.parquet(f"{base}/{k}").agg(F.lit(k).alias("artifact"), F.count(F.lit(1)).alias("n"))
-            for k in arts]
-    return io.union_by_name(rows)

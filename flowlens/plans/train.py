@@ -1,15 +1,16 @@
 """Training chain: flows -> clean -> features -> split -> select -> impute /
-scale -> supervised candidates, the best of which is kept, linear
-reconstruction and isolation forest -> artifacts.
+scale -> supervised candidates, the best of which is kept, reconstruction
+and isolation forest -> artifacts.
 
-Everything fitted is a small table or an MLlib model; ``save`` / ``load``
-keep them under one folder so the scorer (batch or stream) uses exactly
-the same parameters.  Lineage is cut with a reliable checkpoint (shared
+Everything fitted is a small table or a model; ``save`` / ``load`` keep
+published versions under one folder so the scorer (batch or stream) uses
+exactly the same parameters.  Lineage is cut with a reliable checkpoint (shared
 folder) after the split, before the many selection passes.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import clean, explain as ex, features as fe, fusion as fu, iforest, models as md, select as sl
+from ..operators import boosting, clean, explain as ex, features as fe, fusion as fu, iforest, models as md, network, select as sl
 from ..operators.evaluate import fit_score_norm
 from ..operators.features import prepare_flows
 from ..sources import io
+from .registry import materialize
 
 CANDIDATES = ["flow_duration", "total_fwd_packets", "total_backward_packets", "fwd_packets_length_total",
               "bwd_packets_length_total", "fwd_packet_length_mean", "fwd_packet_length_min",
@@ -49,12 +51,13 @@ class Artifacts:
     deviation: DataFrame                # mean deviation per feature over the training rows
     comparison: DataFrame               # macro-F1 of each candidate on the hold-out
     isolation: DataFrame                # nodes of the isolation forest
-    classifier: PipelineModel           # the best candidate
-    recon: PipelineModel
+    rankings: DataFrame                 # the four feature rankings
+    classifier: PipelineModel | boosting.BoostedTrees      # the best candidate
+    recon: PipelineModel | network.AutoEncoder
 
 
 #: Fitted tables that are saved beside the two models.
-TABLES = ("medians", "scaler", "codes", "model_codes", "stats", "norm", "ranges", "deviation", "comparison", "isolation")
+TABLES = ("medians", "scaler", "codes", "model_codes", "stats", "norm", "ranges", "deviation", "comparison", "isolation", "rankings")
 
 
 def freeze(df: DataFrame) -> DataFrame:
@@ -70,50 +73,46 @@ def labelled_features(flows: DataFrame, protocols: list[str], stats: DataFrame)
     return clean.group_labels(clean.clean_label_text(x, "label"), "label").filter(F.col("label").isNotNull())
 
 
-def select_feature_list(train: DataFrame, candidates: list[str], top: int = K.TOP_K,
-                        use_forest: bool = False) -> list[str]:
-    """Prune constants and correlated features, rank by ANOVA and MI (and
-    optionally forest importance), union, drop non-real-time, force protocol
-    columns.  Only per-feature rows reach the driver."""
-    cands = [c for c in candidates if c in train.columns]
-    const = {r.feature for r in sl.constant_prune(train, cands).filter("constant").collect()}
-    cands = [c for c in cands if c not in const]
-    dropped = {r.feature for r in sl.corr_prune(train, cands).filter("dropped").collect()}
-    cands = [c for c in cands if c not in dropped]
-    med = clean.fit_medians(train, cands, exact=False)
-    imp = clean.impute_median(train.select("label", *[F.col(f"`{c}`") for c in cands]), med, cands)
-    imp = imp.checkpoint()                    # read by every ranking pass
-    ranks = [sl.top_k(sl.anova_scores(imp, cands), top, digits=6).select(F.lit(0).alias("method_order"), "feature",
-                                                                        "rank", "selected"),
-             sl.top_k(sl.mi_scores(imp, cands), top, digits=9).select(F.lit(1).alias("method_order"), "feature",
-                                                                     "rank", "selected")]
-    if use_forest:
-        codes = clean.fit_label_codes(imp)
-        y = clean.encode_labels(imp, codes, "label", "y")
-        ranks.append(sl.top_k(sl.rf_importance(y, cands, "y"), top).select(F.lit(2).alias("method_order"),
-                                                                             "feature", "rank", "selected"))
-    r = ranks[0]
-    for x in ranks[1:]:
-        r = r.unionByName(x)
-    sel = sl.select_features(r)
-    return [row.feature for row in sel.orderBy("position").collect()]
+def bounded(df: DataFrame, rows: int | None, key: str = "flow_key", seed: int = K.SEED) -> DataFrame:
+    """``df``, or of a larger table about ``rows`` rows by the hash of ``key``
+    (the models' bound on labelled rows)."""
+    n = df.count() if rows else 0
+    if not rows or n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
 
 
 def train(spark: SparkSession, flows: DataFrame, trees: int = 300, depth: int = 20, min_leaf: int = 5,
-          components: int = 8, use_forest_rank: bool = False, rounds: int = 300, iterations: int = 200,
-          isolation_trees: int = 200, candidates: tuple[str, ...] = ("logistic", "forest", "boosted")) -> Artifacts:
+          components: int = 8, rounds: int = 300, iterations: int = 200, isolation_trees: int = 200,
+          candidates: tuple[str, ...] = ("logistic", "forest", "boosted"), reconstruction: str = "network",
+          methods: tuple[str, ...] = ("anova", "mi", "forest", "boruta"), ranking: dict | None = None,
+          model_rows: int | None = None) -> Artifacts:
     """Fits everything the scorer needs on the training split.  Of the
-    ``candidates`` the one with the best macro-F1 on the hold-out is kept."""
+    ``candidates`` the one with the best macro-F1 on the hold-out is kept.
+
+    ``model_rows`` bounds the labelled rows that the classifiers and the two
+    forest rankings are fitted on (all by default); statistics, the other
+    rankings and the hold-out always cover all rows.  ``reconstruction`` is
+    ``network`` or ``pca``; ``ranking`` has further options of
+    ``select.run_selection``."""
     protocols = clean.fit_protocols(flows)
     stats = freeze(fe.fit_feature_stats(fe.row_features(prepare_flows(flows, protocols))))
     feats = labelled_features(flows, protocols, stats)
-    split = clean.stratified_split(feats, key="flow_key", col="label").checkpoint()   # reliable, shared folder
+    split = materialize(clean.stratified_split(feats, key="flow_key", col="label"))
     tr = split.filter(F.col("split") == "train")
     per_protocol = [n.format(p) for p in protocols for n in ("proto_{}", "proto_{}_flag_rate")]
-    features = select_feature_list(tr, list(dict.fromkeys(CANDIDATES + per_protocol)), use_forest=use_forest_rank)
-    medians = freeze(clean.fit_medians(tr, features, exact=False))
-    imp = clean.impute_median(split.select("flow_key", "label", "split", *[F.col(f"`{f}`") for f in features]),
-                              medians, features)
+    names = [c for c in dict.fromkeys(CANDIDATES + per_protocol) if c in split.columns]
+    chosen = sl.run_selection(tr, names, methods=methods, forest_rows=model_rows, **(ranking or {}))
+    features = chosen.features
+    lack = tr.agg(*[F.count_if(F.col(f"`{f}`").isNull()).alias(f) for f in features if f in split.columns]).first().asDict()
+    medians = clean.fit_medians(tr, [f for f in features if lack.get(f)]).first().asDict() if any(lack.values()) else {}
+    zero = {f: 0.0 for f in features if f not in split.columns}
+    median = {f: medians.get(f, zero.get(f, 0.0)) for f in features}
+    exact = [f for f in features if f in split.columns and f not in medians]
+    if exact:                                   # a new batch may lack what the training rows have
+        median.update(clean.fit_medians(tr, exact, exact=False).first().asDict())
+    medians = spark.createDataFrame([tuple(median[f] for f in features)], ", ".join(f"`{f}` double" for f in features))
+    imp = clean.impute_median(clean.align_features(split, features, ["flow_key", "label", "split"]), medians, features)
     scaler = freeze(clean.fit_scaler(imp.filter(F.col("split") == "train"), features))
     scaled = md.assemble(clean.standard_scale(imp, scaler, features), features).select(
         "flow_key", "label", "split", "features").checkpoint()       # feeds codes and all models
@@ -121,7 +120,7 @@ def train(spark: SparkSession, flows: DataFrame, trees: int = 300, depth: int =
     codes = freeze(clean.fit_label_codes(known))
     rows, model_codes = clean.filter_rare_reencode(known, codes)
     model_codes = freeze(model_codes)
-    weighted = md.class_weights(rows, "model_code")
+    weighted = md.class_weights(bounded(rows, model_rows), "model_code").checkpoint()      # read by every candidate
     fit = {"logistic": lambda: md.train_logistic(weighted, "model_code", "weight", iterations),
            "forest": lambda: md.train_forest(weighted, "model_code", "weight", trees, depth, min_leaf),
            "boosted": lambda: md.train_boosted(weighted, "model_code", "weight", rounds)}
@@ -131,7 +130,7 @@ def train(spark: SparkSession, flows: DataFrame, trees: int = 300, depth: int =
     comparison = freeze(md.choose_model(models, holdout, "model_code"))
     classifier = models[comparison.filter("best").orderBy("model").first()["model"]]
     benign = known.filter(F.col("label") == K.BENIGN)
-    recon = md.train_reconstruction(benign, min(components, len(features)))
+    recon = md.train_network(benign) if reconstruction == "network" else md.train_reconstruction(benign, min(components, len(features)))
     arrays = known.withColumn("features_arr", md.vector_to_array("features"))
     benign_arr = arrays.filter(F.col("label") == K.BENIGN)
     err = md.reconstruct(recon, benign_arr.select("features_arr"), "features_arr")
@@ -144,24 +143,42 @@ def train(spark: SparkSession, flows: DataFrame, trees: int = 300, depth: int =
     isolation = iforest.fit(benign_arr.select("flow_key", "features_arr"), "features_arr", "flow_key",
                             trees=isolation_trees).checkpoint()
     return Artifacts(protocols, features, medians, scaler, codes, model_codes, stats, norm, ranges, deviation,
-                     comparison, isolation, classifier, recon)
+                     comparison, isolation, chosen.rankings, classifier, recon)
 
 
-def save(a: Artifacts, path: str) -> None:
+def save(a: Artifacts, path: str) -> int:
+    """Writes ``a`` to a folder of its own below ``path`` and publishes it when
+    all of it is there; a reader sees the version before or this one, never a
+    mixture.  Returns the version's number."""
     spark = a.medians.sparkSession
+    name = f"v-{uuid.uuid4().hex}"
+    at = f"{path}/{name}"
     io.save_params(spark.createDataFrame([(i, p) for i, p in enumerate(a.protocols)], "position int, value string"),
-                   f"{path}/protocols")
+                   f"{at}/protocols")
     io.save_params(spark.createDataFrame([(i, f) for i, f in enumerate(a.features)], "position int, feature string"),
-                   f"{path}/features")
-    for name in TABLES:
-        io.save_params(getattr(a, name), f"{path}/{name}")
-    io.save_model(a.classifier, f"{path}/classifier")
-    io.save_model(a.recon, f"{path}/recon")
-
-
-def load(spark: SparkSession, path: str) -> Artifacts:
-    protocols = [r.value for r in spark.read.parquet(f"{path}/protocols").orderBy("position").collect()]
-    features = [r.feature for r in spark.read.parquet(f"{path}/features").orderBy("position").collect()]
-    tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES}
-    return Artifacts(protocols, features, **tables, classifier=io.load_model(f"{path}/classifier"),
-                     recon=io.load_model(f"{path}/recon"))
+                   f"{at}/features")
+    for t in TABLES:
+        io.save_params(getattr(a, t), f"{at}/{t}")
+    kinds = [(n, "trees" if isinstance(m, boosting.BoostedTrees) else "network" if isinstance(m, network.AutoEncoder) else "pipeline")
+             for n, m in (("classifier", a.classifier), ("recon", a.recon))]
+    io.save_params(spark.createDataFrame(kinds, "name string, kind string"), f"{at}/models")
+    io.save_model(a.classifier, f"{at}/classifier", spark)
+    io.save_model(a.recon, f"{at}/recon", spark)
+    return io.publish(spark, path, name)
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> Artifacts:
+    """The newest published version below ``path``, or the one numbered
+    ``version``."""
+    found = [v for v in io.published(spark, path) if version in (None, v[0])]
+    if not found:
+        raise FileNotFoundError(f"no published artifacts {'' if version is None else f'number {version} '}in {path}")
+    at = f"{path}/{found[-1][1]}"
+    protocols = [r.value for r in spark.read.parquet(f"{at}/protocols").orderBy("position").collect()]
+    features = [r.feature for r in spark.read.parquet(f"{at}/features").orderBy("position").collect()]
+    tables = {n: spark.read.parquet(f"{at}/{n}") for n in TABLES}
+    kinds = {r["name"]: r["kind"] for r in spark.read.parquet(f"{at}/models").collect()}
+    read = {"trees": lambda p: boosting.from_table(spark.read.parquet(p)),
+            "network": lambda p: network.from_table(spark.read.parquet(p)), "pipeline": io.load_model}
+    return Artifacts(protocols, features, **tables, classifier=read[kinds["classifier"]](f"{at}/classifier"),
+                     recon=read[kinds["recon"]](f"{at}/recon"))

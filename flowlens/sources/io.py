@@ -118,13 +118,43 @@ def write_json_log(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).options(**JSON_TIME).json(path)
 
 
+# ------------------------------------------------- published versions ----
+
+def publish(spark: SparkSession, base: str, name: str) -> int:
+    """Makes the finished folder ``base/name`` the newest version, by creating
+    one empty file whose name says so: it is there whole or not at all.
+    Returns its number; versions published at the same time get different
+    ones."""
+    fs, folder = _fs(spark, f"{base}/published")
+    fs.mkdirs(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    number = max((n for n, _ in published(spark, base)), default=0) + 1
+    while not fs.createNewFile(path(folder, f"{number:012d}-{name}")):
+        number += 1
+    return number
+
+
+def published(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    """``(number, folder)`` of the published versions, oldest first.  Two that
+    drew the same number at once come in the order of their names."""
+    fs, folder = _fs(spark, f"{base}/published")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted((int(n[:12]), n[13:]) for n in names if not n.startswith((".", "_")))
+
+
 def save_params(df: DataFrame, path: str) -> None:
     """A fitted parameter table (one or a few rows) as parquet."""
     df.coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model, path: str, spark: SparkSession | None = None) -> None:
+    """A fitted pipeline, or a model that is a table (trees, a network)."""
+    if hasattr(model, "table"):
+        save_params(model.table(spark), path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def load_model(path: str) -> PipelineModel:
