@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import batch, columns
+from .common import batch, columns, stage
 
 #: Words of the shortest tile.
 SEED = 5
@@ -175,8 +176,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kind = ("id long, item long, coverage double, tiled_words int, item_words int, "
             "tiles array<struct<doc_word:int,item_word:int,words:int>>")
-    out = None
+    parts = []
     for block in blocks(benchmark, item_col, item_text, seed, block_bytes):
-        part = plain.mapInArrow(_scan(spark.sparkContext.broadcast(block), coverage), kind)
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], kind) if out is None else out
+        # Written at once, so that a block is let go before the next is made.
+        shared = spark.sparkContext.broadcast(block)
+        parts.append(stage(plain.mapInArrow(_scan(shared, coverage), kind), "hits"))
+        shared.destroy()
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], kind)

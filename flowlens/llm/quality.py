@@ -64,8 +64,18 @@ def _count(n_buckets):
 def labelled_sample(labels: DataFrame, column: str, limit: int = MAX_LABELLED, id_col: str = "doc_id") -> DataFrame:
     """At most ``limit`` labelled ids ``(id, y)`` in a fixed pseudo-random
     order; null ids and labels are left out."""
-    return (labels.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("int").alias("y")).dropna()
-            .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit))
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("int").alias("y")).dropna()
+    return lowest_hashes(known, ["id"], limit).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
+
+
+def lowest_hashes(df: DataFrame, cols: list[str], limit: int) -> DataFrame:
+    """The rows whose hash of ``cols`` is low enough that about 1.5 times
+    ``limit`` remain, so that sorting out the lowest ``limit`` merges few rows
+    however many partitions there are."""
+    n = df.count()
+    if n <= 2 * limit:
+        return df
+    return df.where(F.xxhash64(*cols) < int(1.5 * limit / n * (1 << 64)) - (1 << 63))
 
 
 def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -113,7 +123,9 @@ def gumbel(id_col: str, seed: int):
 
 def top_k(scored: DataFrame, k: int, key: str = "sample_key", tie: str = "id", small: int = 20_000) -> DataFrame:
     """Adds ``selected``: whether a row is among the ``k`` with the largest
-    key, ties by the smaller id, then arbitrary among equal rows.
+    key, ties by the smaller id (null ids last), then arbitrary among equal
+    rows; exactly ``k`` rows are (all, if there are fewer).  Keys are numbers,
+    never null.
 
     The cut is found by repeatedly counting 1,024 slices of the interval that
     holds it, so no rows are sorted together but those of the last interval,
@@ -139,19 +151,52 @@ def top_k(scored: DataFrame, k: int, key: str = "sample_key", tie: str = "id", s
                 break
             above += r.c
     need = k - above
-    # Ties in one key can be many: they are cut by the id in the same way.
-    edge = inside.groupBy(key, tie).count().orderBy(F.desc(key), F.asc(tie)).limit(need).collect() if need <= small else None
-    if edge is None:
-        return top_k(scored.where(F.col(key) == low).withColumn("_tie", -F.col(tie).cast("double")), need, "_tie", tie,
-                     small).drop("_tie").unionByName(
-            scored.where(F.col(key) != low).withColumn("selected", F.col(key) > low))
-    last = edge[0]
-    for r in edge:
-        if need <= 0:
+    if need > small and low == high:
+        # Ties in one key can be many: they are cut by the id in the same way.
+        rest = scored.where(F.col(key) != low).withColumn("selected", F.col(key) > low)
+        equal = scored.where(F.col(key) == low)
+        named, nameless = equal.where(F.col(tie).isNotNull()), equal.where(F.col(tie).isNull())
+        m = named.count()
+        return rest.unionByName(top_k(named.withColumn("_tie", -F.col(tie).cast("double")), need, "_tie", tie, small).drop("_tie")
+                                ).unionByName(_first(nameless, need - m))
+    last, left = None, need
+    for r in inside.groupBy(key, tie).count().orderBy(F.desc(key), F.asc_nulls_last(tie)).limit(need).collect():
+        last, left = r, left - r["count"]
+        if left <= 0:
             break
-        last, need = r, need - r["count"]
-    return scored.withColumn("selected", (F.col(key) > last[key]) | (
-        (F.col(key) == last[key]) & (F.col(tie) <= last[tie])))
+    here = (F.col(key) == last[key]) & F.col(tie).eqNullSafe(F.lit(last[tie]).cast(scored.schema[tie].dataType))
+    before = F.col(tie).isNotNull() if last[tie] is None else F.coalesce(F.col(tie) < last[tie], F.lit(False))
+    outside = scored.where(~here).withColumn("selected", (F.col(key) > last[key]) | ((F.col(key) == last[key]) & before))
+    return outside.unionByName(_first(scored.where(here), left + last["count"]))
+
+
+def _first(rows: DataFrame, k: int) -> DataFrame:
+    """Marks ``k`` of some equal rows: each partition learns how many of its
+    rows count, so they are neither sorted nor moved."""
+    if k <= 0:
+        return rows.withColumn("selected", F.lit(False))
+    sizes = {r["p"]: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    if k >= sum(sizes.values()):
+        return rows.withColumn("selected", F.lit(True))
+    quota = {}
+    for p in sorted(sizes):
+        quota[p] = min(sizes[p], k)
+        k -= quota[p]
+    out = rows.withColumn("_p", F.spark_partition_id())
+    names = rows.columns
+
+    def run(batches):
+        left = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if left is None:
+                left = quota.get(b.column("_p")[0].as_py(), 0)
+            mark = np.arange(b.num_rows) < left
+            left -= int(mark.sum())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(mark)], [*names, "selected"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", selected boolean"
+    return out.mapInArrow(run, schema)
 
 
 def best_cut(weight: np.ndarray, y: np.ndarray) -> float:

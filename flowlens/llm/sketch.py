@@ -3,13 +3,17 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range.
 What is kept depends on the shingle alone, so the sketch of a union is the
 union of the sketches, and the share of common hashes estimates Jaccard and
-containment between texts of any lengths.
+containment between texts of any lengths.  A text of which too few hashes
+would be kept has a larger fraction, doubled until enough are, or all; two
+sketches are compared, and merged, at the smaller fraction of the two, to
+which the other is cut.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,68 +22,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, columns
-from .textvec import Substrings, mix
+from .textvec import Substrings
 
 #: Bytes of a shingle; a shorter text that is not empty is one shingle.
 SHINGLE = 8
 #: One shingle in so many is kept.
 SCALE = 16
+#: Hashes that a sketch has at least, unless it has all.
+ENOUGH = 256
 #: Rows that share a stretch of ids, the unit of work of the pairing.
 STRETCH = 500
 
 _KEEP = 48                                             # bits kept of a hash
 
 
-def sketch(text: bytes, shingle: int = SHINGLE, scale: int = SCALE) -> np.ndarray:
-    """The sorted distinct hashes, cut to 48 bits, that lie below
-    ``2**64 / scale``; the cut is the same for all, so equal shingles still
-    agree."""
+@dataclass
+class Sketch:
+    """The whole text's hash, one in how many shingles is kept, and the sorted
+    distinct hashes, cut to 48 bits, that lie below that fraction."""
+    name: str
+    scale: int
+    hashes: np.ndarray
+
+    def at(self, scale: int) -> np.ndarray:
+        """The hashes of the sketch at a coarser scale."""
+        return self.hashes[:np.searchsorted(self.hashes, np.uint64(_limit(scale)))]
+
+
+def _limit(scale: int) -> int:
+    return (1 << _KEEP) // scale
+
+
+def sketch(text: bytes, shingle: int = SHINGLE, scale: int = SCALE, enough: int = ENOUGH) -> Sketch:
+    """``scale`` is a power of two; it is halved while fewer than ``enough``
+    hashes are kept."""
+    name = hashlib.blake2b(text, digest_size=8).hexdigest()
     if not text:
-        return np.zeros(0, np.uint64)
+        return Sketch(name, 1, np.zeros(0, np.uint64))
     s = Substrings(np.frombuffer(text, np.uint8))
     h = s.windows(shingle) if len(text) >= shingle else s.hash(np.array([0]), np.array([len(text)]))
-    low = h[h < np.uint64((1 << 64) // scale - 1 if scale > 1 else (1 << 64) - 1)]
-    return np.unique(mix(low) >> np.uint64(64 - _KEEP))
+    h = h >> np.uint64(64 - _KEEP)
+    while True:
+        kept = np.unique(h[h < np.uint64(_limit(scale))])
+        if scale == 1 or len(kept) >= enough:
+            return Sketch(name, scale, kept)
+        scale //= 2
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of two texts' shingles together."""
-    return np.union1d(a, b)
+def merge(a: Sketch, b: Sketch) -> np.ndarray:
+    """The hashes of two texts' shingles together, at the coarser scale."""
+    scale = max(a.scale, b.scale)
+    return np.union1d(a.at(scale), b.at(scale))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Estimated share of ``a``'s shingles that ``b`` has; zero if ``a`` kept
-    none."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
+    none at the coarser scale."""
+    scale = max(a.scale, b.scale)
+    x = a.at(scale)
+    return len(np.intersect1d(x, b.at(scale), assume_unique=True)) / len(x) if len(x) else 0.0
 
 
-def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
-    """Estimated Jaccard of two fingerprints ``(whole-text hash, sketch)``:
-    one for equal texts, zero if neither sketch kept a hash."""
-    if a[0] == b[0]:
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Estimated Jaccard: one for equal texts, zero if neither sketch has a
+    hash."""
+    if a.name == b.name:
         return 1.0
-    both = len(np.intersect1d(a[1], b[1], assume_unique=True))
-    union = len(a[1]) + len(b[1]) - both
+    scale = max(a.scale, b.scale)
+    x, y = a.at(scale), b.at(scale)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
     return both / union if union else 0.0
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, scale: int = SCALE) -> tuple[str, np.ndarray]:
-    return hashlib.blake2b(text, digest_size=8).hexdigest(), sketch(text, shingle, scale)
-
-
-def encode(f: tuple[str, np.ndarray]) -> str:
-    """The whole-text hash, a colon, and the sketch's 6-byte values in
-    base64."""
-    raw = f[1].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _KEEP // 8:]
-    return f"{f[0]}:{base64.b64encode(raw.tobytes()).decode()}"
+def encode(f: Sketch) -> str:
+    """The whole-text hash, the scale, and the sketch's 6-byte values in
+    base64, set apart by colons."""
+    raw = f.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _KEEP // 8:]
+    return f"{f.name}:{f.scale}:{base64.b64encode(raw.tobytes()).decode()}"
 
 
-def decode(s: str) -> tuple[str, np.ndarray]:
-    name, _, body = s.partition(":")
+def decode(s: str) -> Sketch:
+    name, scale, body = s.split(":")
     raw = np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, _KEEP // 8)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, 8 - _KEEP // 8:] = raw
-    return name, wide.view(">u8").ravel().astype(np.uint64)
+    return Sketch(name, int(scale), wide.view(">u8").ravel().astype(np.uint64))
 
 
 def edited(text: str, other: str) -> str:
@@ -101,13 +129,13 @@ def _pairs(shingle, scale):
             rows = []
             for p, o, i, t in zip(stretch, own, ids, texts):
                 t = t or ""
-                here = (p, o, i, t, fingerprint(t.encode(), shingle, scale))
+                here = (p, o, i, t, sketch(t.encode(), shingle, scale))
                 if last and last[0] == p and last[1]:
                     _, _, i0, t0, f0 = last
                     e = edited(t0, t).encode()
-                    fe = fingerprint(e, shingle, scale)
+                    fe = sketch(e, shingle, scale)
                     rows.append((i0, len(t0), hashlib.sha256(e).hexdigest(), encode(f0), encode(fe), likeness(f0, fe),
-                                 likeness(f0, here[4]), containment(f0[1], fe[1]), containment(f0[1], here[4][1])))
+                                 likeness(f0, here[4]), containment(f0, fe), containment(f0, here[4])))
                 last = here
             if rows:
                 yield batch(_OUT, *zip(*rows))
@@ -146,8 +174,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The next document follows in ascending order of the id, then of the text's
     hash; the first one follows the last.  Rows with a null id come last.  A
-    null text is an empty one; its sketch is empty, as that of any text none
-    of whose shingles is kept.  Repeated rows follow each other; extra columns
+    null text is an empty one; its sketch is empty.  Of short texts all
+    shingles are kept, so that their likeness is exact.  Repeated rows follow each other; extra columns
     are ignored; an empty table gives an empty one.  Ids are dealt into
     stretches between quantiles of the ids; the first rows of a stretch also
     go to the stretch before it, so each text moves once.

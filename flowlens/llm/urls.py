@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, with_small
+from .quality import lowest_hashes
 
 #: Labelled URLs that the trees learn from at most, in a fixed pseudo-random
 #: order; suffix statistics cover all rows.
@@ -131,7 +132,8 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
         table = _suffix_statistics(table, key, size, share)
     table = stage(table.withColumns({c: F.col(c).cast("double") for c in FEATURES}).select(
         "id", "host", "path", "fit", "label", "url", *FEATURES), "features")
-    known = stage(table.where("label is not null").orderBy(F.xxhash64("url", "id"), "id").limit(max_labelled), "labelled")
+    known = stage(lowest_hashes(table.where("label is not null"), ["url", "id"], max_labelled).orderBy(
+        F.xxhash64("url", "id"), "id").limit(max_labelled), "labelled")
     kinds = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(kinds) == 2:
         # Both kinds weigh the same, whatever the rules' share of each.
