@@ -23,6 +23,54 @@ def test_top_k_is_exact(spark):
             assert got == {i for i, _ in order[:k]}, (k, small)
 
 
+@pytest.mark.parametrize("small", [2, 20_000])
+def test_top_k_takes_exactly_k(spark, small):
+    """Null ids and equal rows: k rows are selected and none is undecided."""
+    rows = ([(None, 5.0)] * 3 + [(7, 5.0)] * 4 + [(8, 5.0), (9, 5.0)] + [(1, 9.0), (2, 1.0), (None, 1.0), (3, 4.0)]
+            + [(None, 4.0)] * 30 + [(4, 4.0)] * 30)
+    df = spark.createDataFrame(rows, "id long, sample_key double").repartition(3)
+    order = sorted(rows, key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+    for k in ((6, 20) if small == 2 else (2, 9, 50)):
+        got = quality.top_k(df, k, small=small).collect()
+        assert len(got) == len(rows) and all(r.selected is not None for r in got)
+        assert sorted(((r.id, r.sample_key) for r in got if r.selected), key=str) == sorted(order[:k], key=str), k
+
+
+def test_log_weights_against_plain_counts(spark):
+    """Counts of hashed unigrams and bigrams of good and of all texts."""
+    texts = ["good words here and there", "bad words", "good day, good words", "", None, "other things"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sample = spark.createDataFrame([(0, 1), (2, 1), (1, 0)], "id long, y int")
+    n = 64
+    ratio = quality.fit(docs, sample, n_buckets=n, prior=0.5)
+    grams = [quality.buckets([(t or "").encode()], n)[0].tolist() for t in texts]
+    raw = np.bincount([g for t in grams for g in t], minlength=n)
+    good = np.bincount(grams[0] + grams[2], minlength=n)
+    want = np.where(raw > 0, np.log((good + 0.5) / (raw * good.sum() / raw.sum() + 0.5)), 0)
+    assert np.allclose(ratio, want)
+    got = {r.id: r for r in quality.log_weights(docs, ratio).collect()}
+    for i, g in enumerate(grams):
+        assert got[i].n_grams == len(g) and abs(got[i].log_weight - sum(want[g])) < 1e-9
+
+
+def test_labelled_sample_is_the_lowest_hashes(spark):
+    labels = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    got = {r.id for r in quality.labelled_sample(labels, "quality", 500).collect()}
+    want = {r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(500).collect()}
+    assert got == want
+
+
+def test_benchmark_in_many_blocks(spark, docs):
+    """However small the blocks, the hits are the same."""
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(30)], "item_id long, text string")
+    rows = [(i, f"a b c {' '.join(f'w{i}x{k}' for k in range(9))} d e f") for i in range(0, 30, 3)]
+    table = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, item_id string")
+    want = [(i, i) for i, _ in rows]
+    for size in (1, 200, 1 << 24):
+        got = decontam.contaminated(table, bench.withColumn("doc_id", F.lit("q")), block_bytes=size).select("id", "item").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.resample(docs, training_labels(labels))

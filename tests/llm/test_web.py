@@ -9,11 +9,38 @@ from flowlens.llm.queries import URL_RULES
 def test_sketch_of_a_union_and_containment():
     a, b = (" ".join(f"w{i}" for i in range(x, y)).encode() for x, y in ((0, 4000), (2000, 4000)))
     whole, part = sketch.sketch(a), sketch.sketch(b)
-    assert set(sketch.merge(whole, part)) == set(whole) | set(part)
+    scale = max(whole.scale, part.scale)
+    assert set(sketch.merge(whole, part)) == set(whole.at(scale)) | set(part.at(scale))
     assert sketch.containment(part, whole) > 0.98 and 0.4 < sketch.containment(whole, part) < 0.6
-    f = sketch.fingerprint(a)
-    name, values = sketch.decode(sketch.encode(f))
-    assert name == f[0] and (values == f[1]).all()
+    again = sketch.decode(sketch.encode(whole))
+    assert (again.name, again.scale) == (whole.name, whole.scale) and (again.hashes == whole.hashes).all()
+
+
+def test_a_coarser_scale_is_the_coarser_sketch():
+    text = " ".join(f"word{i * 7919}" for i in range(900)).encode()
+    dense = sketch.sketch(text, scale=1)
+    for scale in (2, 4, 8, 16):
+        assert (dense.at(scale) == sketch.sketch(text, scale=scale, enough=0).hashes).all()
+    assert sketch.sketch(b"a few words only").scale == 1
+
+
+def exact_likeness(a, b):
+    grams = [{t[i:i + 8] for i in range(max(1, len(t) - 7))} if t else set() for t in (a, b)]
+    return len(grams[0] & grams[1]) / len(grams[0] | grams[1]) if grams[0] | grams[1] else 1.0
+
+
+def test_likeness_against_exact_jaccard(spark):
+    """All documents of the small tables and their edited texts: the estimate
+    is near the exact Jaccard, for short texts it is the exact one."""
+    rows = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    errors, short = [], []
+    for t, n in zip(rows, rows[1:]):
+        a, b = t.encode(), sketch.edited(t, n).encode()
+        x, y = sketch.sketch(a), sketch.sketch(b)
+        error = abs(sketch.likeness(x, y) - exact_likeness(a, b))
+        (short if max(x.scale, y.scale) == 1 else errors).append(error)
+    assert max(short) < 1e-9 and len(short) > 50
+    assert max(errors) < 0.1 and sum(errors) / len(errors) < 0.02
 
 
 def test_compare_with_next(spark, docs, corpus, empty):
@@ -29,7 +56,7 @@ def test_compare_with_next(spark, docs, corpus, empty):
             e = t[:len(t) - q] + n[:q]
             f, g = sketch.decode(by[i].fingerprint), sketch.decode(by[i].edited_fingerprint)
             assert by[i].n_chars == len(t) and by[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-            assert g[0] == sketch.fingerprint(e.encode())[0] and by[i].near_edited == sketch.likeness(f, g)
+            assert g.name == sketch.sketch(e.encode()).name and by[i].near_edited == sketch.likeness(f, g)
             assert by[i].near_next == sketch.likeness(f, sketch.decode(by[j].fingerprint))
     assert sketch.compare_with_next(empty).count() == 0
     one = sketch.compare_with_next(spark.createDataFrame([(4, "abcd" * 9)], "doc_id long, text string")).first()
