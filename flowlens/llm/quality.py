@@ -155,6 +155,8 @@ def top_k(scored: DataFrame, k: int, key: str = "sample_key", tie: str = "id", s
         # Ties in one key can be many: they are cut by the id in the same way.
         rest = scored.where(F.col(key) != low).withColumn("selected", F.col(key) > low)
         equal = scored.where(F.col(key) == low)
+        if key == "_tie":                              # one id: equal rows
+            return rest.unionByName(_first(equal, need))
         named, nameless = equal.where(F.col(tie).isNotNull()), equal.where(F.col(tie).isNull())
         m = named.count()
         return rest.unionByName(top_k(named.withColumn("_tie", -F.col(tie).cast("double")), need, "_tie", tie, small).drop("_tie")
