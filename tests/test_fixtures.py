@@ -236,3 +236,22 @@ def test_running_sums_over_ranges(spark):
         for rank, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == sensor), key=lambda r: (r[1], r[2]))):
             cum += v
             assert got[i] == (rank, cum)
+
+
+def test_quantile_brackets_are_counted_not_sketched(spark):
+    """No task holds a sketch of a column: brackets come from counted
+    stretches, and each holds a wanted rank and few rows or one value."""
+    import numpy as np
+    from flowlens.operators import quantiles as qu
+    rnd = np.random.default_rng(4)
+    x = rnd.lognormal(3, 4, 20000).tolist()
+    df = spark.createDataFrame([(v, float(k % 3), -v if k % 7 else None) for k, v in enumerate(x)],
+                               "x0 double, x1 double, x2 double").repartition(5)
+    size, spans = qu._brackets(df, [0.0, 0.25, 0.9, 1.0], 100_000)
+    assert size == [20000, 20000, sum(k % 7 > 0 for k in range(20000))]
+    assert spans[1] == [(0.0, 0.0), (2.0, 2.0)]
+    x = np.sort(x)
+    for lo, hi in spans[0]:
+        assert lo == hi or ((x >= lo) & (x <= hi)).sum() <= 1000
+    for k in (0, 4999, 5000, 17999, 18000, 19999):
+        assert any(lo <= x[k] <= hi for lo, hi in spans[0])
