@@ -34,3 +34,11 @@ def test_roc_prefix_is_bucketed(spark):
     df = queries()["roc_curve"](spark, SF_SMALL)
     p = df._jdf.queryExecution().optimizedPlan().toString()
     assert "__b" in p
+
+
+def test_wide_projections_compile_to_machine_code(spark):
+    """HotSpot does not compile methods above 8,000 bytes: no generated stage
+    of the flow features may stay whole above that."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    queries()["constant_prune"](spark, SF_SMALL)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
