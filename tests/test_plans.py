@@ -42,3 +42,11 @@ def test_wide_projections_compile_to_machine_code(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     queries()["constant_prune"](spark, SF_SMALL)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_reports_join_the_flows_once(spark):
+    """Ranges, decisions and metadata read written results: no join of
+    lineitem and orders is left in the plan to run again."""
+    for name in ("alert_log_rows", "decision_table", "join_metadata", "q_flow_summary", "q_live_traffic"):
+        p = queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in p, name
