@@ -50,3 +50,15 @@ def test_reports_join_the_flows_once(spark):
     for name in ("alert_log_rows", "decision_table", "join_metadata", "q_flow_summary", "q_live_traffic"):
         p = queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "l_orderkey" not in p, name
+
+
+def test_row_attribution_has_no_join(spark):
+    """Rows that a Python step has multiplied are never broadcast; a key's
+    copies are judged together and rows without a key have no class."""
+    from flowlens.operators import explain as ex
+    rows = [(1, 0, 0, 0.1, 0.5), (1, 0, 1, -0.3, 0.5), (1, 1, 0, 0.2, 0.4), (1, 1, 1, 0.1, 0.4), (2, 0, 0, 0.2, 0.5),
+            (2, 1, 0, -0.2, 0.4), (None, 0, 0, 9.0, 0.5)]
+    out = ex.row_attribution(spark.createDataFrame(rows, "k long, class int, feature int, phi double, base double"), "k")
+    assert "Join" not in _plan(out)
+    assert out.columns == ["k", "class", "feature", "phi", "base", "top_class", "top_base"]
+    assert sorted(map(tuple, out.collect())) == [(*r, 0, 0.5) for r in rows[:-1]]
