@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..sources import adapters
-from .registry import freeze, register, rounded
+from .registry import freeze, materialize, register, rounded
 from .sql_common import any_sql
 
 
@@ -33,9 +33,9 @@ def psql(body: str, extra: str = "") -> str:
     return any_sql(body, "predictions", extra=base + (",\n" + extra if extra else ""))
 
 
-def fpr_budget(spark, sf):
-    """The FPR-budget threshold as a one-row local table."""
-    return freeze(ev.threshold_fpr_budget(preds(spark, sf), attack(), "ae_score"))
+def fpr_budget(p):
+    """The FPR-budget threshold of predictions as a one-row local table."""
+    return freeze(ev.threshold_fpr_budget(p, attack(), "ae_score"))
 
 
 # ------------------------------------------------------------ classes ----
@@ -115,7 +115,7 @@ def roc_auc(spark, sf_dir):
 
 @register("threshold_fpr_budget", psql("SELECT threshold FROM thr"))
 def threshold_fpr_budget(spark, sf_dir):
-    return fpr_budget(spark, sf_dir)
+    return fpr_budget(preds(spark, sf_dir))
 
 
 @register("threshold_youden", psql(
@@ -134,10 +134,11 @@ FROM yb CROSS JOIN (
   UNION ALL SELECT 'fpr_budget', (SELECT threshold FROM thr)) t GROUP BY name, threshold"""))
 def eval_thresholds(spark, sf_dir):
     """FPR % / TPR % at the benign P99, the ROC-optimal and the FPR-budget thresholds."""
-    p = preds(spark, sf_dir)
+    # many passes read these two columns: the join behind them runs once
+    p = materialize(preds(spark, sf_dir).select("actual_code", "ae_score"))
     p99 = ev.percentile_threshold(p.filter(~attack()), "ae_score", 0.99).select(F.col("threshold").alias("p99"))
     yo = ev.threshold_youden(p, attack(), "ae_score").select(F.col("threshold").alias("roc_optimal"))
-    fb = fpr_budget(spark, sf_dir).select(F.col("threshold").alias("fpr_budget"))
+    fb = fpr_budget(p).select(F.col("threshold").alias("fpr_budget"))
     out = ev.eval_thresholds(p, attack(), "ae_score", freeze(p99.crossJoin(yo).crossJoin(fb)))
     return rounded(out, 6, only=["fpr_pct", "tpr_pct"])
 
@@ -147,7 +148,7 @@ SELECT sum(CASE WHEN ae_score >= threshold THEN 1 ELSE 0 END)::BIGINT AS flagged
   sum(CASE WHEN ae_score >= threshold AND y = 0 THEN 1 ELSE 0 END)::BIGINT AS false_positives,
   sum(y)::BIGINT AS expected_anomalies FROM yb CROSS JOIN thr"""))
 def false_positive_count(spark, sf_dir):
-    return ev.false_positive_count(preds(spark, sf_dir), attack(), "ae_score", fpr_budget(spark, sf_dir))
+    return ev.false_positive_count(preds(spark, sf_dir), attack(), "ae_score", fpr_budget(preds(spark, sf_dir)))
 
 
 @register("fp_scenarios", psql("""
@@ -166,7 +167,7 @@ bands AS (SELECT 'light' AS band, q[1] AS lo, q[2] AS hi FROM q UNION ALL SELECT
 def fp_scenarios(spark, sf_dir):
     """Benign errors in percentile bands vs the FPR-budget threshold, PASS < 5 %."""
     p = preds(spark, sf_dir)
-    return ev.fp_scenarios(p.filter(~attack()), "ae_score", fpr_budget(spark, sf_dir))
+    return ev.fp_scenarios(p.filter(~attack()), "ae_score", fpr_budget(preds(spark, sf_dir)))
 
 
 NORM_SQL = ("nrm AS (SELECT quantile_cont(ae_score, 0.0) AS p0, quantile_cont(ae_score, 0.99) AS p99 "
@@ -186,7 +187,7 @@ CROSS JOIN nrm CROSS JOIN thr""", NORM_SQL))
 def normalized_means(spark, sf_dir):
     p = preds(spark, sf_dir)
     norm = freeze(ev.fit_score_norm(p.filter(~attack()), "ae_score"))
-    return rounded(ev.normalized_means(p, attack(), "ae_score", norm, fpr_budget(spark, sf_dir)), 9)
+    return rounded(ev.normalized_means(p, attack(), "ae_score", norm, fpr_budget(preds(spark, sf_dir))), 9)
 
 
 @register("ae_params_table", psql(f"""

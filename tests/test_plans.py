@@ -62,3 +62,12 @@ def test_row_attribution_has_no_join(spark):
     assert "Join" not in _plan(out)
     assert out.columns == ["k", "class", "feature", "phi", "base", "top_class", "top_base"]
     assert sorted(map(tuple, out.collect())) == [(*r, 0, 0.5) for r in rows[:-1]]
+
+
+def test_thresholds_join_once(spark, monkeypatch):
+    """The predictions behind the three thresholds are joined once."""
+    from flowlens.plans import q_eval
+    calls, real = [], q_eval.preds
+    monkeypatch.setattr(q_eval, "preds", lambda *a: calls.append(a) or real(*a))
+    p = _plan(queries()["eval_thresholds"](spark, SF_SMALL))
+    assert len(calls) == 1 and "lineitem" not in p
