@@ -35,8 +35,8 @@ def src_csv_glob(spark, sf_dir):
     back as text, normalised, renamed, coerced and labelled."""
     path = scratch_path(spark, "flowcsv")
     raw = adapters.raw_flows(spark, sf_dir)
-    raw.write.mode("overwrite").option("header", "true").csv(path)
-    df = io.read_flow_csvs(spark, path, raw.columns, "part-*.csv")
+    raw.write.mode("overwrite").option("header", "true").option("compression", "gzip").csv(path)
+    df = io.read_flow_csvs(spark, path, raw.columns, "part-*.csv.gz")
     df = clean.rename_aliases(clean.normalize_columns(df))
     df = clean.enforce_numeric(df, skip=("label",))
     df = clean.group_labels(clean.clean_label_text(df, "label"), "label")

@@ -71,3 +71,9 @@ def test_thresholds_join_once(spark, monkeypatch):
     monkeypatch.setattr(q_eval, "preds", lambda *a: calls.append(a) or real(*a))
     p = _plan(queries()["eval_thresholds"](spark, SF_SMALL))
     assert len(calls) == 1 and "lineitem" not in p
+
+
+def test_flow_csvs_are_written_compressed(spark):
+    df = queries()["src_csv_glob"](spark, SF_SMALL)
+    files = [f.removeprefix("file://") for f in df.inputFiles()]
+    assert files and all(f.endswith(".csv.gz") for f in files)
