@@ -253,6 +253,17 @@ def _counted(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "e", "bits", "n")
 
 
+def _spokes(many: DataFrame, apart: int) -> DataFrame:
+    """Pairs ``(u, v)`` of the members of large buckets with their buckets'
+    hubs.  Buckets of one group of near copies mostly have the same hubs: a
+    member lists each hub once, however many buckets the two share."""
+    hubs = many.groupBy("key").agg(F.array(*(F.min_by(F.struct("e", "bits"), F.xxhash64("e", F.lit(k))) for k in range(HUBS))).alias("hubs"))
+    met = many.join(hubs, "key").groupBy("e", "bits").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
+    close = F.filter("hubs", lambda h: (h["e"] != F.col("e")) & (F.bit_count(F.col("bits").bitwiseXOR(h["bits"])) <= apart))
+    return met.select("e", F.explode(F.transform(close, lambda h: h["e"])).alias("h")).select(
+        F.least("e", "h").alias("u"), F.greatest("e", "h").alias("v"))
+
+
 def _candidates(members: DataFrame, apart: int) -> tuple[DataFrame, DataFrame]:
     """Pairs ``(u, v)`` of the buckets ``members(key, e, bits, n)`` whose
     bitmaps are at most ``apart`` bits apart, and the members of the large
@@ -263,10 +274,7 @@ def _candidates(members: DataFrame, apart: int) -> tuple[DataFrame, DataFrame]:
     pairs = (few.select("key", F.col("e").alias("u"), F.col("bits").alias("x"))
              .join(few.select("key", F.col("e").alias("v"), F.col("bits").alias("y")), "key")
              .where((F.col("u") < F.col("v")) & near("x", "y")).select("u", "v"))
-    hubs = many.groupBy("key").agg(F.array(*(F.min_by(F.struct("e", "bits"), F.xxhash64("e", F.lit(k))) for k in range(HUBS))).alias("hubs"))
-    spokes = (many.join(hubs, "key").select("e", "bits", F.explode("hubs").alias("h"))
-              .where(near("bits", "h.bits")).select(F.least("e", "h.e").alias("u"), F.greatest("e", "h.e").alias("v")).where("u < v"))
-    return stage(pairs.union(spokes).distinct(), "pairs"), many
+    return stage(pairs.union(_spokes(many, apart)).distinct(), "pairs"), many
 
 
 def _rest(many: DataFrame, edges: DataFrame) -> DataFrame | None:

@@ -251,3 +251,14 @@ def test_empty_tables(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert paragraphs.duplicates(empty).count() == 0
+
+
+def test_members_list_each_hub_once(spark):
+    """Near copies that share many buckets are held against their hubs once."""
+    rows = [(k, e, e % 3) for k in range(9) for e in range(50)]
+    got = paragraphs._spokes(spark.createDataFrame(rows, "key long, e long, bits long"), 2).collect()
+    assert all(r.u < r.v for r in got)
+    pairs = {(r.u, r.v) for r in got}
+    hubs = {x for x in range(50) if sum(x in p for p in pairs) == 49}
+    assert 1 <= len(hubs) <= paragraphs.HUBS and len(got) <= len(hubs) * 49
+    assert pairs == {(min(h, e), max(h, e)) for h in hubs for e in range(50) if e != h}
