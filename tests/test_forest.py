@@ -89,6 +89,28 @@ def test_as_good_as_mllib_and_reloads(spark, tmp_path):
     assert (again.getNumTrees, again.getMaxDepth(), again.getMinInstancesPerNode(), again.numClasses) == (40, 10, 5, 4)
 
 
+def test_mllib_scores_a_small_forest_as_python_does(spark, monkeypatch):
+    x, y = table(500)
+    x[::7, 2] = np.nan
+    df = frame(spark, x, y)
+    m = md.train_forest(df, "label", None, 9, 8, 2)
+    assert m.native(spark).numClasses == 4 and m.native(spark).getNumTrees == 9
+    a = m.transform(df).orderBy("i").collect()
+    monkeypatch.setattr(fo, "NATIVE", 0)
+    b = m.transform(df).orderBy("i").collect()
+    assert [r.prediction for r in a] == [r.prediction for r in b]
+    assert np.allclose([r.probability.toArray() for r in a], [r.probability.toArray() for r in b], atol=1e-9)
+    assert np.allclose(m.probabilities(x), [r.probability.toArray() for r in b], atol=1e-9)
+
+
+def test_a_pass_over_a_table_of_one_row_group_is_spread(spark):
+    from flowlens.plans.registry import materialize, spread
+    one = spark.range(5000).coalesce(1)
+    assert materialize(one).rdd.glom().map(len).filter(lambda n: n > 0).count() == 1
+    parts = spread(one).rdd.glom().map(len).collect()
+    assert len(parts) >= 8 and max(parts) < 2000 and sum(parts) == 5000
+
+
 def test_deep_forest_takes_few_jobs(spark):
     """The number of jobs does not grow with the nodes of the trees."""
     x, y = table(3000, 8)
