@@ -1,6 +1,7 @@
 """The forest: same trees however they are grown, and as good as MLlib's."""
 
 import numpy as np
+import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def test_deep_forest_takes_few_jobs(spark):
 
 
 def test_forest_edges(spark):
-    """Missing and constant features, one class, one row, rows without a label."""
+    """Missing and constant features, one class, one row; a missing label raises."""
     x = np.array([[1.0, np.nan if i % 3 else i, i % 2] for i in range(60)])
     df = frame(spark, x, np.arange(60) % 2)
     m = md.train_forest(df, "label", None, 5, 4, 1)
@@ -134,8 +135,8 @@ def test_forest_edges(spark):
     one = md.train_forest(df.where("label = 0"), "label", None, 3, 4, 1)
     assert {r.prediction for r in one.transform(df).select("prediction").collect()} == {0.0}
     assert len(md.train_forest(df.limit(1), "label", None, 3, 4, 1).trees) == 3
-    part = md.train_forest(df.withColumn("label", F.expr("if(i < 40, label, null)")), "label", None, 5, 4, 1)
-    assert all(r.label == r.prediction for r in part.transform(df).select("label", "prediction").collect())
+    with pytest.raises(ValueError):
+        md.train_forest(df.withColumn("label", F.expr("if(i < 40, label, null)")), "label", None, 5, 4, 1)
 
 
 def test_edges_of_few_and_of_many_values():
