@@ -12,6 +12,8 @@ from ..sources import adapters
 from .registry import register, rounded
 from .sql_common import feat_sql
 
+TCP = ("6",)
+
 
 def labelled_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with the cleaned, grouped label in ``label``."""
@@ -32,7 +34,7 @@ def _feature_query(name: str, cols: list[str], digits: int = 6):
     def q(spark, sf_dir, _cols=cols):
         # features of a row alone need no statistics of the table, and only
         # those of a protocol its values
-        x = row_features(prepare_flows(adapters.flows(spark, sf_dir), ()))
+        x = row_features(prepare_flows(adapters.flows(spark, sf_dir), TCP if "tcp_behavior" in _cols else ()))
         if not set(_cols) <= set(x.columns):
             x = feature_table(spark, sf_dir)
         return rounded(x.select("flow_key", *_cols), digits)
