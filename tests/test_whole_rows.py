@@ -44,14 +44,14 @@ def test_shared_rows_grow_the_trees_of_the_blocks(rows, monkeypatch, weight):
 
 def test_importances_are_those_of_mllib(rows, monkeypatch):
     small = {r.feature: r.score for r in sl.rf_importance(rows, NAMES, "y", trees=40, depth=5).collect()}
-    monkeypatch.setattr(forest, "LOCAL", 1000)
+    monkeypatch.setattr(sl, "SMALL", 1000)
     large = {r.feature: r.score for r in sl.rf_importance(rows, NAMES, "y", trees=40, depth=5).collect()}
     assert abs(sum(large.values()) - 1) < 1e-9
     assert all(abs(small[f] - large[f]) < 0.06 for f in NAMES)
 
 
 def test_boruta_over_shared_rows(rows, monkeypatch):
-    monkeypatch.setattr(forest, "LOCAL", 1000)
+    monkeypatch.setattr(sl, "SMALL", 1000)
     got = {r.feature: r for r in sl.boruta_select(rows, NAMES, "y", rounds=12, trees=10, depth=5).collect()}
     assert [got[f].status for f in NAMES[:2]] == ["confirmed"] * 2
     assert not any(got[f].selected for f in NAMES[2:])
